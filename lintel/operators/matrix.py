@@ -108,7 +108,7 @@ SHEET = {
     "FRAME MATERIAL": (["FRAME MATERIAL"], ""), "FRAME FINISH": (["FRAME FINISH"], ""),
     "HEAD": (["DETAIL HEAD"], ""), "JAMB": (["DETAIL JAMB"], ""), "SILL": (["DETAIL SILL"], ""),
     "FIRE RATING": (["FIRE RATING"], ""), "HARDWARE SET": (["HARDWARE GROUP NO"], ""),
-    "KEY CARD READER": (["KEY CARD READER"], "No"), "COMMENTS": (["COMMENTS"], ""),
+    "KEY CARD READER": (["KEY CARD READER"], "No"), "COMMENTS": (["PRINTED COMMENTS", "COMMENTS"], ""),
 }
 
 

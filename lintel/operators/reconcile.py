@@ -30,6 +30,8 @@ FIELDS = [
     "WINDOW TYPE", "WINDOW MATERIAL",
 ]
 
+PRINTED = {"COMMENTS": "PRINTED COMMENTS"}  # apart from the upper-case comments role
+
 
 def schedule_rows(cells: DataFrame, key=C.ROW) -> DataFrame:
     """One row per schedule row: mark, features, roles, schedule mode and canonical fields."""
@@ -40,7 +42,7 @@ def schedule_rows(cells: DataFrame, key=C.ROW) -> DataFrame:
     )
     filled_rank = F.when(rank.isNotNull() & (v != ""), F.struct(rank, F.col("col_no")))
     fields = [
-        F.max_by("value", F.when(F.col("canonical") == f, F.col("col_no"))).alias(f"{f}") for f in FIELDS
+        F.max_by("value", F.when(F.col("canonical") == f, F.col("col_no"))).alias(PRINTED.get(f, f)) for f in FIELDS
     ]
     roles = [a.alias(f"_role_{r}") for a, r in zip(C.role_aggs(), ROLES)]
     rows = typed.groupBy(*key).agg(

@@ -7,6 +7,8 @@ per bin across bins. The only per-key sort left is over the bin summaries.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,13 @@ def _carry(kind: str, value, order_struct):
     raise ValueError(kind)
 
 
+def _join_bins(rows: DataFrame, bins: DataFrame, key) -> DataFrame:
+    """Rows with their bin's carried values; the rows are already partitioned by key and bin."""
+    named = bins.withColumnsRenamed({k: f"_on_{k}" for k in [*key, "_bin"]})
+    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in [*key, "_bin"]]
+    return rows.join(named, on, "left")
+
+
 def ordered_scan(df: DataFrame, key, order, lead, width=DEFAULT_BIN, **specs) -> DataFrame:
     """Running values per ``key`` in ascending ``order``.
 
@@ -73,26 +82,48 @@ def ordered_scan(df: DataFrame, key, order, lead, width=DEFAULT_BIN, **specs) ->
     bins = binned.groupBy(*key, "_bin").agg(*summary).withColumns(offset)
     bins = bins.select(*key, "_bin", *offset)
     rows = binned.withColumns(inside)
-    on = [rows[k].eqNullSafe(bins[k]) for k in key] + [rows["_bin"].eqNullSafe(bins["_bin"])]
-    joined = rows.join(bins, on, "left")
-    keep = [rows[c] for c in df.columns]
-    return joined.select(*keep, *[e.alias(out) for out, e in final.items()])
+    joined = _join_bins(rows, bins, key)
+    return joined.select(*df.columns, *[e.alias(out) for out, e in final.items()])
 
 
-def islands(df: DataFrame, key, order, lead, prev, is_break, width=DEFAULT_BIN, out="island") -> DataFrame:
-    """Number runs of rows: a row opens a new run when ``is_break`` holds.
+def islands(df: DataFrame, key, order, lead, prev, value, is_break, width=DEFAULT_BIN, out="island") -> DataFrame:
+    """Number runs of rows per key, from 1: a row opens a new run when ``is_break`` holds.
 
-    ``prev`` maps scratch names to (kind, column) scans available to ``is_break``.
+    ``is_break`` may read the order columns and ``prev``, the previous row's ``value``. The first
+    row of a bin is judged against the last row of the bin before, on the bin summaries.
     """
-    scanned = ordered_scan(df, key, order, lead, width, **prev)
-    flagged = scanned.withColumn("_brk", F.coalesce(is_break, F.lit(True)).cast("int")).drop(*prev)
-    return ordered_scan(flagged, key, order, lead, width, **{out: ("sum", "_brk")}).drop("_brk")
+    key, order = list(key), list(order)
+    binned = df.withColumn("_bin", F.floor(F.col(lead) / F.lit(width)).cast("bigint"))
+    local = Window.partitionBy(*key, "_bin").orderBy(*order)
+    before = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*[F.col(c) for c in order])
+    opens = F.coalesce(is_break, F.lit(True)).cast("int")
+    rows = binned.withColumn("_lag", F.lag(F.struct(F.col(value).alias("v"))).over(local))
+    rows = rows.withColumn(prev, F.col("_lag.v"))
+    rows = rows.withColumn("_brk", F.when(F.col("_lag").isNull(), 0).otherwise(opens)).drop(prev)
+    rows = rows.withColumn("_run", F.sum("_brk").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    bins = rows.groupBy(*key, "_bin").agg(
+        F.max_by(F.struct(F.col(value).alias("v")), at).alias("_end"), F.min(at).alias("_head"), F.sum("_brk").alias("_n")
+    )
+    bins = bins.withColumn("_carry", F.last("_end").over(before))
+    bins = bins.select(*key, "_bin", "_n", "_carry", F.col("_carry.v").alias(prev), "_head.*")
+    bins = bins.withColumn("_first", F.when(F.col("_carry").isNull(), 1).otherwise(opens))
+    bins = bins.select(
+        *key, "_bin", (F.coalesce(F.sum(F.col("_n") + F.col("_first")).over(before), F.lit(0)) + F.col("_first")).alias("_off")
+    )
+    return _join_bins(rows, bins, key).select(*df.columns, (F.col("_run") + F.col("_off")).alias(out))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder the session names; keep the frame as is when none is set."""
+    """Cut lineage in the shared folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
+    return df.checkpoint()

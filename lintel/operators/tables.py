@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel import vocab as V
 from lintel.functions import text as T
-from lintel.operators.scan import DEFAULT_BIN, islands, ordered_scan
+from lintel.operators.scan import DEFAULT_BIN, checkpoint, islands, ordered_scan
 from lintel.operators.spatial import nearest_1d, nearest_span
 
 PAGE = ("project_id", "page_id")
@@ -29,7 +27,7 @@ def join_words(words: DataFrame, gap=V.WORD_GAP, key=PAGE, width=4096.0) -> Data
     """Glue words of one line whose horizontal gap is 0 <= gap < ``gap``."""
     line = [*_list(key), "block", "line"]
     is_break = ~((F.col("x0") - F.col("_px1") >= 0) & (F.col("x0") - F.col("_px1") < gap))
-    runs = islands(words, line, ["x0", "word"], "x0", {"_px1": ("lag", "x1")}, is_break, width)
+    runs = islands(words, line, ["x0", "word"], "x0", "_px1", "x1", is_break, width)
     return runs.groupBy(*line, "island").agg(
         ordered_join("text", ["x0", "word"], "").alias("text"),
         F.min("x0").alias("x0"),
@@ -46,7 +44,7 @@ def merge_intervals(df: DataFrame, lo="lo", hi="hi", tol=V.INTERVAL_TOLERANCE, k
     uniq = df.groupBy(*key, F.col(lo).alias("lo")).agg(F.max(hi).alias("hi"))
     ends = ordered_scan(uniq, key, ["lo"], "lo", width, _m=("max", "hi"))
     is_break = F.col("lo") > F.col("_pm") + tol
-    runs = islands(ends, key, ["lo"], "lo", {"_pm": ("lag", "_m")}, is_break, width, out="span_no")
+    runs = islands(ends, key, ["lo"], "lo", "_pm", "_m", is_break, width, out="span_no")
     return runs.groupBy(*key, "span_no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
@@ -56,9 +54,7 @@ def line_clusters(edges: DataFrame, tol=V.LINE_TOLERANCE, min_len=0.0, key=PAGE,
     same_x = edges.groupBy(*key, "x0").agg(
         F.sum(F.col("y1") - F.col("y0")).alias("_len"), F.count(F.lit(1)).alias("_n")
     )
-    runs = islands(
-        same_x, key, ["x0"], "x0", {"_px": ("lag", "x0")}, F.col("x0") - F.col("_px") > tol, width, out="cluster"
-    )
+    runs = islands(same_x, key, ["x0"], "x0", "_px", "x0", F.col("x0") - F.col("_px") > tol, width, out="cluster")
     out = runs.groupBy(*key, "cluster").agg(
         (F.sum(F.col("x0") * F.col("_n")) / F.sum("_n")).alias("x"), F.sum("_len").alias("total_len")
     )
@@ -69,30 +65,29 @@ def group_rows(words: DataFrame, tol=V.ROW_TOLERANCE, key=PAGE, pos="y0", width=
     """Adds ``row_start``: the position of the first word of the text row a word belongs to.
 
     A row takes every word closer than ``tol`` to its first one. Rows never cross a gap of
-    ``tol``, so the page is cut at such gaps first and each piece is walked on its own.
+    ``tol``, so pages are cut there; each piece's distinct positions then stream through a
+    task in order, with the current row as the only state.
     """
     key = _list(key)
     spots = words.select(*key, pos).distinct()
-    runs = islands(spots, key, [pos], pos, {"_p": ("lag", pos)}, F.col(pos) - F.col("_p") >= tol, width, out="_run")
-    single = runs.groupBy(*key, "_run").agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    marked = runs.join(single, [*key, "_run"])
-    flat = marked.where(F.col("_hi") - F.col("_lo") < tol).select(*key, pos, F.col("_lo").alias("row_start"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spots.schema.fields)
+    runs = islands(spots, key, [pos], pos, "_p", pos, F.col(pos) - F.col("_p") >= tol, width, out="_piece")
+    names = [*key, "_piece"]
+
+    def walk(batches):
+        piece, start = None, None
+        for pdf in batches:
+            starts = []
+            for here, y in zip(pdf[names].itertuples(index=False, name=None), pdf[pos]):
+                if here != piece or y - start >= tol:
+                    piece, start = here, y
+                starts.append(start)
+            yield pdf[[*key, pos]].assign(row_start=starts)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys = np.sort(pdf[pos].to_numpy())
-        starts, at = np.empty_like(ys), 0
-        while at < len(ys):
-            end = int(np.searchsorted(ys, ys[at] + tol, side="left"))
-            starts[at:max(end, at + 1)] = ys[at]
-            at = max(end, at + 1)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(ys) for k in key})
-        return out.assign(**{pos: ys, "row_start": starts})
-
-    long = marked.where(F.col("_hi") - F.col("_lo") >= tol).select(*key, "_run", pos)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spots.schema.fields)
     kind = spots.schema[pos].dataType.simpleString()
-    walked = long.groupBy(*key, "_run").applyInPandas(walk, f"{fields}, row_start {kind}")
-    return words.join(flat.unionByName(walked), [*key, pos], "left")
+    ordered = runs.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names, pos)
+    walked = ordered.mapInPandas(walk, f"{fields}, row_start {kind}")
+    return words.join(walked, [*key, pos], "left")
 
 
 def ordered_text(words: DataFrame, group, order=("y0", "x0"), text="text") -> DataFrame:
@@ -178,7 +173,7 @@ def column_spans(words: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFra
     """Column spans from ruled lines where a page has three or more, else from text projection."""
     key = _list(key)
     marks = T.is_mark_text("text")
-    rows = group_rows(words, key=key)
+    rows = checkpoint(group_rows(words, key=key))
     lead = rows.groupBy(*key, "row_start").agg(F.min_by(marks, F.struct("x0", "text")).alias("_data"))
     data_pages = lead.where("_data").select(*key).distinct().withColumn("_page", F.lit(True))
     shown = (
@@ -212,19 +207,20 @@ def words_to_table(words: DataFrame, edges: DataFrame | None = None, key=PAGE) -
     """Schedule cells from positioned words: (key, row_no, col_no, header, value).
 
     Column spans, mark column, nearest row per word, headers from the words above the first
-    mark, duplicate headers numbered, blank placeholder columns dropped.
+    mark, duplicate headers numbered, blank placeholder columns dropped. The stages build on
+    each other several times over, so each is written once to the checkpoint folder.
     """
     key = _list(key)
     words = words.where(T.strip("text") != "")
-    spans = column_spans(words, edges, key)
+    spans = checkpoint(column_spans(words, edges, key))
     placed = words.withColumns({"_cx": (F.col("x0") + F.col("x1")) / 2, "_cy": (F.col("y0") + F.col("y1")) / 2})
-    placed = nearest_span(placed, spans, "_cx", key).withColumnRenamed("span_no", "col_no")
+    placed = checkpoint(nearest_span(placed, spans, "_cx", key).withColumnRenamed("span_no", "col_no"))
     which = mark_column(placed, key)
     placed = placed.join(which.select(*key, "mark_col"), key)
     marks = placed.where((F.col("col_no") == F.col("mark_col")) & T.is_mark_text("text")).select(
         *key, F.col("_cy").alias("pos"), F.col("text").alias("_m"), F.col("x0").alias("_x")
     )
-    numbered = ordered_scan(marks, key, ["pos", "_x", "_m"], "pos", 4096.0, row_no=("row_number", None))
+    numbered = checkpoint(ordered_scan(marks, key, ["pos", "_x", "_m"], "pos", 4096.0, row_no=("row_number", None)))
     anchors = numbered.select(*key, "pos", F.col("row_no").alias("anchor_id"))
     first = numbered.groupBy(*key).agg((F.min("pos") - 8).alias("_first"))
     body = placed.join(first, key, "left")
@@ -250,6 +246,7 @@ def words_to_table(words: DataFrame, edges: DataFrame | None = None, key=PAGE) -
         *key, F.col("anchor_id").alias("row_no"), "col_no", "header",
         F.when(is_mark, F.upper(F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("_m")))).otherwise(value).alias("value"),
     )
+    cells = checkpoint(cells)
     dead = (
         cells.where(F.col("header").startswith("COLUMN_"))
         .groupBy(*key, "header")

@@ -120,7 +120,7 @@ def admit_batch(df: DataFrame, key="user_id", ts="ts", limit=V.RATE_LIMIT, secon
     rows = trailing_count(df, key, ts, seconds, seq).withColumnRenamed(seq, "_seq")
     hot = rows.where(F.col("n_recent") > limit).select(key, "_us", "_seq")
     gap = F.col("_us") - F.col("_p") >= window
-    hot = islands(hot, [key], ["_us", "_seq"], "_us", {"_p": ("lag", "_us")}, gap, width, out="_run")
+    hot = islands(hot, [key], ["_us", "_seq"], "_us", "_p", "_us", gap, width, out="_run")
     line = rows.join(hot.select(key, "_us", "_seq", "_run"), [key, "_us", "_seq"], "left").withColumns(
         {
             "_neg": -F.col("_us"),
