@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,7 +34,7 @@ def text_of(c) -> Column:
 
 def any_of(c, phrases) -> Column:
     """True when any phrase occurs as a substring."""
-    return reduce(lambda a, b: a | b, [col(c).contains(p) for p in phrases])
+    return col(c).rlike("|".join(re.escape(p) for p in phrases))
 
 
 def is_blank(c, blanks=V.BLANK_CELL) -> Column:
@@ -282,9 +281,9 @@ def interior_override(int_ext, location) -> Column:
 def is_mark_text(c) -> Column:
     c = text_of(c)
     tokens = F.split(F.regexp_replace(F.lower(c), r"^[.,]+|[.,]+$", ""), r"\s+")
-    headers = F.array(*[F.lit(w) for w in V.HEADER_WORDS])
+    header = F.exists(tokens, lambda w: w.isin(V.HEADER_WORDS))
     shape = c.rlike("[0-9]") | ((F.length(c) <= 4) & c.rlike("[A-Z]") & (c == F.upper(c)))
-    return ~F.arrays_overlap(tokens, headers) & ~c.rlike("['\"]") & shape
+    return shape & ~header & ~c.rlike("['\"]")
 
 
 def sf_material(c) -> Column:

@@ -37,14 +37,14 @@ def to_cells(df: DataFrame, key, columns, schedule_type=None) -> DataFrame:
     )
 
 
-def header_key(c="header") -> Column:
-    return F.lower(T.strip(c))
+def with_keys(cells: DataFrame) -> DataFrame:
+    """Adds the normalised header ``_h`` and value ``_v`` that the conditional aggregates read."""
+    return cells.withColumns({"_h": F.lower(T.strip("header")), "_v": T.strip("value")})
 
 
 def _first_match(cells, key, order, exact, fuzzy, out, upper=True):
     """First filled value among exact headers, else among fuzzy ones, in column order."""
-    h = header_key()
-    value = T.strip("value")
+    cells, h, value = with_keys(cells), F.col("_h"), F.col("_v")
     value = F.upper(value) if upper else value
     rank = F.when(h.isin(exact), 0).when(fuzzy(h), 1)
     ranked = F.when(rank.isNotNull() & (value != ""), F.struct(rank.alias("p"), *[F.col(o) for o in order]))
@@ -79,7 +79,7 @@ def canonical_header(cells: DataFrame, synonyms=None) -> DataFrame:
 
 
 def _contains_any(c, words) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    return T.any_of(c, words)
 
 
 def _panel(h, n, other) -> Column:
@@ -95,7 +95,7 @@ def _slash_pair(v) -> Column:
 
 def mode_aggs() -> list[Column]:
     """Conditional aggregates behind :func:`row_opening_mode`."""
-    h, raw = header_key(), T.strip("value")
+    h, raw = F.col("_h"), F.col("_v")
     up = F.upper(raw)
     low = F.lower(raw)
     packed = F.replace(low, F.lit(" "), F.lit(""))
@@ -121,13 +121,12 @@ def mode_from_aggs() -> Column:
 
 def row_opening_mode(cells: DataFrame, key=ROW, order=("col_no",)) -> DataFrame:
     """Leaf-count column, then doubled dimensions, then two filled panels, else single."""
-    return cells.groupBy(*key).agg(*mode_aggs()).select(*key, mode_from_aggs().alias("opening_mode"))
+    return with_keys(cells).groupBy(*key).agg(*mode_aggs()).select(*key, mode_from_aggs().alias("opening_mode"))
 
 
 def feature_aggs() -> list[Column]:
     """Conditional aggregates behind :func:`row_features`."""
-    h = header_key()
-    v = F.upper(T.strip("value"))
+    h, v = F.col("_h"), F.upper("_v")
     filled = ~v.isin(V.BLANK_CELL)
     new = ~v.isin(V.EXISTING)
     panel2 = _contains_any(h, ["panel 2", "width 2", "panel type 2", "second"]) | h.endswith("_2") | (
@@ -163,13 +162,12 @@ def has_panel_2() -> Column:
 
 
 def row_features(cells: DataFrame, key=ROW) -> DataFrame:
-    return cells.groupBy(*key).agg(*feature_aggs()).withColumn("has_panel_2", has_panel_2())
+    return with_keys(cells).groupBy(*key).agg(*feature_aggs()).withColumn("has_panel_2", has_panel_2())
 
 
 def role_aggs() -> list[Column]:
     """Material, type and comment roles of a row; the last matching column wins."""
-    h = header_key()
-    v = F.upper(T.strip("value"))
+    h, v = F.col("_h"), F.upper("_v")
     mat = _contains_any(h, ["material", "mat'l", "matl"])
     door = (
         _contains_any(h, ["door material", "door mat'l", "door matl", "dr mat"])
@@ -197,7 +195,7 @@ def role_aggs() -> list[Column]:
 
 
 def role_columns(cells: DataFrame, key=ROW) -> DataFrame:
-    return cells.groupBy(*key).agg(*role_aggs())
+    return with_keys(cells).groupBy(*key).agg(*role_aggs())
 
 
 def drop_banners(cells: DataFrame, key=ROW) -> DataFrame:

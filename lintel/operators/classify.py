@@ -206,12 +206,7 @@ def status(df: DataFrame) -> DataFrame:
 
 def takeoff_notes(df: DataFrame) -> DataFrame:
     """Joins the notes of every decision; ``note_missing`` marks decisions without a note."""
-    parts = [
-        F.col("note"),
-        F.when(~F.col("located"), F.lit(V.NOTE_NOT_FOUND)),
-        F.when(F.coalesce(F.col("is_bifurcated"), F.lit(False)), F.lit(V.NOTE_WALL))
-        if "is_bifurcated" in df.columns else F.lit(None).cast("string"),
-    ]
+    parts = [F.col("note"), F.when(~F.col("located"), F.lit(V.NOTE_NOT_FOUND))]
     notes = F.concat_ws(" ", *parts)
     decided = F.col("excluded") | ~F.col("located") | F.col("is_cased")
     return df.withColumns({"takeoff_notes": notes, "note_missing": decided & (notes == "")})

@@ -6,7 +6,8 @@ brings them together; everything after is a projection. Outputs are lazy frames.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ PRINTED = {"COMMENTS": "PRINTED COMMENTS"}  # apart from the upper-case comments
 
 def schedule_rows(cells: DataFrame, key=C.ROW) -> DataFrame:
     """One row per schedule row: mark, features, roles, schedule mode and canonical fields."""
-    typed = C.canonical_header(cells)
-    h, v = C.header_key(), T.strip("value")
+    typed = C.canonical_header(C.with_keys(cells))
+    h, v = F.col("_h"), F.col("_v")
     rank = F.when(h.isin(V.MARK_HEADERS), 0).when(
         (h.contains("mark") | h.contains("type")) & ~h.isin(V.NOT_MARK_HEADERS), 1
     )
@@ -155,38 +156,80 @@ def assumption_log(doors: DataFrame, queue: DataFrame) -> DataFrame:
     return numbered.select("project_id", "id", "floor", "item", "issue", "source", "action")
 
 
-def reconcile(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """cells, detections, ocr (and exclusions, spec_text, floors, unit_mix, unit_door_input) ->
-    doors, windows, queue, log, gates and, with a unit mix, the unit-door matrix."""
-    cells, det, ocr = tables["cells"], tables["detections"], tables["ocr"]
-    rows = schedule_rows(cells)
-    hits = None
-    if tables.get("spec_text") is not None:
-        hits = J.mark_in_text(tables["spec_text"], rows)
-    classified = classify_rows(rows, detection_facts(det), hits)
-    floor = F.coalesce(F.nullif(F.col("FLOOR / LEVEL"), F.lit("")), F.nullif(F.col("plan_floors"), F.lit("")))
-    if tables.get("floors") is not None:
-        first = tables["floors"].groupBy("project_id").agg(F.min_by("name", "floor_no").alias("_floor"))
-        classified = classified.join(first, "project_id", "left")
-        floor = F.coalesce(floor, F.col("_floor"), F.lit("Level 1"))
-    else:
-        floor = F.coalesce(floor, F.lit(""))
-    classified = classified.withColumn("FLOOR / LEVEL", floor).drop("_floor")
-    queue = review_queue(rows, classified, det, ocr, tables.get("exclusions"))
-
-    wall = det.withColumn("mark", T.mark_key(T.text_of("mark")))
-    doors = bifurcate(classified.where("opening_kind = 'door'"), wall)
-    doors = doors.withColumn("note", F.coalesce("bifurcation_note", "note")).drop("bifurcation_note")
-    doors = K.takeoff_notes(doors)
-    windows = K.takeoff_notes(classified.where("opening_kind = 'window'"))
-    out = {
-        "doors": doors,
-        "windows": windows,
-        "queue": queue,
-        "log": assumption_log(doors, queue),
-    }
-    if tables.get("unit_mix") is not None:
-        per_unit = tables.get("unit_door_input")
-        out["matrix"] = M.project_matrix(tables["unit_mix"], doors, per_unit)
-    out["gates"] = qa.qa_gates({**tables, **out, "rows": rows})
-    return out
+class Takeoff(Mapping):
+    """Lazy outputs of a reconciliation; each frame is built when it is first asked for.
+
+    Inputs: cells, detections, ocr and, optionally, exclusions, spec_text, floors, unit_mix,
+    unit_door_input, unit_counts, expected_doors. Outputs: doors, windows, queue, log, gates and,
+    with a unit mix, the unit-door matrix.
+    """
+
+    NAMES = ("doors", "windows", "queue", "log", "gates", "matrix")
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.tables = tables
+
+    def __getitem__(self, name):
+        if name not in self:
+            raise KeyError(name)
+        return getattr(self, name)
+
+    def __contains__(self, name):
+        return name in self.NAMES and (name != "matrix" or self.tables.get("unit_mix") is not None)
+
+    def __iter__(self):
+        return (n for n in self.NAMES if n in self)
+
+    def __len__(self):
+        return sum(1 for _ in self)
+
+    @cached_property
+    def rows(self):
+        return schedule_rows(self.tables["cells"])
+
+    @cached_property
+    def classified(self):
+        spec, floors = self.tables.get("spec_text"), self.tables.get("floors")
+        hits = None if spec is None else J.mark_in_text(spec, self.rows)
+        df = classify_rows(self.rows, detection_facts(self.tables["detections"]), hits)
+        own = [F.nullif(F.col(c), F.lit("")) for c in ("FLOOR / LEVEL", "plan_floors")]
+        if floors is not None:
+            first = floors.groupBy("project_id").agg(F.min_by("name", "floor_no").alias("_floor"))
+            df = df.join(first, "project_id", "left")
+            own += [F.col("_floor"), F.lit("Level 1")]
+        return df.withColumn("FLOOR / LEVEL", F.coalesce(*own, F.lit(""))).drop("_floor")
+
+    @cached_property
+    def doors(self):
+        det = self.tables["detections"].withColumn("mark", T.mark_key(T.text_of("mark")))
+        doors = bifurcate(self.classified.where("opening_kind = 'door'"), det)
+        doors = doors.withColumn("note", F.coalesce("bifurcation_note", "note")).drop("bifurcation_note")
+        return K.takeoff_notes(doors)
+
+    @cached_property
+    def windows(self):
+        return K.takeoff_notes(self.classified.where("opening_kind = 'window'"))
+
+    @cached_property
+    def queue(self):
+        t = self.tables
+        return review_queue(self.rows, self.classified, t["detections"], t["ocr"], t.get("exclusions"))
+
+    @cached_property
+    def log(self):
+        return assumption_log(self.doors, self.queue)
+
+    @cached_property
+    def matrix(self):
+        return M.project_matrix(self.tables["unit_mix"], self.doors, self.tables.get("unit_door_input"))
+
+    @cached_property
+    def gates(self):
+        made = {"rows": self.rows, "doors": self.doors, "queue": self.queue}
+        if "matrix" in self:
+            made["matrix"] = self.matrix
+        return qa.qa_gates({**self.tables, **made})
+
+
+def reconcile(tables: dict[str, DataFrame]) -> Takeoff:
+    return Takeoff(tables)

@@ -153,10 +153,13 @@ def join_continuations(rows: DataFrame, mark="mark", text="comments", key=PAGE,
     )
 
 
-def mark_column(words: DataFrame, key=PAGE, first_n=3, col_no="col_no", text="text") -> DataFrame:
-    """Of the first columns, the one with most distinct mark-like texts; the leftmost on ties."""
+def mark_column(words: DataFrame, key=PAGE, first_n=3, col_no="col_no", text="text", flag=None) -> DataFrame:
+    """Of the first columns, the one with most distinct mark-like texts; the leftmost on ties.
+
+    ``flag`` names a column that already says whether a word looks like a mark.
+    """
     key = _list(key)
-    marks = words.where((F.col(col_no) < first_n) & T.is_mark_text(text))
+    marks = words.where((F.col(col_no) < first_n) & (F.col(flag) if flag else T.is_mark_text(text)))
     per_col = marks.groupBy(*key, col_no).agg(F.countDistinct(F.upper(T.strip(text))).alias("n_marks"))
     best = per_col.groupBy(*key).agg(
         F.max_by(col_no, F.struct("n_marks", -F.col(col_no))).alias("mark_col"), F.max("n_marks").alias("n_marks")
@@ -169,12 +172,13 @@ def mark_column(words: DataFrame, key=PAGE, first_n=3, col_no="col_no", text="te
     )
 
 
-def column_spans(words: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFrame:
-    """Column spans from ruled lines where a page has three or more, else from text projection."""
+def column_spans(rows: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFrame:
+    """Column spans from ruled lines where a page has three or more, else from text projection.
+
+    ``rows`` are words with ``row_start`` (see :func:`group_rows`) and the ``is_mark`` flag.
+    """
     key = _list(key)
-    marks = T.is_mark_text("text")
-    rows = checkpoint(group_rows(words, key=key))
-    lead = rows.groupBy(*key, "row_start").agg(F.min_by(marks, F.struct("x0", "text")).alias("_data"))
+    lead = rows.groupBy(*key, "row_start").agg(F.min_by("is_mark", F.struct("x0", "text")).alias("_data"))
     data_pages = lead.where("_data").select(*key).distinct().withColumn("_page", F.lit(True))
     shown = (
         rows.join(lead, [*key, "row_start"])
@@ -185,7 +189,7 @@ def column_spans(words: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFra
     projected = projected.withColumn("span_no", (F.col("span_no") - 1).cast("int"))
     if edges is None:
         return projected
-    height = words.groupBy(*key).agg(
+    height = rows.groupBy(*key).agg(
         (F.max("y1") - F.min("y0")).alias("_h"), F.min("x0").alias("_wx0"), F.max("x1").alias("_wx1")
     )
     long = edges.where(F.col("y1") - F.col("y0") >= 12)
@@ -211,13 +215,17 @@ def words_to_table(words: DataFrame, edges: DataFrame | None = None, key=PAGE) -
     each other several times over, so each is written once to the checkpoint folder.
     """
     key = _list(key)
-    words = words.where(T.strip("text") != "")
-    spans = checkpoint(column_spans(words, edges, key))
-    placed = words.withColumns({"_cx": (F.col("x0") + F.col("x1")) / 2, "_cy": (F.col("y0") + F.col("y1")) / 2})
-    placed = checkpoint(nearest_span(placed, spans, "_cx", key).withColumnRenamed("span_no", "col_no"))
-    which = mark_column(placed, key)
+    words = words.where(T.strip("text") != "").withColumns(
+        {"is_mark": T.is_mark_text("text"), "_cx": (F.col("x0") + F.col("x1")) / 2, "_cy": (F.col("y0") + F.col("y1")) / 2}
+    )
+    words = words.select(*key, "text", "x0", "x1", "y0", "y1", "is_mark", "_cx", "_cy")
+    rows = checkpoint(group_rows(words, key=key))
+    spans = checkpoint(column_spans(rows, edges, key))
+    placed = nearest_span(rows.drop("row_start"), spans, "_cx", key).withColumnRenamed("span_no", "col_no")
+    placed = checkpoint(placed)
+    which = mark_column(placed, key, flag="is_mark")
     placed = placed.join(which.select(*key, "mark_col"), key)
-    marks = placed.where((F.col("col_no") == F.col("mark_col")) & T.is_mark_text("text")).select(
+    marks = placed.where((F.col("col_no") == F.col("mark_col")) & F.col("is_mark")).select(
         *key, F.col("_cy").alias("pos"), F.col("text").alias("_m"), F.col("x0").alias("_x")
     )
     numbered = checkpoint(ordered_scan(marks, key, ["pos", "_x", "_m"], "pos", 4096.0, row_no=("row_number", None)))
