@@ -116,18 +116,22 @@ def confusion_join(words: DataFrame, marks: DataFrame, on="text", variants=None,
     """Words read as a mark, exactly or after a character swap; the first reading that fits wins."""
     key, word_id = _list(key), _list(word_id)
     variants = OCR_SWAPS if variants is None else variants
-    raw = T.word_key(on)
+    keyed = words.select(*key, *word_id, T.word_key(on).alias("_raw"))
+    # The same text is read once however often it is printed.
+    texts = keyed.select(*key, "_raw").distinct()
+    raw = F.col("_raw")
     tries = [F.struct(F.lit(0).alias("priority"), raw.alias("mark"))]
     for i, (old, new) in enumerate(variants, 1):
         tries.append(F.struct(F.lit(i).alias("priority"), F.translate(raw, old, new * len(old)).alias("mark")))
-    tries = F.filter(F.array(*tries), lambda t: (t["priority"] == 0) | (t["mark"] != raw))
-    spread = words.select(*key, *word_id, F.explode(tries).alias("t")).select(*key, *word_id, "t.priority", "t.mark")
+    spread = texts.select(*key, "_raw", F.explode(F.array(*tries)).alias("t")).select(*key, "_raw", "t.priority", "t.mark")
+    spread = spread.where((F.col("priority") == 0) | (F.col("mark") != raw))
     known = marks.select(*key, T.mark_key("mark").alias("mark")).distinct()
-    return (
+    best = (
         spread.join(known, [*key, "mark"])
-        .groupBy(*key, *word_id)
+        .groupBy(*key, "_raw")
         .agg(F.min_by("mark", "priority").alias("mark"), F.min("priority").alias("priority"))
     )
+    return keyed.join(best, [*key, "_raw"]).drop("_raw")
 
 
 def _substrings(c, min_len=1):

@@ -318,27 +318,34 @@ def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), k
     spots = spots.withColumn("_cell", cell_of(F.col("x"), F.col("y")))
 
     if not exact:
-        other = spots.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("r").alias("_r"), around().alias("_cell"))
-        lost = (
-            spots.join(other, [*key, "_cell"]).where(near & (F.col("_r") < F.col("r"))).select(*key, "x", "y").distinct()
-        )
-        kept = spots.join(lost, [*key, "x", "y"], "left_anti")
+        rest = [c for c in df.columns if c not in key]
+        spots = df.groupBy(*key, F.col("cx").alias("x"), F.col("cy").alias("y")).agg(
+            F.min(order).alias("r"), F.min_by(F.struct(*rest), order).alias("_row")
+        ).withColumn("_cell", cell_of(F.col("x"), F.col("y")))
+        other = spots.select(
+            *[F.col(k).alias(f"_on_{k}") for k in key], F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("r").alias("_r"), around().alias("_near")
+        ).withColumns({"_nx": F.col("_near.cx"), "_ny": F.col("_near.cy")}).drop("_near")
+        spots = spots.withColumns({"_gx": F.col("_cell.cx"), "_gy": F.col("_cell.cy")}).drop("_cell")
+        meets = (F.col("_gx") == F.col("_nx")) & (F.col("_gy") == F.col("_ny")) & near & (F.col("_r") < F.col("r"))
+        for k in key:
+            meets = meets & (F.col(k) == F.col(f"_on_{k}"))
+        kept = spots.join(other, meets, "left_anti")
+        return kept.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    kept, left = None, checkpoint(spots)
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        best = left.groupBy(*key, "_cell").agg(F.min("r").alias("_r"))
+        rim = best.select(*key, "_r", around().alias("_cell")).groupBy(*key, "_cell").agg(F.min("_r").alias("_r"))
+        won = checkpoint(left.join(rim, [*key, "_cell"]).where("r = _r").drop("_r"))
+        kept = won if kept is None else kept.unionByName(won)
+        cover = won.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), around().alias("_cell"))
+        gone = left.join(cover, [*key, "_cell"]).where(near).select(*key, "x", "y").distinct()
+        left = checkpoint(left.join(gone, [*key, "x", "y"], "left_anti").select(*left.columns))
     else:
-        kept, left = None, checkpoint(spots)
-        for _ in range(max_rounds):
-            if left.isEmpty():
-                break
-            best = left.groupBy(*key, "_cell").agg(F.min("r").alias("_r"))
-            rim = best.select(*key, "_r", around().alias("_cell")).groupBy(*key, "_cell").agg(F.min("_r").alias("_r"))
-            won = checkpoint(left.join(rim, [*key, "_cell"]).where("r = _r").drop("_r"))
-            kept = won if kept is None else kept.unionByName(won)
-            cover = won.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), around().alias("_cell"))
-            gone = left.join(cover, [*key, "_cell"]).where(near).select(*key, "x", "y").distinct()
-            left = checkpoint(left.join(gone, [*key, "x", "y"], "left_anti").select(*left.columns))
-        else:
-            raise RuntimeError("spatial_dedup did not settle")
-        if kept is None:
-            return df.where(F.lit(False))
+        raise RuntimeError("spatial_dedup did not settle")
+    if kept is None:
+        return df.where(F.lit(False))
     winners = kept.select(*key, F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("r"))
     return df.join(winners, [*key, "cx", "cy"]).where(order == F.col("r")).select(*df.columns)
 

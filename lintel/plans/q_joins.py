@@ -649,16 +649,29 @@ def _(t):
     return S.spatial_dedup(dedup_points(t), rank=("neg_arcs", "det_id"), key=["page_id"], exact=True).select("det_id")
 
 
-@q("leaf_groups")
+NEAR_ARCS = f"""a AS (SELECT *, {CENTRE} FROM ({boxes_sql('mark_id')})), b AS (SELECT *, {CENTRE} FROM ({boxes_sql('b_id', h='8')})),
+  pt AS (SELECT mark_id, cx, cy, row_number() OVER (PARTITION BY mark_id ORDER BY cx, cy) AS n FROM (SELECT DISTINCT mark_id, b.cx, b.cy FROM a JOIN b ON a.page_id = b.page_id AND b.has_curve
+   AND {DIST} <= 50 AND NOT ({DIST} < 15 AND b.area < 200))),
+  ed AS (SELECT p.mark_id, p.n AS f, r.n AS t FROM pt p JOIN pt r ON p.mark_id = r.mark_id AND sqrt(pow(p.cx - r.cx, 2) + pow(p.cy - r.cy, 2)) < 45),
+  rc AS (SELECT mark_id, n, n AS root FROM pt UNION SELECT rc.mark_id, ed.t, rc.root FROM rc JOIN ed ON rc.mark_id = ed.mark_id AND rc.n = ed.f),
+  gr AS (SELECT mark_id, count(DISTINCT root) AS leaf_groups FROM (SELECT mark_id, n, min(root) AS root FROM rc GROUP BY ALL) GROUP BY mark_id)"""
+
+
+@q("leaf_groups", f"WITH RECURSIVE {NEAR_ARCS} SELECT mark_id, CAST(leaf_groups AS INT) AS leaf_groups FROM gr")
 def _(t):
     marks = S.path_centres(boxes(t, "mark_id")).select("project_id", "page_id", "mark_id", "cx", "cy")
-    return S.leaf_groups(S.arcs_near(marks, boxes(t, "b_id", h="8")))
+    return S.leaf_groups(S.arcs_near(marks, boxes(t, "b_id", h="8"))).select("mark_id", "leaf_groups")
 
 
-@q("mode_from_paths")
+@q(
+    "mode_from_paths",
+    f"""WITH RECURSIVE {NEAR_ARCS}, da AS (SELECT DISTINCT mark_id FROM a JOIN b ON a.page_id = b.page_id AND b.is_dashed AND (b.has_curve OR NOT (b.x1 - b.x0 > 80 OR b.y1 - b.y0 > 80))
+   AND {DIST} < 65 AND NOT ({DIST} < 15 AND b.area < 200))
+  SELECT mark_id, CASE WHEN mark_id IN (SELECT mark_id FROM da) THEN 'DA' WHEN leaf_groups >= 2 THEN 'PR' ELSE 'SGL' END AS opening_mode FROM a LEFT JOIN gr USING (mark_id)""",
+)
 def _(t):
     marks = S.path_centres(boxes(t, "mark_id")).select("project_id", "page_id", "mark_id", "cx", "cy")
-    return S.mode_from_paths(marks, boxes(t, "b_id", h="8"))
+    return S.mode_from_paths(marks, boxes(t, "b_id", h="8")).select("mark_id", "opening_mode")
 
 
 @q(

@@ -512,7 +512,63 @@ def tracks(t):
     return {"cells": t.v_cells, "detections": det, "ocr": ocr, "exclusions": exclusions, "spec_text": spec}
 
 
-@q("reconcile_full")
+SPEC_TOKENS = r"""SELECT DISTINCT project_id, unnest(list_transform(regexp_split_to_array(replace(s, ',', ' '), '\s+'), lambda w: trim(w, '.,()[]{}-_#*/"'''))) AS mark FROM (
+  SELECT project_id, replace(replace(upper(x), 'ß', 'SS'), 'ẞ', 'SS') AS s FROM (SELECT 'P' || CAST(doc_id % 8 AS STRING) AS project_id,
+   unnest(string_split_regex('Storefront at D' || CAST(doc_id AS STRING) || '. ' || text, '[.\n]')) AS x FROM documents)) WHERE """ + QT.sql_any(
+    "s", QT.V.STOREFRONT_SENTENCE
+)
+RECONCILED = f"""sh AS ({SPEC_TOKENS}),
+fe AS ({QT.FEATURES}), ro AS ({QT.ROLES}),
+rt AS (SELECT project_id, row_no, string_agg(value, ' ' ORDER BY col_no) AS row_text FROM v_cells GROUP BY ALL),
+md AS ({catalog.sql_body["row_mode"]}),
+fd AS (SELECT project_id, mark, min_by(vlm_opening_mode, {QJ.ORDER_SQL}) AS plan_mode, min_by(vlm_wall_type, {QJ.ORDER_SQL}) AS plan_wall, count(*) AS qty FROM v_det GROUP BY ALL),
+fl AS ({catalog.sql_body["floors_per_mark"]}),
+r0 AS (SELECT s.project_id, s.row_no, s.mark, s.schedule_type, s.location, s.width, s.hardware, s.finish, s.head, s.jamb, s.comments AS printed, s.door_type AS printed_type, s.door_material AS printed_door, s.frame_material AS printed_frame,
+   fe.* EXCLUDE (project_id, row_no, panel_2), NOT explicit_single AND (panel_2 OR pair_leaves OR {QT.WIDTH_SQL.format(c='door_width')} >= 50) AS has_panel_2,
+   ro.* EXCLUDE (project_id, row_no), opening_mode AS schedule_mode, plan_mode, plan_wall, coalesce(qty, 0) AS qty, qty IS NOT NULL AS located, coalesce(floors, '') AS floors, sh.mark IS NOT NULL AS in_spec,
+   lower(concat_ws(' ', row_text, s.mark, plan_wall, plan_mode)) AS txt, (s.schedule_type = 'window' OR s.mark LIKE 'W%' OR s.mark LIKE 'V%') AS is_window
+  FROM v_sched s JOIN fe USING (project_id, row_no) JOIN ro USING (project_id, row_no) JOIN rt USING (project_id, row_no) JOIN md USING (row_no)
+   LEFT JOIN fd ON fd.project_id = s.project_id AND fd.mark = s.mark LEFT JOIN fl ON fl.project_id = s.project_id AND fl.mark = s.mark LEFT JOIN sh ON sh.project_id = s.project_id AND sh.mark = s.mark),
+r1 AS (SELECT *, {QT.CASED} AS is_cased FROM r0),
+r2 AS (SELECT *, in_spec OR {QT.sql_any("(door_material || ' ' || frame_material || ' ' || door_type || ' ' || comments)", QT.V.STOREFRONT_PHRASES)}
+   OR (is_cased AND has_hardware AND frame_material IN {QT.sql_list(QT.V.BLANK_FRAME)}) OR {QT.SF_MAT.format(c='door_material')} OR {QT.SF_MAT.format(c='frame_material')} AS is_storefront,
+  {QT.sql_any('comments', QT.V.DOUBLE_ACTING_PHRASES)} OR {QT.sql_any('door_type', QT.V.DOUBLE_ACTING_PHRASES)} OR len(list_intersect(string_split(door_type, ' '), ['DA', 'AB'])) > 0
+   OR len(list_intersect(string_split(comments, ' '), ['DA', 'AB'])) > 0 AS is_da FROM r1),
+r3 AS (SELECT *, CASE WHEN is_storefront OR is_window THEN 'STOREFRONT' WHEN is_cased THEN 'CO' WHEN is_da THEN 'DA' WHEN has_panel_2 THEN 'PR' ELSE schedule_mode END AS resolved_mode FROM r2),
+r4 AS (SELECT *, CASE WHEN plan_mode IN ('CO', 'REV') AND (has_hardware OR has_material) THEN CASE WHEN has_panel_2 THEN 'PR' ELSE 'SGL' END
+   WHEN plan_mode = 'PR' AND NOT has_panel_2 AND resolved_mode = 'SGL' THEN 'SGL' ELSE coalesce(plan_mode, 'UNKNOWN') END AS cleaned,
+  CASE WHEN explicit_exterior OR coalesce(plan_wall, '') IN ('EXT', 'EXTERIOR') THEN 'Exterior' ELSE 'Interior' END AS side5,
+  {QT.sql_any('txt', QT.V.MULTIFOLD_WORDS)} AS multifold, {QT.sql_any('txt', QT.V.SIDELITE_WORDS)} AS sidelite, {QT.sql_any('txt', QT.V.SOFT_EXTERIOR_WORDS)} AS soft FROM r3),
+r5 AS (SELECT *, multifold OR is_storefront AS excluded, located AND resolved_mode <> 'STOREFRONT' AND coalesce(plan_mode, 'UNKNOWN') <> 'UNKNOWN' AND NOT (resolved_mode = cleaned OR (resolved_mode = 'PR' AND cleaned IN ('DE', 'DA'))) AS mode_conflict,
+  CASE WHEN multifold OR is_storefront THEN 'Not in Scope' WHEN is_window OR sidelite THEN 'Window' WHEN is_cased THEN side5 WHEN soft THEN 'Soft Exterior' WHEN explicit_exterior THEN 'Exterior' ELSE side5 END AS bucket,
+  CASE WHEN multifold THEN '{QT.V.NOTE_MULTIFOLD}' WHEN is_storefront THEN 'Door Excluded. Door material ' || coalesce(nullif(door_material, ''), 'HM') || ' but on elevation it is storefront.'
+   WHEN is_window THEN NULL WHEN sidelite THEN '{QT.V.NOTE_SIDELITE}' WHEN is_cased THEN '{QT.V.NOTE_CASED}' END AS note FROM r4),
+rec AS (SELECT *, {QT.SECTION} AS section, CASE WHEN schedule_type IN ('door', 'window') THEN schedule_type WHEN is_window THEN 'window' ELSE 'door' END AS opening_kind,
+  CASE WHEN resolved_mode = 'STOREFRONT' THEN 'STOREFRONT' WHEN NOT is_window AND NOT sidelite THEN resolved_mode END AS reconciled_mode,
+  CASE WHEN resolved_mode = 'STOREFRONT' AND is_window AND NOT is_storefront AND NOT excluded THEN bucket WHEN resolved_mode = 'STOREFRONT' THEN 'Not in Scope' ELSE bucket END AS reconciled_int_ext,
+  CASE WHEN excluded THEN 'EXCLUDED' WHEN NOT located THEN 'NOT FOUND' WHEN mode_conflict THEN 'CONFLICT' ELSE 'VERIFIED' END AS status FROM r5),
+{QJ.BIFURCATED},
+doors AS (SELECT rec.* EXCLUDE (mark), b.mark, b.is_bifurcated, b.wall_variant, trim(concat_ws(' ', CASE WHEN b.is_bifurcated THEN '{QT.V.NOTE_WALL}' ELSE note END, CASE WHEN NOT located THEN 'Not Found' END)) AS takeoff_notes
+  FROM rec JOIN bif b ON rec.project_id = b.project_id AND rec.row_no = b.row_no WHERE opening_kind = 'door')"""
+QUEUE_SQL = """tr AS (SELECT project_id, mark, bool_or(k = 0) AS s, bool_or(k = 1) AS o, bool_or(k = 2) AS c FROM (SELECT project_id, mark, 0 AS k FROM v_sched
+   UNION ALL SELECT project_id, mark, 1 FROM v_det WHERE supp_no % 10 <> 4 UNION ALL SELECT project_id, mark, 2 FROM v_det) GROUP BY ALL),
+ex AS (SELECT 'P' || CAST(n_nationkey % 8 AS STRING) AS project_id, 'Alum doors ' || n_name AS exclusion FROM nation WHERE n_nationkey % 5 = 0),
+qu AS (SELECT project_id, 'orphan_plan_mark' AS type, mark, 'Found in floor plan but missing from the uploaded schedule.' AS context FROM tr WHERE (o OR c) AND NOT s
+  UNION ALL SELECT project_id, 'missing_from_plan', mark, 'Exists in schedule but could not be located on the floor plan by OCR or CV.' FROM tr WHERE s AND NOT (o OR c)
+  UNION ALL SELECT project_id, 'ocr_cv_mismatch', mark, 'Detected by CV but missed by OCR Consensus.' FROM tr WHERE c AND NOT o
+  UNION ALL SELECT rec.project_id, 'aluminium_exclusion_flag', mark, 'Specification Exclusion Audit: ''' || exclusion || '''. Verify if this opening should be removed from scope.' FROM rec JOIN ex USING (project_id)
+   WHERE """ + QT.sql_any("first_material", QT.V.ALUMINIUM_MATERIAL) + """
+  UNION ALL SELECT project_id, 'opening_mode_conflict', mark, 'Opening Mode Conflict: Schedule suggests ''' || resolved_mode || ''' but floor plan crop reads as ''' || cleaned || '''.' FROM rec WHERE mode_conflict
+  UNION ALL SELECT project_id, 'mark_not_located', mark, 'Mark Not Located: Mark ''' || mark || ''' from schedule registry was not located on floor plan drawing. Flagged for human review.' FROM rec WHERE NOT located)"""
+TRACK_VIEWS = ("v_sched", "v_cells", "v_det")
+
+
+@q(
+    "reconcile_full",
+    f"""WITH {RECONCILED} SELECT project_id, row_no, mark, CAST(qty AS BIGINT) AS qty, section, bucket, reconciled_mode, reconciled_int_ext, status, takeoff_notes, floors,
+  mode_conflict OR NOT located AS needs_review, is_bifurcated, wall_variant FROM doors""",
+    *TRACK_VIEWS,
+)
 def _(t):
     doors = reconcile(tracks(t))["doors"]
     return doors.select(
@@ -521,24 +577,54 @@ def _(t):
     )
 
 
-@q("reconcile_windows")
+@q(
+    "reconcile_windows",
+    f"""WITH {RECONCILED} SELECT project_id, row_no, mark, CAST(qty AS BIGINT) AS qty, bucket, status,
+  trim(concat_ws(' ', note, CASE WHEN NOT located THEN 'Not Found' END)) AS takeoff_notes FROM rec WHERE opening_kind = 'window'""",
+    *TRACK_VIEWS,
+)
 def _(t):
     return reconcile(tracks(t))["windows"].select("project_id", "row_no", "mark", "qty", "bucket", "status", "takeoff_notes")
 
 
+@q(
+    "reconcile_queue",
+    f"WITH {RECONCILED}, {QUEUE_SQL} SELECT *, sha256(concat_ws('|', project_id, type, mark, context)) AS item_id FROM qu",
+    *TRACK_VIEWS,
+)
+def _(t):
+    return reconcile(tracks(t))["queue"]
+
+
 @q("reconcile_log")
 def _(t):
     return reconcile(tracks(t))["log"]
 
 
-@q("reconcile_gates")
+@q(
+    "reconcile_gates",
+    f"""WITH {RECONCILED}, {QUEUE_SQL}, p AS (SELECT DISTINCT project_id FROM v_sched), n AS (SELECT project_id, count(*) AS n FROM qu GROUP BY 1),
+  x AS (SELECT project_id, count(*) FILTER (excluded AND takeoff_notes = '') AS n7, count(*) FILTER (section <> 'OVERHEAD' AND mark LIKE 'OH%') AS n9 FROM doors GROUP BY 1)
+  SELECT project_id, gate, CAST(n AS BIGINT) AS n_issues, CASE WHEN na THEN 'NOT_APPLICABLE' WHEN n = 0 THEN 'PASSED' ELSE 'REVIEW_REQUIRED' END AS status FROM (
+   SELECT p.project_id, 'gate1_schedule_reconciliation' AS gate, coalesce(n, 0) AS n, FALSE AS na FROM p LEFT JOIN n USING (project_id)
+   UNION ALL SELECT project_id, unnest(['gate2_unit_count_reconciliation', 'gate3_unit_door_matrix', 'gate4_formula_validation', 'gate5_spot_checks']), 0, TRUE FROM p
+   UNION ALL SELECT project_id, 'gate7_scope_review', n7, FALSE FROM x UNION ALL SELECT project_id, 'gate8_bifurcation_completeness', 0, FALSE FROM p
+   UNION ALL SELECT project_id, 'gate9_cased_overhead', n9, FALSE FROM x)""",
+    *TRACK_VIEWS,
+)
 def _(t):
     return reconcile(tracks(t))["gates"]
 
 
-@q("estimator_sheet")
+@q(
+    "estimator_sheet",
+    f"""WITH {RECONCILED} SELECT project_id, row_no, CAST(qty AS STRING) AS "Qty", mark AS "NUMBER", location AS "LOCATION", coalesce(reconciled_mode, 'Single') AS "Opening Mode", bucket AS "Int/Ext",
+  coalesce(wall_variant, 'DRY') AS "Wall Type", takeoff_notes AS "Takeoff Notes", CASE WHEN row_no % 4 IN (0, 3) THEN width ELSE '' END AS "WIDTH", '' AS "HEIGHT", '' AS "THICKNESS",
+  CASE WHEN row_no % 4 = 3 THEN '' ELSE printed_type END AS "DOOR TYPE", printed_door AS "DOOR MATERIAL", CASE WHEN {QT.DRIFT} THEN '' ELSE finish END AS "DOOR FINISH", '' AS "FRAME TYPE",
+  printed_frame AS "FRAME MATERIAL", '' AS "FRAME FINISH", CASE WHEN {QT.DRIFT} THEN finish ELSE head END AS "HEAD", CASE WHEN {QT.DRIFT} THEN head ELSE jamb END AS "JAMB",
+  CASE WHEN {QT.DRIFT} THEN jamb ELSE '' END AS "SILL", '' AS "FIRE RATING", hardware AS "HARDWARE SET", 'No' AS "KEY CARD READER", CASE WHEN row_no % 4 IN (0, 3) THEN printed ELSE '' END AS "COMMENTS" FROM doors""",
+    *TRACK_VIEWS,
+)
 def _(t):
     doors = reconcile(tracks(t))["doors"]
     return M.door_schedule_23(doors, ("project_id", "row_no"))
-
-

@@ -215,12 +215,13 @@ class Catalog:
     """Queries by name with their expected-result SQL."""
 
     def __init__(self):
-        self.queries, self.sql = {}, {}
+        self.queries, self.sql, self.sql_body = {}, {}, {}
 
     def add(self, name: str, sql: str | None = None, *views: str):
         def register(fn):
             self.queries[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
             if sql is not None:
+                self.sql_body[name] = sql.strip()
                 self.sql[name] = oracle(sql, *views)
             return fn
 

@@ -73,9 +73,9 @@ class _Limiter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         accepted = list(self.log.get()[0]) if self.log.exists() else []
         for pdf in rows:
-            pdf = pdf.sort_values(["_us", "_seq"])
-            pdf = pdf.assign(admitted=_admit_times(pdf["_us"].tolist(), accepted, self.limit, self.window))
-            yield pdf[[self.key, "_seq", "_us", "admitted"]]
+            pdf = pdf.sort_values(["micros", "seq_no"])
+            pdf = pdf.assign(admitted=_admit_times(pdf["micros"].tolist(), accepted, self.limit, self.window))
+            yield pdf[[self.key, "seq_no", "micros", "admitted"]]
         self.log.update((accepted,))
 
     def close(self) -> None:
@@ -90,21 +90,21 @@ def admit(stream: DataFrame, key="user_id", ts="ts", limit=V.RATE_LIMIT, seconds
     """Sliding-log limiter on a stream: rejected events do not count.
 
     State per key is the last ``limit`` accepted times. Needs the RocksDB state store. Events
-    are taken in arrival order of micro-batches, by time inside a batch.
+    are taken in the order they arrive, by time inside each delivered batch of rows.
     """
-    rows = stream.select(F.col(key), F.col(seq).cast("bigint").alias("_seq"), _micros(ts).alias("_us"))
+    rows = stream.select(F.col(key), F.col(seq).cast("bigint").alias("seq_no"), _micros(ts).alias("micros"))
     schema = StructType(
         [
             rows.schema[key],
-            StructField("_seq", LongType()),
-            StructField("_us", LongType()),
+            StructField("seq_no", LongType()),
+            StructField("micros", LongType()),
             StructField("admitted", BooleanType()),
         ]
     )
     out = rows.groupBy(key).transformWithStateInPandas(
         statefulProcessor=_Limiter(key, limit, seconds), outputStructType=schema, outputMode="Append", timeMode="None"
     )
-    return out.select(key, F.col("_seq").alias(seq), F.timestamp_micros("_us").alias(ts), "admitted")
+    return out.select(key, F.col("seq_no").alias(seq), F.timestamp_micros("micros").alias(ts), "admitted")
 
 
 def admit_batch(df: DataFrame, key="user_id", ts="ts", limit=V.RATE_LIMIT, seconds=V.RATE_WINDOW_SECONDS, seq="event_id") -> DataFrame:
