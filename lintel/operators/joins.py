@@ -131,7 +131,12 @@ def confusion_join(words: DataFrame, marks: DataFrame, on="text", variants=None,
         .groupBy(*key, "_raw")
         .agg(F.min_by("mark", "priority").alias("mark"), F.min("priority").alias("priority"))
     )
-    return keyed.join(best, [*key, "_raw"]).drop("_raw")
+    # One row per word id, also where several printed words share one.
+    return (
+        keyed.join(best, [*key, "_raw"])
+        .groupBy(*key, *word_id)
+        .agg(F.min_by("mark", "priority").alias("mark"), F.min("priority").alias("priority"))
+    )
 
 
 def _substrings(c, min_len=1):

@@ -282,13 +282,20 @@ def in_tag_circle(words: DataFrame, paths: DataFrame, key=("project_id", "page_i
     )
 
 
+def _rows_at(df, kept, key, order):
+    """Rows of ``df`` that hold the best rank of a kept position."""
+    winners = kept.select(*key, F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("r"))
+    return df.join(winners, [*key, "cx", "cy"]).where(order == F.col("r")).select(*df.columns)
+
+
 def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), key=("project_id", "page_id", "mark"), exact=False, max_rounds=1000) -> DataFrame:
     """Drop points closer than ``eps`` in both axes to a better-ranked one.
 
     ``exact=False`` drops a point next to any better-ranked point. ``exact=True`` is the greedy
     rule: only a *kept* point drops its neighbours. It runs in rounds; each round keeps the
     points that outrank the best of their 3x3 cells and drops what they cover. A cell of side
-    ``eps`` holds at most one kept point, so no round ever pairs up a crowded cell.
+    ``eps`` holds at most one kept point, so no round ever pairs up a crowded cell. Ranks are
+    taken to be unique; rows that tie at one position stay together.
     """
     key, rank = _list(key), _list(rank)
     order = F.struct(*rank)
@@ -318,10 +325,6 @@ def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), k
     spots = spots.withColumn("_cell", cell_of(F.col("x"), F.col("y")))
 
     if not exact:
-        rest = [c for c in df.columns if c not in key]
-        spots = df.groupBy(*key, F.col("cx").alias("x"), F.col("cy").alias("y")).agg(
-            F.min(order).alias("r"), F.min_by(F.struct(*rest), order).alias("_row")
-        ).withColumn("_cell", cell_of(F.col("x"), F.col("y")))
         other = spots.select(
             *[F.col(k).alias(f"_on_{k}") for k in key], F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("r").alias("_r"), around().alias("_near")
         ).withColumns({"_nx": F.col("_near.cx"), "_ny": F.col("_near.cy")}).drop("_near")
@@ -329,8 +332,7 @@ def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), k
         meets = (F.col("_gx") == F.col("_nx")) & (F.col("_gy") == F.col("_ny")) & near & (F.col("_r") < F.col("r"))
         for k in key:
             meets = meets & (F.col(k) == F.col(f"_on_{k}"))
-        kept = spots.join(other, meets, "left_anti")
-        return kept.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+        return _rows_at(df, spots.join(other, meets, "left_anti"), key, order)
     kept, left = None, checkpoint(spots)
     for _ in range(max_rounds):
         if left.isEmpty():
@@ -346,8 +348,7 @@ def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), k
         raise RuntimeError("spatial_dedup did not settle")
     if kept is None:
         return df.where(F.lit(False))
-    winners = kept.select(*key, F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("r"))
-    return df.join(winners, [*key, "cx", "cy"]).where(order == F.col("r")).select(*df.columns)
+    return _rows_at(df, kept, key, order)
 
 
 def leaf_groups(paths: DataFrame, eps=V.LEAF_EPS, key=("project_id", "page_id", "mark_id")) -> DataFrame:
