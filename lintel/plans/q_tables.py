@@ -628,3 +628,37 @@ def _(t):
 def _(t):
     doors = reconcile(tracks(t))["doors"]
     return M.door_schedule_23(doors, ("project_id", "row_no"))
+
+
+@q(
+    "review_step",
+    """WITH l AS (SELECT 'D' || CAST(user_id AS STRING) AS item_id, arg_max(event_type, event_id) AS decision FROM events GROUP BY 1)
+  SELECT s.mark AS item_id, coalesce(decision, 'open') AS decision FROM v_sched s LEFT JOIN l ON l.item_id = s.mark""",
+    "v_sched",
+)
+def _(t):
+    decisions = t.events.select(F.expr("'D' || user_id").alias("item_id"), F.col("event_type").alias("decision"), F.col("event_id").alias("seq"))
+    waiting, resolved = ST.review_step(t.v_sched.select(F.col("mark").alias("item_id")), decisions)
+    return waiting.withColumn("decision", F.lit("open")).unionByName(resolved.select("item_id", "decision"))
+
+
+@q(
+    "thickness_bifurcation",
+    f"""SELECT row_no, s.mark || x AS mark, CASE WHEN x <> '' THEN 'Door Bifurcated due to larger wall.' END AS bifurcation_note FROM
+  (SELECT s.row_no, s.mark, unnest(CASE WHEN b THEN ['', '.4'] ELSE [''] END) AS x FROM v_sched s LEFT JOIN (SELECT project_id, mark, bool_or(quantity <= 48) AND bool_or(quantity > 48) AS b FROM v_det GROUP BY ALL) USING (project_id, mark)) s""",
+    "v_sched", "v_det",
+)
+def _(t):
+    det = t.v_det.withColumn("thickness", F.expr("CASE WHEN quantity > 48 THEN 'LARGER' ELSE 'STANDARD' END"))
+    rows = D.bifurcate_by(t.v_sched.select(*QJ.MARK, "row_no"), det, cond="thickness", suffix=".4", standard="STANDARD", note="Door Bifurcated due to larger wall.")
+    return rows.select("row_no", "mark", "bifurcation_note")
+
+
+@q(
+    "room_boxes",
+    """SELECT page_id, greatest(0.0, min(w_cx / 1000) - 0.01) AS x0, greatest(0.0, min(w_cy / 800) - 0.01) AS y0, least(1.0, max(w_cx / 1000) + 0.01) AS x1, least(1.0, max(w_cy / 800) + 0.01) AS y1 FROM v_det GROUP BY page_id""",
+    "v_det",
+)
+def _(t):
+    hits = t.v_det.selectExpr("page_id", "w_cx / 1000 as x0", "w_cy / 800 as y0", "w_cx / 1000 as x1", "w_cy / 800 as y1")
+    return QJ.J.merge_boxes(hits, "page_id")
