@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintel.llm import mixing, quality_rules, sharding
+from lintel.llm import hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
 from lintel.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -15,6 +15,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     out = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -26,9 +31,49 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_pack_hilbert(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_pii(spark, sf_dir):
+    return pii_crf.find_pii(read(spark, sf_dir, "documents"))
+
+
+def _fold(of: int):
+    """The rest of crc32(doc_id as text) by ``of``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def _held_out(scored, of: int, rest: int):
+    held = F.coalesce(_fold(of) == rest, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_quality_cnn(spark, sf_dir):
+    return _held_out(quality_cnn.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), _fold(4) != 2), 4, 2)
+
+
 @query
 def op8_shard_shuffle(spark, sf_dir):
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
     out = sharding.shuffle_shards(rows, 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_toxicity_mil(spark, sf_dir):
+    return _held_out(toxicity_mil.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), _fold(3) != 1), 3, 1)
+
+
+@query
+def op10_hnsw(spark, sf_dir):
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
