@@ -250,6 +250,15 @@ def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def cleaned(text: str, model) -> str:
+    """The text with all spans masked, again until no pattern matches: a masked neighbour can lay a further number bare."""
+    base, every = find(text, model)
+    while any(base):
+        text = masked(text, every)
+        base, every = find(text, model)
+    return text
+
+
 def _suspects(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Rows that hold an at sign or at least four digits: no other can match."""
     digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
@@ -293,7 +302,7 @@ def mask_pii(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
         for batch in slices(batches, "text"):
             col = batch.column(at)
             hits = set(np.flatnonzero(_suspects(*text_bytes(col))).tolist())
-            texts = [masked(t, find(t, model)[1]) if i in hits else t for i, t in enumerate(col.to_pylist())]
+            texts = [cleaned(t, model) if i in hits else t for i, t in enumerate(col.to_pylist())]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, col.type))
 
     out = docs.mapInArrow(run, docs.schema)
