@@ -42,7 +42,7 @@ def unpress_sorted(blob: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- runs
 
 
-def _gather(batches):
+def _gather(batches, most: int):
     """Rows of one task as runs: ids, offsets and the compressed text."""
     task, ids, sizes, parts, held = TaskContext.get().partitionId(), [], [], [], 0
     made = 0
@@ -59,7 +59,7 @@ def _gather(batches):
         sizes.append(np.diff(offs))
         parts.append(raw.tobytes())
         held += len(raw)
-        if held >= RUN_BYTES:
+        if held >= most:
             yield run()
             made, ids, sizes, parts, held = made + 1, [], [], [], 0
     if ids:
@@ -87,6 +87,6 @@ class Run:
         return np.searchsorted(self.offs, places, side="right") - 1
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """run, ids, sizes, text: the rows of docs (doc_id, text) as runs; a null text is empty."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_gather, "run long, ids binary, sizes binary, text binary")
+def gather(docs: DataFrame, most: int = RUN_BYTES) -> DataFrame:
+    """run, ids, sizes, text: the rows of docs (doc_id, text) as runs of about ``most`` bytes; a null text is empty."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda batches: _gather(batches, most), "run long, ids binary, sizes binary, text binary")

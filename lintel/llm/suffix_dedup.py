@@ -24,6 +24,8 @@ from lintel.llm.runs import NONE, Run, gather, press, press_sorted, unpress, unp
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 SPAN, PREFIX = 50, 16
+#: Bytes of text in a run. A task holds some forty bytes for each while it sorts and marks one.
+RUN_BYTES = 12 << 20
 #: Bytes that a window may have before its anchor.
 BEFORE = SPAN - PREFIX
 
@@ -133,12 +135,13 @@ class Suffixes:
         key[:, -2], key[:, -1] = self.right_len, self.left_len
         words = np.concatenate((key, np.zeros((len(key), -key.shape[1] % 8), np.uint8)), 1).view(">u8").astype(np.uint64)
         order = np.lexsort((*words.T[::-1], bucket))
-        words, bucket, key = words[order], bucket[order], key[order]
+        words, bucket, key = words[order], bucket[order].astype(np.int32), key[order]
         new = np.ones(len(key), bool)
         new[1:] = (words[1:] != words[:-1]).any(1) | (bucket[1:] != bucket[:-1])
         self.entry = np.cumsum(new) - 1  # of each place, in sorted order
         self.places, self.doc = at[order], doc[order]
         self.key, self.bucket = key[new], bucket[new]
+        del words, key, padded
         first = np.flatnonzero(new)
         ids = r.order[self.doc]
         self.least = np.minimum.reduceat(ids, first) if len(first) else np.zeros(0, np.int64)
@@ -327,15 +330,16 @@ def _removed(buckets: int, texts: bool):
                     place, which = s.places[place[hit]], which[hit]
                     np.add.at(cover, place - reach[which, 1], 1)
                     np.add.at(cover, place - reach[which, 0] + SPAN, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+                del cover
                 opens = gone & ~np.concatenate(([False], gone[:-1]))
                 opens[r.offs[:-1][r.offs[:-1] < len(gone)]] = gone[r.offs[:-1][r.offs[:-1] < len(gone)]]
-                n_gone, n_open = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(opens)))
+                n_gone, n_open = (np.concatenate(([0], np.cumsum([x[a:b].sum() for a, b in zip(r.offs[:-1], r.offs[1:], strict=True)], dtype=np.int64))) for x in (gone, opens))
                 kept_bytes = r.raw[~gone].tobytes()
-                to = r.offs - n_gone[r.offs]
+                to = r.offs - n_gone
                 kept = [kept_bytes[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
                 out = {
-                    "doc_id": pd.array(r.ids, "Int64"), "n_bytes": np.diff(r.offs), "n_removed": np.diff(n_gone[r.offs]), "n_spans": np.diff(n_open[r.offs]), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
+                    "doc_id": pd.array(r.ids, "Int64"), "n_bytes": np.diff(r.offs), "n_removed": np.diff(n_gone), "n_spans": np.diff(n_open), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
                 }
                 out["doc_id"][r.ids == NONE] = pd.NA
                 if texts:
@@ -353,8 +357,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     empty texts have no bytes, texts below SPAN bytes stay whole, very long ones are runs of their
     own. Repeated strings within one document stay. Extra columns are ignored; empty tables stay empty.
     """
-    runs = cut(gather(docs))
-    buckets = max(1, runs.count())
+    runs = cut(gather(docs, RUN_BYTES))
+    buckets = max(1, -(-runs.count() // 2))
     offers = runs.mapInArrow(_offers(buckets), "bucket long, run long, hashes binary, many binary")
     kept = offers.groupBy("bucket").applyInPandas(_survivors, "run long, kept binary")
     kept = cut(kept.groupBy("run").agg(F.collect_list("kept").alias("kept")))  # of one run: no more than its own anchors
