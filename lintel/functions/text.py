@@ -1,18 +1,14 @@
 """Column -> Column normalisation of marks, headers, dimensions and rule texts.
 
-Everything is a native expression, so it stays inside whole-stage codegen; the only Python
-is the exact sequence-match ratio in :func:`similarity`.
+Everything is a native expression, so it stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from lintel import vocab as V
 
@@ -293,21 +289,8 @@ def sf_material(c) -> Column:
     return ~m.isin(V.BLANK_STOREFRONT) & (hit | any_of(m, ["AL/GL", "GL/AL"]))
 
 
-@F.pandas_udf(DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            None if x is None or y is None else SequenceMatcher(None, x.strip().upper(), y.strip().upper()).ratio()
-            for x, y in zip(a, b)
-        ],
-        dtype="float64",
-    )
-
-
-def similarity(a, b, method="levenshtein") -> Column:
-    """0..1 likeness. ``ratio`` is the exact sequence-match ratio, ``levenshtein`` stays in the JVM."""
-    if method == "ratio":
-        return _sequence_ratio(col(a), col(b))
+def similarity(a, b) -> Column:
+    """0..1 likeness by edit distance."""
     a, b = mark_key(a), mark_key(b)
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)

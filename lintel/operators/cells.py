@@ -1,6 +1,7 @@
 """Schedule rows with arbitrary headers, kept as long cells (one row per printed cell).
 
-A cell is ``(project_id, row_no, col_no, header, value, schedule_type)``. Everything a rule
+A cell is ``(project_id, table_id, row_no, col_no, header, value, schedule_type)``; a project
+may hold several tables, and rows of equal number in two tables are different rows. Everything a rule
 needs from a row comes out of one conditional aggregation over its cells.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lintel import vocab as V
 from lintel.functions import text as T
 
-ROW = ("project_id", "row_no")
+ROW = ("project_id", "table_id", "row_no")
 
 
 def to_cells(df: DataFrame, key, columns, schedule_type=None) -> DataFrame:

@@ -91,15 +91,19 @@ def occurrence_index(df: DataFrame, key=("project_id", "page_id", "mark"), order
 def best_evidence(df: DataFrame, level="level", value="value", key=("project_id", "item")) -> DataFrame:
     """Value of the strongest source; different values at that level are a conflict.
 
-    Two partial aggregations instead of a ranking window, so a hot item never gathers in one task.
+    Named levels rank as in EVIDENCE_LEVELS, unknown ones last; a number is its own rank. A value
+    that rests on the weakest known level or on an unknown one is INFERRED. Two partial aggregations instead of a ranking window, so a hot item never gathers in one task.
     """
     key = _list(key)
-    per_level = df.groupBy(*key, level).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    best = per_level.groupBy(*key).agg(F.min_by(F.struct(F.col(level).alias("l"), "_lo", "_hi"), level).alias("b"))
+    place = F.array_position(F.array(*map(F.lit, V.EVIDENCE_LEVELS)), F.col(level).cast("string")).cast("int")
+    last = len(V.EVIDENCE_LEVELS)
+    rank = F.when(place > 0, place).otherwise(last + 1) if dict(df.dtypes)[level] == "string" else F.col(level)
+    per_level = df.groupBy(*key, level).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_r", F.struct(rank, level))
+    best = per_level.groupBy(*key).agg(F.min_by(F.struct(F.col(level).alias("l"), "_lo", "_hi", F.col("_r.col1").alias("r")), "_r").alias("b"))
     conflict = F.col("b._lo") != F.col("b._hi")
     return best.select(
         *key, F.col("b.l").alias(level), F.when(conflict, F.lit(None)).otherwise(F.col("b._lo")).alias(value),
-        F.when(conflict, "CONFLICT").otherwise("VERIFIED").alias("status"),
+        F.when(conflict, "CONFLICT").when(F.col("b.r") >= last, "INFERRED").otherwise("VERIFIED").alias("status"),
     )
 
 

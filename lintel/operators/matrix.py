@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel import vocab as V
-from lintel.functions import text as T
 
 
 def _list(x):
@@ -19,13 +18,14 @@ def section_totals(df: DataFrame, dims=("building", "floor", "section", "mark"),
 
 
 def unit_count(df: DataFrame, unit_type="unit_type", floor="floor", qty="count", building="building") -> DataFrame:
-    """Units per type and floor with row, column and building totals; ADA types stay apart."""
-    return (
-        df.groupBy(building, unit_type, floor)
-        .agg(F.sum(qty).alias("_n"))
-        .cube(building, unit_type, floor)
-        .agg(F.sum("_n").alias("n_units"), F.grouping_id().cast("bigint").alias("level"))
-        .where(F.col(building).isNotNull() | (F.col("level") == 7))
+    """Units per type and floor with row, column and building totals; ADA types stay apart.
+
+    Subtotals are told by ``level``, so units without a building are a building of their own.
+    """
+    fine = df.groupBy(building, unit_type, floor).agg(F.sum(qty).alias("_n"))
+    sets = [[building, unit_type, floor], [building, unit_type], [building, floor], [building], []]
+    return fine.groupingSets(sets, building, unit_type, floor).agg(
+        F.sum("_n").alias("n_units"), F.grouping_id().cast("bigint").alias("level")
     )
 
 
@@ -82,9 +82,9 @@ def expand_layout(df: DataFrame, layout="layout", floors="n_floors", matrix: Dat
 
 
 def unit_door_pivot(long: DataFrame, tags, row="unit_type", key=("project_id",)) -> DataFrame:
-    """Input and Extended column per tag, in tag order, with the row total."""
+    """Input and Extended column per tag, in tag order, with the row total; repeated inputs of a tag add up."""
     wide = long.groupBy(*_list(key), row).pivot("tag", list(tags)).agg(
-        F.first("input").alias("Input"), F.sum("extended").alias("Extended")
+        F.sum("input").alias("Input"), F.sum("extended").alias("Extended")
     )
     cells = [(f"{t}_{k}", F.coalesce(F.col(f"`{t}_{k}`"), F.lit(0))) for t in tags for k in ("Input", "Extended")]
     total = sum((F.coalesce(F.col(f"`{t}_Extended`"), F.lit(0)) for t in tags), F.lit(0))
@@ -128,7 +128,3 @@ def totals_by(df: DataFrame, dims, qty="qty") -> DataFrame:
 
 def section_counts(df: DataFrame, key=("project_id",)) -> DataFrame:
     return df.groupBy(*_list(key), "section").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def blank_to(c, value):
-    return F.coalesce(F.nullif(T.text_of(c), F.lit("")), F.lit(value))

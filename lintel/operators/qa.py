@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions import text as T
-from lintel.operators import joins as J
 
 
 def _list(x):
@@ -31,7 +30,10 @@ def qa_gates(tables: dict[str, DataFrame]) -> DataFrame:
     """Gate table per project; gates without input are NOT_APPLICABLE.
 
     Uses rows, doors, queue and, if present, unit_counts (project_id, building, floor, unit_type,
-    plan, matrix, mix), matrix and expected_doors (project_id, tag, expected).
+    plan, matrix, mix), matrix, expected_doors (project_id, tag, expected), unit_mix, unit_door_input
+    and detections. A gate compares what was made with figures it was not made from: totals with
+    stated quantities, products with the unit mix and inputs, variants and overhead doors with the
+    detections, cased openings with their materials.
     """
     rows, doors, queue = tables["rows"], tables["doors"], tables["queue"]
     projects = rows.select("project_id").distinct()
@@ -55,26 +57,37 @@ def qa_gates(tables: dict[str, DataFrame]) -> DataFrame:
     )
     matrix, expected = tables.get("matrix"), tables.get("expected_doors")
     gate3 = None
-    if matrix is not None:
-        per_tag = matrix.groupBy("project_id", "tag").agg(F.sum("extended").alias("extended"))
-        if expected is not None:
-            per_tag = per_tag.join(expected, ["project_id", "tag"], "left")
-        else:
-            per_tag = per_tag.withColumn("expected", F.col("extended"))
-        gate3 = _gate("3", per_tag, F.col("extended") != F.coalesce("expected", F.col("extended")))
+    if matrix is not None and expected is not None:
+        made = matrix.groupBy("project_id", "tag").agg(F.sum("extended").alias("extended"))
+        stated = expected.groupBy("project_id", "tag").agg(F.sum("expected").alias("expected"))
+        per_tag = stated.join(made, ["project_id", "tag"], "left")
+        gate3 = _gate("3", per_tag, F.coalesce("extended", F.lit(0)) != F.col("expected"))
     gates.append(filled(gate3, "gate3_unit_door_matrix"))
     gates.append(filled(None, "gate4_formula_validation"))
-    spot = None if matrix is None else _gate("5", matrix, F.col("extended") != F.col("qty_units") * F.col("input"))
+    mix, given, spot = tables.get("unit_mix"), tables.get("unit_door_input"), None
+    if matrix is not None and mix is not None and given is not None:
+        units = mix.groupBy("project_id", "unit_type").agg(F.sum("count").alias("_units"))
+        per_unit = given.groupBy("project_id", "unit_type", "tag").agg(F.sum("per_unit").alias("_doors"))
+        again = units.join(per_unit, ["project_id", "unit_type"]).join(matrix.select("project_id", "unit_type", "tag", "extended"), ["project_id", "unit_type", "tag"], "left")
+        spot = _gate("5", again, F.coalesce("extended", F.lit(0)) != F.col("_units") * F.col("_doors"))
     gates.append(filled(spot, "gate5_spot_checks"))
     gates.append(filled(_gate("7", doors, F.col("excluded") & (T.text_of("takeoff_notes") == "")), "gate7_scope_review", "PASSED"))
-    per_mark = doors.where("is_bifurcated").groupBy("project_id", "original_tag").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((T.text_of("takeoff_notes") == "").cast("int")).alias("_blank")
-    )
-    gates.append(
-        filled(_gate("8", per_mark, (F.col("n") < 2) | (F.col("_blank") > 0)), "gate8_bifurcation_completeness", "PASSED")
-    )
-    odd = (F.col("section") == "OVERHEAD") != F.col("mark").startswith("OH")
-    gates.append(filled(_gate("9", doors, odd & F.col("mark").startswith("OH")), "gate9_cased_overhead", "PASSED"))
+    det = tables.get("detections")
+    gate8, stray = None, None
+    if det is not None:
+        seen = det.select("project_id", T.mark_key(T.text_of("mark")).alias("_tag"), F.upper(T.strip(T.text_of("wall_type"))).alias("_w"))
+        walls = seen.where(~F.col("_w").isin("", "UNKNOWN")).distinct().groupBy("project_id", "_tag").agg(F.count(F.lit(1)).alias("_walls")).where("_walls > 1")
+        tag = F.coalesce("original_tag", "mark").alias("_tag")
+        variant = F.when(F.col("is_bifurcated"), F.col("mark"))
+        split = doors.groupBy("project_id", tag).agg(F.countDistinct(variant).alias("_n"), F.max((F.col("is_bifurcated") & (T.text_of("takeoff_notes") == "")).cast("int")).alias("_blank"))
+        gate8 = _gate("8", walls.join(split, ["project_id", "_tag"]), (F.col("_n") != F.col("_walls")) | (F.col("_blank") > 0))
+        recorded = doors.where("section = 'OVERHEAD'").select("project_id", tag)
+        stray = seen.where(F.col("_tag").startswith("OH")).select("project_id", "_tag").distinct().join(recorded, ["project_id", "_tag"], "left_anti")
+    gates.append(filled(gate8, "gate8_bifurcation_completeness"))
+    gate9 = doors.select("project_id", (F.col("is_cased") & (F.col("section") != "CASED")).alias("_bad"))
+    if stray is not None:
+        gate9 = gate9.unionByName(stray.select("project_id", F.lit(True).alias("_bad")))
+    gates.append(filled(_gate("9", gate9, F.col("_bad")), "gate9_cased_overhead", "PASSED"))
     return reduce(lambda a, b: a.unionByName(b), gates)
 
 
@@ -158,10 +171,8 @@ def takeoff_summary(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def queue_counts(queue: DataFrame, key=("project_id",)) -> DataFrame:
-    """Items per type and whether the review gate is open."""
-    key = _list(key)
-    per_type = queue.groupBy(*key, "type").agg(F.count(F.lit(1)).alias("n_items"))
-    return per_type.withColumn("gate_open", F.col("n_items") == 0)
+    """Open items per type; :func:`gate_open` tells which projects may resume."""
+    return queue.groupBy(*_list(key), "type").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 def gate_open(projects: DataFrame, queue: DataFrame, key=("project_id",)) -> DataFrame:
@@ -172,5 +183,3 @@ def gate_open(projects: DataFrame, queue: DataFrame, key=("project_id",)) -> Dat
         *key, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("n_items").isNull().alias("gate_open")
     )
 
-
-totals_reconcile = J.reconcile_totals

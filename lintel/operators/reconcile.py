@@ -84,6 +84,7 @@ def detection_facts(det: DataFrame, order=DET_ORDER) -> DataFrame:
 
 def classify_rows(rows: DataFrame, facts: DataFrame, spec_hits: DataFrame | None = None) -> DataFrame:
     """Schedule rows with plan facts and every decision column."""
+    given = F.coalesce(F.col("needs_review"), F.lit(False)) if "needs_review" in rows.columns else F.lit(False)
     df = rows.join(facts.withColumn("located", F.lit(True)), list(MARK), "left")
     df = df.withColumns(
         {"located": F.coalesce("located", F.lit(False)), "qty": F.coalesce("qty", F.lit(0)),
@@ -95,7 +96,7 @@ def classify_rows(rows: DataFrame, facts: DataFrame, spec_hits: DataFrame | None
     df = K.ad_override(K.bucket5(df))
     df = df.withColumns(
         {
-            "needs_review": F.col("mode_conflict") | ~F.col("located"),
+            "needs_review": F.col("mode_conflict") | ~F.col("located") | given,
             "is_borderline": ~F.col("located"),
             "review_reason": F.when(~F.col("located"), F.lit("mark_not_located_on_drawing")),
         }
@@ -136,31 +137,38 @@ def review_queue(rows: DataFrame, classified: DataFrame, det: DataFrame, ocr: Da
 
 
 def assumption_log(doors: DataFrame, queue: DataFrame) -> DataFrame:
-    """Bifurcations first, then review items, numbered per project.
+    """Bifurcations in schedule order, then review items by type and mark, numbered per project.
 
-    The order is schedule row, then a hash of the item, both numeric and evenly spread.
+    The leading number follows that order (row numbers by the thousand; place of the type, then the
+    first two letters of the mark), so a project is numbered in many short stretches.
     """
+    building = F.col("building") if "building" in doors.columns else F.lit("")
     split = doors.where("is_bifurcated").select(
-        "project_id", F.col("row_no").cast("bigint").alias("_lead"), F.col("FLOOR / LEVEL").alias("floor"),
+        "project_id", F.floor(F.col("row_no") / 1024).cast("bigint").alias("_lead"), F.col("row_no").cast("bigint").alias("_row"), F.col("table_id").alias("_table"),
+        building.alias("building"), F.col("FLOOR / LEVEL").alias("floor"),
         F.col("mark").alias("item"),
         F.concat(F.lit("Bifurcated mark '"), "original_tag", F.lit("' on basis of wall type '"), "wall_variant", F.lit("'")).alias("issue"),
         F.lit("Floor Plan / Partition Schedule").alias("source"), F.lit("CALCULATED").alias("action"),
     )
+    kind = F.array_position(F.array(*map(F.lit, V.QUEUE_TYPES)), F.col("type"))
+    kind = F.when(kind > 0, kind).otherwise(len(V.QUEUE_TYPES) + 1)
+    letters = [F.least(F.ascii(F.substring("mark", i, 1)), F.lit(255)) for i in (1, 2)]
     review = queue.select(
-        "project_id", (F.lit(2**40) + F.crc32(F.col("item_id"))).cast("bigint").alias("_lead"), F.lit("Multiple").alias("floor"),
+        "project_id", (F.lit(2**40) + kind * 65536 + letters[0] * 256 + letters[1]).cast("bigint").alias("_lead"), F.lit(0).cast("bigint").alias("_row"), F.col("type").alias("_table"),
+        F.lit("").alias("building"), F.lit("Multiple").alias("floor"),
         F.col("mark").alias("item"), F.col("context").alias("issue"),
         F.lit("Floor Plan / Schedule").alias("source"), F.lit("VERIFY").alias("action"),
     )
     both = split.unionByName(review)
-    numbered = sequence_ids(both, ("project_id",), ("_lead", "item", "issue"), width=2**20)
-    return numbered.select("project_id", "id", "floor", "item", "issue", "source", "action")
+    numbered = sequence_ids(both, ("project_id",), ("_lead", "_row", "_table", "item", "issue"), width=1)
+    return numbered.select("project_id", "id", "building", "floor", "item", "issue", "source", "action")
 
 
 class Takeoff(Mapping):
     """Lazy outputs of a reconciliation; each frame is built when it is first asked for.
 
-    Inputs: cells, detections, ocr and, optionally, exclusions, spec_text, floors, unit_mix,
-    unit_door_input, unit_counts, expected_doors. Outputs: doors, windows, queue, log, gates and,
+    Inputs: cells, detections, ocr and, optionally, audit (project_id, mark of a second pass over the
+    schedule), exclusions, spec_text, floors, unit_mix, unit_door_input, unit_counts, expected_doors. Outputs: doors, windows, queue, log, gates and,
     with a unit mix, the unit-door matrix.
     """
 
@@ -185,7 +193,8 @@ class Takeoff(Mapping):
 
     @cached_property
     def rows(self):
-        return schedule_rows(self.tables["cells"])
+        rows, audit = schedule_rows(self.tables["cells"]), self.tables.get("audit")
+        return rows if audit is None else J.audit(rows, audit, ("project_id",))
 
     @cached_property
     def classified(self):
@@ -204,6 +213,8 @@ class Takeoff(Mapping):
         det = self.tables["detections"].withColumn("mark", T.mark_key(T.text_of("mark")))
         doors = bifurcate(self.classified.where("opening_kind = 'door'"), det)
         doors = doors.withColumn("note", F.coalesce("bifurcation_note", "note")).drop("bifurcation_note")
+        derived = F.col("is_bifurcated") & (F.col("status") == "VERIFIED")
+        doors = doors.withColumn("status", F.when(derived, "CALCULATED").otherwise(F.col("status")))
         return K.takeoff_notes(doors)
 
     @cached_property

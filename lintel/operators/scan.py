@@ -8,7 +8,6 @@ per bin across bins. The only per-key sort left is over the bin summaries.
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,19 +115,8 @@ def islands(df: DataFrame, key, order, lead, prev, value, is_break, width=DEFAUL
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write a frame once below the folder the session names in ``spark.checkpoint.dir`` and read it back.
-
-    Cuts lineage like ``DataFrame.checkpoint`` but computes the frame once and keeps column
-    pruning. Only a local session without that setting gets a folder of its own.
-    """
+    """Spark's reliable checkpoint, in the folder the session names; a folder of its own only where none is set."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder}/lintel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+    return df.checkpoint()

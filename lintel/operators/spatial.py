@@ -152,19 +152,53 @@ def nearest_span(points: DataFrame, spans: DataFrame, pos="pos", key=("project_i
     return points.join(found, [*key, pos], "left")
 
 
-def _segment_distance(px, py):
-    dx, dy = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
+def _segment_distance(px, py, s="s"):
+    x0, y0, x1, y1 = (F.col(f"{s}{c}") for c in BOX)
+    dx, dy = x1 - x0, y1 - y0
     len2 = dx * dx + dy * dy
-    t = ((px - F.col("sx0")) * dx + (py - F.col("sy0")) * dy) / F.nullif(len2, F.lit(0.0))
+    t = ((px - x0) * dx + (py - y0) * dy) / F.nullif(len2, F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
-    return F.sqrt(F.pow(px - (F.col("sx0") + t * dx), 2) + F.pow(py - (F.col("sy0") + t * dy), 2))
+    return F.sqrt(F.pow(px - (x0 + t * dx), 2) + F.pow(py - (y0 + t * dy), 2))
+
+
+def host_distance(points: DataFrame, walls: DataFrame, segments: DataFrame, dist: DataFrame, reach=V.HOST_WALL_REACH, key=("project_id", "page_id"), point_id="point_id") -> DataFrame:
+    """``dist`` (point_id, dist to the boundary) with ``host_dist``: how far the host wall is from the boundary.
+
+    The host is, of the walls within ``reach`` of the point, the one nearest to the boundary; without
+    one the point's own distance counts. Two segments are 0 apart where they cross, else as far as the
+    nearest end of one from the other.
+    """
+    key = _list(key)
+    wall = walls.select(*key, *[F.col(c).alias(f"w{c}") for c in BOX]).distinct()
+    segs = segments.select(*key, *[F.col(c).alias(f"s{c}") for c in BOX]).distinct()
+
+    def side(ax, ay, bx, by, px, py):
+        return F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
+
+    s, w = ("sx0", "sy0", "sx1", "sy1"), ("wx0", "wy0", "wx1", "wy1")
+    crossing = (side(*s, *w[:2]) * side(*s, *w[2:]) < 0) & (side(*w, *s[:2]) * side(*w, *s[2:]) < 0)
+    ends = F.least(
+        _segment_distance(F.col("wx0"), F.col("wy0")), _segment_distance(F.col("wx1"), F.col("wy1")),
+        _segment_distance(F.col("sx0"), F.col("sy0"), "w"), _segment_distance(F.col("sx1"), F.col("sy1"), "w"),
+    )
+    off = wall.join(segs, key).groupBy(*wall.columns).agg(F.min(F.when(crossing, 0.0).otherwise(ends)).alias("_off"))
+    cover = _cells(F.least("wx0", "wx1") - reach, F.least("wy0", "wy1") - reach, F.greatest("wx0", "wx1") + reach, F.greatest("wy0", "wy1") + reach, reach)
+    pad = reach * (1 + math.sqrt(2) / 2)
+    cover = F.filter(cover, lambda c: _segment_distance((c["cx"] + 0.5) * F.lit(reach), (c["cy"] + 0.5) * F.lit(reach), "w") <= pad)
+    cell = F.struct(*[F.floor(F.col(c) / F.lit(reach)).cast("bigint").alias(c) for c in ("cx", "cy")])
+    spots = points.select(*key, "cx", "cy").distinct().withColumn("_cell", cell)
+    near = spots.join(off.withColumn("_cell", F.explode(cover)), [*key, "_cell"]).where(_segment_distance(F.col("cx"), F.col("cy"), "w") <= reach)
+    host = near.groupBy(*key, "cx", "cy").agg(F.min("_off").alias("_off"))
+    at = points.select(*key, point_id, "cx", "cy").join(host, [*key, "cx", "cy"], "left").select(*key, point_id, "_off")
+    return dist.join(at, [*key, point_id]).withColumn("host_dist", F.coalesce("_off", "dist")).drop("_off")
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, bands=V.BOUNDARY_BANDS, cell=None, key=("project_id", "page_id"), point_id="point_id") -> DataFrame:
-    """Distance to the nearest boundary segment and its zone.
+    """Distance to the nearest boundary segment of the page, and its zone.
 
-    The distance is exact up to the outer band, the only range a zone needs, and NULL past it.
-    Pages without any segment are borderline.
+    Segments near a point are found by grid cell. Points that have none within the outer band are
+    measured against the segments of their page, which are outlines and few. Pages without any
+    segment have no distance and are borderline.
     """
     key = _list(key)
     near, reach = bands
@@ -199,17 +233,17 @@ def nearest_segment(points: DataFrame, segments: DataFrame, bands=V.BOUNDARY_BAN
         .groupBy(*key, "cx", "cy")
         .agg(F.min("d").alias("dist"))
     )
-    pages = segs.select(*key).distinct().withColumn("_has", F.lit(True))
+    far = spots.drop("_cell").join(best, [*key, "cx", "cy"], "left_anti").join(segs, key)
+    best = best.unionByName(far.withColumn("d", dist).groupBy(*key, "cx", "cy").agg(F.min("d").alias("dist")))
     d = F.col("dist")
     zone = (
-        F.when(F.col("_has").isNull(), "borderline")
+        F.when(d.isNull(), "borderline")
         .when(d <= near, "perimeter")
         .when(d <= reach, "borderline")
         .otherwise("inside")
     )
     return (
         points.join(best, [*key, "cx", "cy"], "left")
-        .join(pages, key, "left")
         .select(*key, point_id, "dist", zone.alias("zone"), (zone == "borderline").alias("is_borderline"))
     )
 

@@ -13,7 +13,7 @@ from lintel.operators import tables as B
 from lintel.operators.reconcile import reconcile
 from lintel.plans import q_joins as QJ
 from lintel.plans import q_text as QT
-from lintel.plans.views import catalog
+from lintel.plans.views import CELLS, catalog
 from lintel.sources import io as IO
 from lintel.streaming import stream as ST
 
@@ -148,12 +148,12 @@ def _(t):
     return M.section_totals(K.section(d))
 
 
-UNITS = "SELECT 'B' || CAST(c_nationkey % 3 AS STRING) AS building, c_mktsegment || CASE WHEN c_acctbal < 0 THEN '-ADA' ELSE '' END AS unit_type, o_orderpriority AS floor FROM orders JOIN customer ON c_custkey = o_custkey"
+UNITS = "SELECT CASE WHEN c_nationkey % 5 < 4 THEN 'B' || CAST(c_nationkey % 3 AS STRING) END AS building, c_mktsegment || CASE WHEN c_acctbal < 0 THEN '-ADA' ELSE '' END AS unit_type, o_orderpriority AS floor FROM orders JOIN customer ON c_custkey = o_custkey"
 
 
 def units(t):
     return t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.expr("'B' || c_nationkey % 3").alias("building"),
+        F.expr("CASE WHEN c_nationkey % 5 < 4 THEN 'B' || c_nationkey % 3 END").alias("building"),
         F.expr("c_mktsegment || CASE WHEN c_acctbal < 0 THEN '-ADA' ELSE '' END").alias("unit_type"),
         F.col("o_orderpriority").alias("floor"), F.lit(1).alias("count"),
     )
@@ -161,7 +161,7 @@ def units(t):
 
 @q(
     "unit_cube",
-    f"""SELECT * FROM (SELECT building, unit_type, floor, CAST(count(*) AS BIGINT) AS n_units, CAST(grouping(building, unit_type, floor) AS BIGINT) AS level FROM ({UNITS}) GROUP BY CUBE (building, unit_type, floor)) WHERE building IS NOT NULL OR level = 7""",
+    f"""SELECT * FROM (SELECT building, unit_type, floor, CAST(count(*) AS BIGINT) AS n_units, CAST(grouping(building, unit_type, floor) AS BIGINT) AS level FROM ({UNITS}) GROUP BY CUBE (building, unit_type, floor)) WHERE level < 4 OR level = 7""",
 )
 def _(t):
     return M.unit_count(units(t))
@@ -219,13 +219,14 @@ def _(t):
 
 @q(
     "unit_door_pivot",
-    "WITH l AS (SELECT c_mktsegment AS unit_type, o_orderstatus AS tag, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW' OR o_orderstatus <> 'P' GROUP BY ALL) SELECT unit_type, "
+    "WITH l AS (SELECT c_mktsegment AS unit_type, CASE WHEN c_mktsegment = 'BUILDING' AND o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS tag, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL) SELECT unit_type, "
     + ", ".join(f"CAST(coalesce(max(n % 7) FILTER (tag = '{g}'), 0) AS BIGINT) AS \"{g}_Input\", CAST(coalesce(sum(n) FILTER (tag = '{g}'), 0) AS BIGINT) AS \"{g}_Extended\"" for g in TAGS)
     + ", CAST(sum(n) AS BIGINT) AS row_total FROM l GROUP BY unit_type",
 )
 def _(t):
-    joined = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).where("o_orderpriority <> '5-LOW' or o_orderstatus <> 'P'")
-    long = joined.groupBy(F.col("c_mktsegment").alias("unit_type"), F.col("o_orderstatus").alias("tag")).agg(F.count(F.lit(1)).alias("extended"))
+    tag = F.expr("CASE WHEN c_mktsegment = 'BUILDING' AND o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END")
+    joined = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    long = joined.groupBy(F.col("c_mktsegment").alias("unit_type"), tag.alias("tag")).agg(F.count(F.lit(1)).alias("extended"))
     return M.unit_door_pivot(long.withColumn("input", F.col("extended") % 7), TAGS, key=())
 
 
@@ -262,41 +263,67 @@ def _(t):
 # Gates -----------------------------------------------------------------------------------------
 
 
+NOTE_7 = "CASE WHEN row_no % 4 = 1 AND row_no % 8 < 4 THEN '' ELSE fire_rating END"
+GATE_9 = """g9 AS (SELECT project_id, count(*) AS n FROM (SELECT project_id FROM doors WHERE is_cased AND section <> 'CASED'
+   UNION ALL SELECT project_id FROM (SELECT DISTINCT project_id, mark FROM v_det WHERE mark LIKE 'OH%') o WHERE (o.project_id, o.mark) NOT IN (SELECT (project_id, original) FROM doors WHERE section = 'OVERHEAD')) GROUP BY 1)"""
+
+
 @q(
     "qa_gates",
-    """WITH d AS (SELECT *, contains(fire_rating, 'BARRIER') AS excluded, CASE WHEN row_no % 4 = 1 AND row_no % 8 < 4 THEN '' ELSE fire_rating END AS note FROM v_sched),
+    f"""WITH d AS (SELECT *, contains(fire_rating, 'BARRIER') AS excluded, {NOTE_7} AS note, {QT.SECTION} AS section, door_type = 'CO' AND project_id = 'P1' AS is_cased FROM v_sched), {QJ.BIFURCATED},
   p AS (SELECT DISTINCT project_id FROM v_sched),
-  u AS (SELECT project_id, count(*) FILTER (floor_no % 2 = 0) AS plan, count(*) FILTER (floor_no % 2 = 0) AS matrix, count(*) FILTER (floor_no IN (2, 4, 6)) AS mix FROM v_det GROUP BY project_id, building),
+  u AS (SELECT project_id, count(*) FILTER (floor_no % 2 = 0) AS plan, count(*) FILTER (floor_no % 2 = 0) AS matrix, count(*) FILTER (floor_no IN (2, 4, 6) OR (floor_no = 7 AND project_id = 'P3')) AS mix FROM v_det GROUP BY project_id, building),
+  un AS (SELECT project_id, building AS unit_type, sum(floor_no % 2) AS units FROM v_det GROUP BY ALL),
+  inp AS (SELECT project_id, building AS unit_type, wall_type AS tag, sum(page_no) AS doors FROM v_det GROUP BY ALL),
+  mx AS (SELECT project_id, unit_type, tag, units, doors, units * coalesce(doors, 1) AS right_, units * coalesce(doors, 1) + CASE WHEN project_id = 'P5' THEN 1 ELSE 0 END AS extended
+   FROM un JOIN (SELECT DISTINCT project_id, wall_type AS tag FROM v_det) USING (project_id) LEFT JOIN inp USING (project_id, unit_type, tag)),
+  doors AS (SELECT project_id, mark AS original, section, is_cased FROM d UNION ALL SELECT d.project_id, b.original, d.section, d.is_cased FROM bif b JOIN d ON d.project_id = b.project_id AND d.row_no = b.row_no WHERE is_bifurcated AND NOT (b.project_id = 'P6' AND b.mark LIKE '%.2')),
   g1 AS (SELECT project_id, count(*) AS n FROM (SELECT DISTINCT project_id, mark FROM v_det WHERE (project_id, mark) NOT IN (SELECT (project_id, mark) FROM v_sched)) GROUP BY 1),
   g2 AS (SELECT project_id, count(*) FILTER (plan <> matrix OR plan <> mix) AS n FROM u GROUP BY 1),
-  g7 AS (SELECT project_id, count(*) FILTER (excluded AND note = '') AS n FROM d GROUP BY 1)
+  g3 AS (SELECT project_id, count(*) FILTER (x <> e) AS n FROM (SELECT project_id, tag, sum(extended) AS x, sum(right_) + CASE WHEN project_id = 'P2' THEN 1 ELSE 0 END AS e FROM mx GROUP BY project_id, tag) GROUP BY 1),
+  g5 AS (SELECT project_id, count(*) FILTER (extended <> right_) AS n FROM mx WHERE doors IS NOT NULL GROUP BY 1),
+  g7 AS (SELECT project_id, count(*) FILTER (excluded AND note = '') AS n FROM d GROUP BY 1),
+  g8 AS (SELECT project_id, count(*) FILTER (n <> walls OR blank) AS n FROM (SELECT b.project_id, b.original, any_value(len(v.ws)) AS walls, count(DISTINCT b.mark) FILTER (NOT (b.project_id = 'P6' AND b.mark LIKE '%.2')) AS n,
+   bool_or(b.project_id = 'P4' AND b.mark LIKE '%.1') AS blank FROM bif b JOIN v ON v.project_id = b.project_id AND v.mark = b.original WHERE is_bifurcated GROUP BY 1, 2) GROUP BY 1),
+  {GATE_9}
   SELECT project_id, gate, CAST(coalesce(n, 0) AS BIGINT) AS n_issues, CASE WHEN na THEN 'NOT_APPLICABLE' WHEN coalesce(n, 0) = 0 THEN 'PASSED' ELSE 'REVIEW_REQUIRED' END AS status FROM (
    SELECT p.project_id, 'gate1_schedule_reconciliation' AS gate, n, FALSE AS na FROM p LEFT JOIN g1 USING (project_id)
    UNION ALL SELECT p.project_id, 'gate2_unit_count_reconciliation', n, FALSE FROM p LEFT JOIN g2 USING (project_id)
-   UNION ALL SELECT project_id, unnest(['gate3_unit_door_matrix', 'gate4_formula_validation', 'gate5_spot_checks']), 0, TRUE FROM p
+   UNION ALL SELECT p.project_id, 'gate3_unit_door_matrix', n, FALSE FROM p LEFT JOIN g3 USING (project_id)
+   UNION ALL SELECT project_id, 'gate4_formula_validation', 0, TRUE FROM p
+   UNION ALL SELECT p.project_id, 'gate5_spot_checks', n, g5.project_id IS NULL FROM p LEFT JOIN g5 USING (project_id)
    UNION ALL SELECT p.project_id, 'gate7_scope_review', n, FALSE FROM p LEFT JOIN g7 USING (project_id)
-   UNION ALL SELECT project_id, unnest(['gate8_bifurcation_completeness', 'gate9_cased_overhead']), 0, FALSE FROM p)""",
+   UNION ALL SELECT p.project_id, 'gate8_bifurcation_completeness', n, g8.project_id IS NULL FROM p LEFT JOIN g8 USING (project_id)
+   UNION ALL SELECT p.project_id, 'gate9_cased_overhead', n, FALSE FROM p LEFT JOIN g9 USING (project_id))""",
     "v_sched", "v_det",
 )
 def _(t):
-    doors = D.bifurcate(
-        t.v_sched.withColumns(
-            {"excluded": F.col("fire_rating").contains("BARRIER"), "takeoff_notes": F.expr("CASE WHEN row_no % 4 = 1 AND row_no % 8 < 4 THEN '' ELSE fire_rating END")}
-        ), t.v_det,
-    )
-    # Bifurcated rows keep their own note, so the scope gate looks at the rows before the split.
+    """Every gate with inputs it can be held against: each passes in some projects and fails in others."""
+    det = t.v_det
     plain = K.section(t.v_sched.withColumns(
         {"excluded": F.col("fire_rating").contains("BARRIER"), "is_bifurcated": F.lit(False), "original_tag": F.lit(None).cast("string"),
-         "takeoff_notes": F.expr("CASE WHEN row_no % 4 = 1 AND row_no % 8 < 4 THEN '' ELSE fire_rating END")}
+         "takeoff_notes": F.expr(NOTE_7), "is_cased": F.expr("door_type = 'CO' AND project_id = 'P1'")}
     ), notes="comments")
-    splits = K.section(doors.where("is_bifurcated").withColumns({"excluded": F.lit(False), "takeoff_notes": F.col("bifurcation_note")}), notes="comments")
-    cols = ["project_id", "mark", "section", "excluded", "takeoff_notes", "is_bifurcated", "original_tag"]
-    counts = t.v_det.groupBy("project_id", "building").agg(
-        F.sum(F.expr("cast(floor_no % 2 = 0 as int)")).alias("plan"), F.sum(F.expr("cast(floor_no % 2 = 0 as int)")).alias("matrix"),
-        F.sum(F.expr("cast(floor_no in (2, 4, 6) as int)")).alias("mix"),
+    split = D.bifurcate(t.v_sched, det).where("is_bifurcated AND NOT (project_id = 'P6' AND mark LIKE '%.2')").withColumns(
+        {"excluded": F.lit(False), "is_cased": F.expr("door_type = 'CO' AND project_id = 'P1'"),
+         "takeoff_notes": F.expr("CASE WHEN project_id = 'P4' AND mark LIKE '%.1' THEN '' ELSE bifurcation_note END")}
     )
+    cols = ["project_id", "mark", "section", "excluded", "takeoff_notes", "is_bifurcated", "original_tag", "is_cased"]
+    even = F.expr("cast(floor_no % 2 = 0 as int)")
+    counts = det.groupBy("project_id", "building").agg(
+        F.sum(even).alias("plan"), F.sum(even).alias("matrix"), F.sum(F.expr("cast(floor_no in (2, 4, 6) or (floor_no = 7 and project_id = 'P3') as int)")).alias("mix"),
+    )
+    mix = det.select("project_id", F.col("building").alias("unit_type"), F.expr("floor_no % 2").alias("count"))
+    given = det.select("project_id", F.col("building").alias("unit_type"), F.col("wall_type").alias("tag"), F.col("page_no").alias("per_unit"))
+    right = M.project_matrix(mix, det.select("project_id", F.col("wall_type").alias("mark")), given)
+    stated = right.groupBy("project_id", "tag").agg(F.sum("extended").alias("expected"))
     return Q.qa_gates(
-        {"rows": t.v_sched, "doors": plain.select(*cols).unionByName(splits.select(*cols)), "queue": QJ.J.orphans(t.v_det, t.v_sched, QJ.MARK), "unit_counts": counts}
+        {
+            "rows": t.v_sched, "doors": plain.select(*cols).unionByName(K.section(split, notes="comments").select(*cols)),
+            "queue": QJ.J.orphans(det, t.v_sched, QJ.MARK), "unit_counts": counts, "detections": det, "unit_mix": mix, "unit_door_input": given,
+            "matrix": right.withColumn("extended", F.expr("extended + CASE WHEN project_id = 'P5' THEN 1 ELSE 0 END")),
+            "expected_doors": stated.withColumn("expected", F.expr("expected + CASE WHEN project_id = 'P2' THEN 1 ELSE 0 END")),
+        }
     )
 
 
@@ -310,7 +337,7 @@ def _(t):
     return Q.self_check(t.v_det, t.v_det.where("supp_no % 10 <> 3"))
 
 
-PROFILED = ["p_name", "p_brand", "p_type", "p_size"]
+PROFILED = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 @q("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, max(length(CAST({c} AS STRING))) AS max_len, greatest(max(length(CAST({c} AS STRING))) + 4, 15) AS sheet_width FROM part" for c in PROFILED))
@@ -355,7 +382,7 @@ def _(t):
 
 @q(
     "queue_counts",
-    """SELECT project_id, type, CAST(count(*) AS BIGINT) AS n_items, FALSE AS gate_open FROM (
+    """SELECT project_id, type, CAST(count(*) AS BIGINT) AS n_items FROM (
    SELECT DISTINCT project_id, mark, 'orphan_plan_mark' AS type FROM v_det WHERE (project_id, mark) NOT IN (SELECT (project_id, mark) FROM v_sched)
    UNION ALL SELECT project_id, mark, 'missing_from_plan' FROM v_sched WHERE (project_id, mark) NOT IN (SELECT (project_id, mark) FROM v_det)) GROUP BY ALL""",
     "v_sched", "v_det",
@@ -408,12 +435,13 @@ def _(t):
 
 @q(
     "cells_roundtrip",
-    "SELECT project_id, row_no, CAST(col_no AS INT) AS c, value FROM v_cells WHERE col_no < 6 AND value <> ''",
+    "SELECT project_id, table_id, row_no, CAST(col_no AS INT) AS c, value FROM v_cells WHERE value <> ''",
     "v_cells",
 )
 def _(t):
-    wide = IO.cells_to_rows(t.v_cells, "row_no", "col_no", "value", range(6), ["project_id"])
-    return IO.rows_to_cells(wide, [f"c{i}" for i in range(6)], ["project_id"], "row_no")
+    n, key = len(CELLS), ["project_id", "table_id"]
+    wide = IO.cells_to_rows(t.v_cells, "row_no", "col_no", "value", range(n), key)
+    return IO.rows_to_cells(wide, [f"c{i}" for i in range(n)], key, "row_no")
 
 
 @q(
@@ -506,7 +534,7 @@ def _(t):
 def tracks(t):
     """Inputs of the reconciliation bound to the views: every part, line item and document."""
     det = t.v_det
-    ocr = det.where("supp_no % 10 <> 4").select("project_id", "mark")
+    ocr = t.v_passes.select("project_id", "mark")
     exclusions = t.nation.select(F.expr("'P' || n_nationkey % 8").alias("project_id"), F.expr("CASE WHEN n_nationkey % 5 = 0 THEN 'Alum doors ' ELSE 'Wood ' END || n_name").alias("exclusion"))
     spec = t.documents.select(F.expr("'P' || doc_id % 8").alias("project_id"), F.concat(F.expr("'Storefront at D' || doc_id || '. '"), F.col("text")).alias("text"))
     return {"cells": t.v_cells, "detections": det, "ocr": ocr, "exclusions": exclusions, "spec_text": spec}
@@ -519,15 +547,15 @@ SPEC_TOKENS = r"""SELECT DISTINCT project_id, unnest(list_transform(regexp_split
 )
 RECONCILED = f"""sh AS ({SPEC_TOKENS}),
 fe AS ({QT.FEATURES}), ro AS ({QT.ROLES}),
-rt AS (SELECT project_id, row_no, string_agg(value, ' ' ORDER BY col_no) AS row_text FROM v_cells GROUP BY ALL),
+rt AS (SELECT project_id, table_id, row_no, string_agg(value, ' ' ORDER BY col_no) AS row_text FROM v_cells GROUP BY ALL),
 md AS ({catalog.sql_body["row_mode"]}),
 fd AS (SELECT project_id, mark, min_by(vlm_opening_mode, {QJ.ORDER_SQL}) AS plan_mode, min_by(vlm_wall_type, {QJ.ORDER_SQL}) AS plan_wall, count(*) AS qty FROM v_det GROUP BY ALL),
 fl AS ({catalog.sql_body["floors_per_mark"]}),
-r0 AS (SELECT s.project_id, s.row_no, s.mark, s.schedule_type, s.location, s.width, s.hardware, s.finish, s.head, s.jamb, s.comments AS printed, s.door_type AS printed_type, s.door_material AS printed_door, s.frame_material AS printed_frame,
-   fe.* EXCLUDE (project_id, row_no, panel_2), NOT explicit_single AND (panel_2 OR pair_leaves OR {QT.WIDTH_SQL.format(c='door_width')} >= 50) AS has_panel_2,
-   ro.* EXCLUDE (project_id, row_no), opening_mode AS schedule_mode, plan_mode, plan_wall, coalesce(qty, 0) AS qty, qty IS NOT NULL AS located, coalesce(floors, '') AS floors, sh.mark IS NOT NULL AS in_spec,
+r0 AS (SELECT s.project_id, s.table_id, s.table_row, s.row_no, s.mark, s.schedule_type, s.location, s.width, s.hardware, s.finish, s.head, s.jamb, s.comments AS printed, s.door_type AS printed_type, s.door_material AS printed_door, s.frame_material AS printed_frame,
+   fe.* EXCLUDE (project_id, table_id, row_no, panel_2), NOT explicit_single AND (panel_2 OR pair_leaves OR {QT.WIDTH_SQL.format(c='door_width')} >= 50) AS has_panel_2,
+   ro.* EXCLUDE (project_id, table_id, row_no), opening_mode AS schedule_mode, plan_mode, plan_wall, coalesce(qty, 0) AS qty, qty IS NOT NULL AS located, coalesce(floors, '') AS floors, sh.mark IS NOT NULL AS in_spec,
    lower(concat_ws(' ', row_text, s.mark, plan_wall, plan_mode)) AS txt, (s.schedule_type = 'window' OR s.mark LIKE 'W%' OR s.mark LIKE 'V%') AS is_window
-  FROM v_sched s JOIN fe USING (project_id, row_no) JOIN ro USING (project_id, row_no) JOIN rt USING (project_id, row_no) JOIN md USING (row_no)
+  FROM v_sched s JOIN fe ON fe.project_id = s.project_id AND fe.table_id = s.table_id AND fe.row_no = s.table_row JOIN ro ON ro.project_id = s.project_id AND ro.table_id = s.table_id AND ro.row_no = s.table_row JOIN rt ON rt.project_id = s.project_id AND rt.table_id = s.table_id AND rt.row_no = s.table_row JOIN md ON md.project_id = s.project_id AND md.table_id = s.table_id AND md.row_no = s.table_row
    LEFT JOIN fd ON fd.project_id = s.project_id AND fd.mark = s.mark LEFT JOIN fl ON fl.project_id = s.project_id AND fl.mark = s.mark LEFT JOIN sh ON sh.project_id = s.project_id AND sh.mark = s.mark),
 r1 AS (SELECT *, {QT.CASED} AS is_cased FROM r0),
 r2 AS (SELECT *, in_spec OR {QT.sql_any("(door_material || ' ' || frame_material || ' ' || door_type || ' ' || comments)", QT.V.STOREFRONT_PHRASES)}
@@ -548,10 +576,10 @@ rec AS (SELECT *, {QT.SECTION} AS section, CASE WHEN schedule_type IN ('door', '
   CASE WHEN resolved_mode = 'STOREFRONT' AND is_window AND NOT is_storefront AND NOT excluded THEN bucket WHEN resolved_mode = 'STOREFRONT' THEN 'Not in Scope' ELSE bucket END AS reconciled_int_ext,
   CASE WHEN excluded THEN 'EXCLUDED' WHEN NOT located THEN 'NOT FOUND' WHEN mode_conflict THEN 'CONFLICT' ELSE 'VERIFIED' END AS status FROM r5),
 {QJ.BIFURCATED},
-doors AS (SELECT rec.* EXCLUDE (mark), b.mark, b.is_bifurcated, b.wall_variant, trim(concat_ws(' ', CASE WHEN b.is_bifurcated THEN '{QT.V.NOTE_WALL}' ELSE note END, CASE WHEN NOT located THEN 'Not Found' END)) AS takeoff_notes
+doors AS (SELECT rec.* EXCLUDE (mark, status), CASE WHEN b.is_bifurcated AND status = 'VERIFIED' THEN 'CALCULATED' ELSE status END AS status, b.mark, b.original, b.is_bifurcated, b.wall_variant, trim(concat_ws(' ', CASE WHEN b.is_bifurcated THEN '{QT.V.NOTE_WALL}' ELSE note END, CASE WHEN NOT located THEN 'Not Found' END)) AS takeoff_notes
   FROM rec JOIN bif b ON rec.project_id = b.project_id AND rec.row_no = b.row_no WHERE opening_kind = 'door')"""
 QUEUE_SQL = """tr AS (SELECT project_id, mark, bool_or(k = 0) AS s, bool_or(k = 1) AS o, bool_or(k = 2) AS c FROM (SELECT project_id, mark, 0 AS k FROM v_sched
-   UNION ALL SELECT project_id, mark, 1 FROM v_det WHERE supp_no % 10 <> 4 UNION ALL SELECT project_id, mark, 2 FROM v_det) GROUP BY ALL),
+   UNION ALL SELECT project_id, mark, 1 FROM v_passes UNION ALL SELECT project_id, mark, 2 FROM v_det) GROUP BY ALL),
 ex AS (SELECT 'P' || CAST(n_nationkey % 8 AS STRING) AS project_id, 'Alum doors ' || n_name AS exclusion FROM nation WHERE n_nationkey % 5 = 0),
 qu AS (SELECT project_id, 'orphan_plan_mark' AS type, mark, 'Found in floor plan but missing from the uploaded schedule.' AS context FROM tr WHERE (o OR c) AND NOT s
   UNION ALL SELECT project_id, 'missing_from_plan', mark, 'Exists in schedule but could not be located on the floor plan by OCR or CV.' FROM tr WHERE s AND NOT (o OR c)
@@ -560,31 +588,31 @@ qu AS (SELECT project_id, 'orphan_plan_mark' AS type, mark, 'Found in floor plan
    WHERE """ + QT.sql_any("first_material", QT.V.ALUMINIUM_MATERIAL) + """
   UNION ALL SELECT project_id, 'opening_mode_conflict', mark, 'Opening Mode Conflict: Schedule suggests ''' || resolved_mode || ''' but floor plan crop reads as ''' || cleaned || '''.' FROM rec WHERE mode_conflict
   UNION ALL SELECT project_id, 'mark_not_located', mark, 'Mark Not Located: Mark ''' || mark || ''' from schedule registry was not located on floor plan drawing. Flagged for human review.' FROM rec WHERE NOT located)"""
-TRACK_VIEWS = ("v_sched", "v_cells", "v_det")
+TRACK_VIEWS = ("v_sched", "v_cells", "v_det", "v_passes")
 
 
 @q(
     "reconcile_full",
-    f"""WITH {RECONCILED} SELECT project_id, row_no, mark, CAST(qty AS BIGINT) AS qty, section, bucket, reconciled_mode, reconciled_int_ext, status, takeoff_notes, floors,
+    f"""WITH {RECONCILED} SELECT project_id, table_id, table_row AS row_no, mark, CAST(qty AS BIGINT) AS qty, section, bucket, reconciled_mode, reconciled_int_ext, status, takeoff_notes, floors,
   mode_conflict OR NOT located AS needs_review, is_bifurcated, wall_variant FROM doors""",
     *TRACK_VIEWS,
 )
 def _(t):
     doors = reconcile(tracks(t))["doors"]
     return doors.select(
-        "project_id", "row_no", "mark", "qty", "section", "bucket", "reconciled_mode", "reconciled_int_ext", "status", "takeoff_notes",
+        "project_id", "table_id", "row_no", "mark", "qty", "section", "bucket", "reconciled_mode", "reconciled_int_ext", "status", "takeoff_notes",
         F.col("FLOOR / LEVEL").alias("floors"), "needs_review", "is_bifurcated", "wall_variant",
     )
 
 
 @q(
     "reconcile_windows",
-    f"""WITH {RECONCILED} SELECT project_id, row_no, mark, CAST(qty AS BIGINT) AS qty, bucket, status,
+    f"""WITH {RECONCILED} SELECT project_id, table_id, table_row AS row_no, mark, CAST(qty AS BIGINT) AS qty, bucket, status,
   trim(concat_ws(' ', note, CASE WHEN NOT located THEN 'Not Found' END)) AS takeoff_notes FROM rec WHERE opening_kind = 'window'""",
     *TRACK_VIEWS,
 )
 def _(t):
-    return reconcile(tracks(t))["windows"].select("project_id", "row_no", "mark", "qty", "bucket", "status", "takeoff_notes")
+    return reconcile(tracks(t))["windows"].select("project_id", "table_id", "row_no", "mark", "qty", "bucket", "status", "takeoff_notes")
 
 
 @q(
@@ -596,7 +624,16 @@ def _(t):
     return reconcile(tracks(t))["queue"]
 
 
-@q("reconcile_log")
+@q(
+    "reconcile_log",
+    f"""WITH {RECONCILED}, {QUEUE_SQL}, lg AS (
+   SELECT project_id, 0 AS part, table_row AS r, table_id AS t, coalesce(floors, '') AS floor, mark AS item, 'Bifurcated mark ''' || original || ''' on basis of wall type ''' || wall_variant || '''' AS issue,
+    'Floor Plan / Partition Schedule' AS source, 'CALCULATED' AS action FROM doors WHERE is_bifurcated
+   UNION ALL SELECT project_id, 1, 0, type, 'Multiple', mark, context, 'Floor Plan / Schedule', 'VERIFY' FROM qu),
+  nb AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY part, r, t, item, issue) AS n FROM lg)
+  SELECT project_id, 'A-' || lpad(CAST(n AS STRING), CAST(greatest(3, length(CAST(n AS STRING))) AS INT), '0') AS id, '' AS building, floor, item, issue, source, action FROM nb""",
+    *TRACK_VIEWS,
+)
 def _(t):
     return reconcile(tracks(t))["log"]
 
@@ -604,12 +641,13 @@ def _(t):
 @q(
     "reconcile_gates",
     f"""WITH {RECONCILED}, {QUEUE_SQL}, p AS (SELECT DISTINCT project_id FROM v_sched), n AS (SELECT project_id, count(*) AS n FROM qu GROUP BY 1),
-  x AS (SELECT project_id, count(*) FILTER (excluded AND takeoff_notes = '') AS n7, count(*) FILTER (section <> 'OVERHEAD' AND mark LIKE 'OH%') AS n9 FROM doors GROUP BY 1)
+  x AS (SELECT project_id, count(*) FILTER (excluded AND takeoff_notes = '') AS n7 FROM doors GROUP BY 1), {GATE_9},
+  g8 AS (SELECT DISTINCT project_id FROM doors WHERE is_bifurcated)
   SELECT project_id, gate, CAST(n AS BIGINT) AS n_issues, CASE WHEN na THEN 'NOT_APPLICABLE' WHEN n = 0 THEN 'PASSED' ELSE 'REVIEW_REQUIRED' END AS status FROM (
    SELECT p.project_id, 'gate1_schedule_reconciliation' AS gate, coalesce(n, 0) AS n, FALSE AS na FROM p LEFT JOIN n USING (project_id)
    UNION ALL SELECT project_id, unnest(['gate2_unit_count_reconciliation', 'gate3_unit_door_matrix', 'gate4_formula_validation', 'gate5_spot_checks']), 0, TRUE FROM p
-   UNION ALL SELECT project_id, 'gate7_scope_review', n7, FALSE FROM x UNION ALL SELECT project_id, 'gate8_bifurcation_completeness', 0, FALSE FROM p
-   UNION ALL SELECT project_id, 'gate9_cased_overhead', n9, FALSE FROM x)""",
+   UNION ALL SELECT project_id, 'gate7_scope_review', n7, FALSE FROM x UNION ALL SELECT p.project_id, 'gate8_bifurcation_completeness', 0, g8.project_id IS NULL FROM p LEFT JOIN g8 USING (project_id)
+   UNION ALL SELECT p.project_id, 'gate9_cased_overhead', coalesce(n, 0), FALSE FROM p LEFT JOIN g9 USING (project_id))""",
     *TRACK_VIEWS,
 )
 def _(t):
@@ -618,7 +656,7 @@ def _(t):
 
 @q(
     "estimator_sheet",
-    f"""WITH {RECONCILED} SELECT project_id, row_no, CAST(qty AS STRING) AS "Qty", mark AS "NUMBER", location AS "LOCATION", coalesce(reconciled_mode, 'Single') AS "Opening Mode", bucket AS "Int/Ext",
+    f"""WITH {RECONCILED} SELECT project_id, table_id, table_row AS row_no, CAST(qty AS STRING) AS "Qty", mark AS "NUMBER", location AS "LOCATION", coalesce(reconciled_mode, 'Single') AS "Opening Mode", bucket AS "Int/Ext",
   coalesce(wall_variant, 'DRY') AS "Wall Type", takeoff_notes AS "Takeoff Notes", CASE WHEN row_no % 4 IN (0, 3) THEN width ELSE '' END AS "WIDTH", '' AS "HEIGHT", '' AS "THICKNESS",
   CASE WHEN row_no % 4 = 3 THEN '' ELSE printed_type END AS "DOOR TYPE", printed_door AS "DOOR MATERIAL", CASE WHEN {QT.DRIFT} THEN '' ELSE finish END AS "DOOR FINISH", '' AS "FRAME TYPE",
   printed_frame AS "FRAME MATERIAL", '' AS "FRAME FINISH", CASE WHEN {QT.DRIFT} THEN finish ELSE head END AS "HEAD", CASE WHEN {QT.DRIFT} THEN head ELSE jamb END AS "JAMB",
@@ -627,7 +665,7 @@ def _(t):
 )
 def _(t):
     doors = reconcile(tracks(t))["doors"]
-    return M.door_schedule_23(doors, ("project_id", "row_no"))
+    return M.door_schedule_23(doors, ("project_id", "table_id", "row_no"))
 
 
 @q(

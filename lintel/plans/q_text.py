@@ -174,7 +174,7 @@ def _(t):
 
 @q(
     "registry_cells",
-    "SELECT project_id, row_no, CAST(col_no AS INT) AS col_no, header, value, schedule_type FROM v_cells",
+    "SELECT project_id, table_id, row_no, CAST(col_no AS INT) AS col_no, header, value, schedule_type FROM v_cells",
     "v_cells",
 )
 def _(t):
@@ -183,16 +183,18 @@ def _(t):
 
 @q(
     "registry_json",
-    "SELECT 'R' || CAST(p_partkey AS STRING) AS project_id, CAST(r AS INT) AS row_no, CAST(h AS INT) AS col_no, "
-    "CASE h WHEN 0 THEN 'Mark' ELSE 'Comments' END AS header, CASE h WHEN 0 THEN 'D' || CAST(p_partkey AS STRING) || '-' || CAST(r AS STRING) ELSE p_name END AS value, "
-    "'door' AS schedule_type FROM part, (SELECT unnest([0, 1]) AS r), (SELECT unnest([0, 1]) AS h)",
+    "SELECT 'R' || CAST(p_partkey AS STRING) AS project_id, tb AS table_id, CAST(r AS INT) AS row_no, CAST(h AS INT) AS col_no, "
+    "CASE h WHEN 0 THEN 'Mark' ELSE 'Comments' END AS header, CASE h WHEN 0 THEN tb ||  CAST(p_partkey AS STRING) || '-' || CAST(r AS STRING) ELSE p_name END AS value, "
+    "CASE tb WHEN 'D' THEN 'door' ELSE 'window' END AS schedule_type FROM part, (SELECT unnest(['D', 'W']) AS tb), (SELECT unnest([0, 1]) AS r), (SELECT unnest([0, 1]) AS h)",
 )
 def _(t):
-    row = """'{"Mark": "D' || CAST(p_partkey AS STRING) || '-%d", "Comments": "' || p_name || '"}'"""
+    row = """'{"Mark": "' || tb || CAST(p_partkey AS STRING) || '-%d", "Comments": "' || p_name || '"}'"""
     body = f"'[' || {row % 0} || ', ' || {row % 1} || ']'"
     doc = f"""CASE p_partkey % 3 WHEN 0 THEN {body} WHEN 1 THEN '{{"instance_schedule": ' || {body} || '}}' ELSE '{{"data": ' || {body} || '}}' END"""
-    docs = t.part.select(F.expr("'R' || p_partkey").alias("project_id"), F.expr(doc).alias("value"))
-    return IO.registry_cells(docs, type_hint="door")
+    both = t.part.withColumn("tb", F.explode(F.array(F.lit("D"), F.lit("W"))))
+    docs = both.select(F.expr("'R' || p_partkey").alias("project_id"), F.col("tb").alias("table_id"), F.expr(doc).alias("value"))
+    kind = F.when(F.col("table_id") == "D", "door").otherwise("window")
+    return IO.registry_cells(docs, type_hint=kind)
 
 
 def _canonical_sql():
@@ -204,25 +206,25 @@ def _canonical_sql():
     return "CASE " + " ".join(whens) + " ELSE upper(header) END"
 
 
-@q("header_canon", f"SELECT row_no, CAST(col_no AS INT) AS col_no, {_canonical_sql()} AS canonical FROM v_cells", "v_cells")
+@q("header_canon", f"SELECT project_id, table_id, row_no, CAST(col_no AS INT) AS col_no, {_canonical_sql()} AS canonical FROM v_cells", "v_cells")
 def _(t):
-    return C.canonical_header(t.v_cells).select("row_no", "col_no", "canonical")
+    return C.canonical_header(t.v_cells).select(*C.ROW, "col_no", "canonical")
 
 
 @q(
     "resolve_mark_loc",
-    f"""SELECT row_no, coalesce(m, '') AS mark, coalesce(l, '') AS location FROM (SELECT row_no,
+    f"""SELECT project_id, table_id, row_no, coalesce(m, '') AS mark, coalesce(l, '') AS location FROM (SELECT project_id, table_id, row_no,
   min_by(upper(trim(value)), rm * 100 + col_no) FILTER (trim(value) <> '' AND rm IS NOT NULL) AS m,
   min_by(trim(value), rl * 100 + col_no) FILTER (trim(value) <> '' AND rl IS NOT NULL) AS l
   FROM (SELECT *, CASE WHEN lower(trim(header)) IN {sql_list(V.MARK_HEADERS)} THEN 0
       WHEN (contains(lower(header), 'mark') OR contains(lower(header), 'type')) AND lower(trim(header)) NOT IN {sql_list(V.NOT_MARK_HEADERS)} THEN 1 END AS rm,
     CASE WHEN lower(trim(header)) IN {sql_list(V.LOCATION_HEADERS)} THEN 0
-      WHEN (contains(lower(header), 'location') OR contains(lower(header), 'room')) THEN 1 END AS rl FROM v_cells) GROUP BY row_no)""",
+      WHEN (contains(lower(header), 'location') OR contains(lower(header), 'room')) THEN 1 END AS rl FROM v_cells) GROUP BY project_id, table_id, row_no)""",
     "v_cells",
 )
 def _(t):
     cells = t.v_cells
-    return C.resolve_mark(cells).join(C.resolve_location(cells), list(C.ROW)).select("row_no", "mark", "location")
+    return C.resolve_mark(cells).join(C.resolve_location(cells), list(C.ROW)).select(*C.ROW, "mark", "location")
 
 
 @q(
@@ -258,21 +260,21 @@ LOWH, VAL = "lower(trim(header))", "upper(trim(value))"
 
 @q(
     "row_mode",
-    f"""SELECT row_no, coalesce(leaf, CASE WHEN dbl THEN 'PR' END, 'SGL') AS opening_mode FROM (SELECT row_no,
+    f"""SELECT project_id, table_id, row_no, coalesce(leaf, CASE WHEN dbl THEN 'PR' END, 'SGL') AS opening_mode FROM (SELECT project_id, table_id, row_no,
   min_by(CASE WHEN {VAL} IN {sql_list(V.LEAF_PAIR)} THEN 'PR' ELSE 'SGL' END, col_no) FILTER ({sql_any(LOWH, V.LEAF_HEADERS)}
     AND {VAL} IN {sql_list(V.LEAF_PAIR + V.LEAF_SINGLE)}) AS leaf,
   bool_or({sql_any(LOWH, V.WIDTH_HEADERS)} AND ((contains(value, '/') AND len(list_filter(string_split(value, '/'), lambda p: NOT regexp_matches(p, '[0-9]'))) = 0)
-    OR contains(replace(lower(value), ' ', ''), 'x2') OR (contains(value, '(') AND contains(value, '2')))) AS dbl FROM v_cells GROUP BY row_no)""",
+    OR contains(replace(lower(value), ' ', ''), 'x2') OR (contains(value, '(') AND contains(value, '2')))) AS dbl FROM v_cells GROUP BY project_id, table_id, row_no)""",
     "v_cells",
 )
 def _(t):
-    return C.row_opening_mode(t.v_cells).select("row_no", "opening_mode")
+    return C.row_opening_mode(t.v_cells)
 
 
 PAIR_WORD = "list_contains(list_transform(regexp_split_to_array({v}, '\\s+'), lambda w: trim(w, '.,()[]{{}}-_#*')), 'PR')".format(v=VAL)
 SLASHED = f"(contains({VAL}, '/') AND len(list_filter(string_split({VAL}, '/'), lambda p: NOT regexp_matches(p, '[0-9]'))) = 0)"
 SPOKEN = sql_any(LOWH, V.COMMENT_HEADERS + ["type"])
-FEATURES = f"""SELECT project_id, row_no,
+FEATURES = f"""SELECT project_id, table_id, row_no,
   bool_or(filled AND {VAL} NOT IN {sql_list(V.EXISTING)} AND (contains({LOWH}, 'panel 2') OR contains({LOWH}, 'width 2') OR contains({LOWH}, 'second') OR ends_with({LOWH}, '_2')
     OR (regexp_matches({LOWH}, '\\b2\\b') AND NOT regexp_matches({LOWH}, '\\b1\\b')))) AS panel_2,
   bool_or(filled AND (({sql_any(LOWH, V.LEAF_HEADERS)} AND {VAL} IN {sql_list(V.LEAF_PAIR)}) OR ({sql_any(LOWH, V.WIDTH_HEADERS)} AND {SLASHED})
@@ -283,28 +285,28 @@ FEATURES = f"""SELECT project_id, row_no,
   bool_or(filled AND {sql_any(LOWH, V.SIDE_HEADERS)} AND contains({VAL}, 'EXT')) AS explicit_exterior,
   bool_or({SPOKEN} AND contains({VAL}, 'SINGLE')) AS explicit_single,
   coalesce(min_by(upper(value), col_no) FILTER (contains({LOWH}, 'material')), '') AS first_material
-  FROM (SELECT *, {VAL} NOT IN {sql_list(V.BLANK_CELL)} AS filled FROM v_cells) GROUP BY project_id, row_no"""
+  FROM (SELECT *, {VAL} NOT IN {sql_list(V.BLANK_CELL)} AS filled FROM v_cells) GROUP BY project_id, table_id, row_no"""
 ROLE_DOOR = f"""(contains({LOWH}, 'door material') OR contains({LOWH}, 'door mat''l') OR contains({LOWH}, 'dr mat')
   OR ((contains({LOWH}, 'panel 1') OR contains({LOWH}, 'door panel') OR contains({LOWH}, 'panel type')) AND NOT contains({LOWH}, 'frame'))
   OR ((contains({LOWH}, 'material') OR contains({LOWH}, 'mat''l')) AND NOT contains({LOWH}, 'frame') AND NOT contains({LOWH}, 'window')))"""
 ROLE_FRAME = f"((contains({LOWH}, 'material') OR contains({LOWH}, 'mat''l')) AND contains({LOWH}, 'frame'))"
-ROLES = f"""SELECT project_id, row_no,
+ROLES = f"""SELECT project_id, table_id, row_no,
   coalesce(max_by({VAL}, col_no) FILTER ({ROLE_DOOR}), '') AS door_material,
   coalesce(max_by({VAL}, col_no) FILTER ({ROLE_FRAME} AND NOT {ROLE_DOOR}), '') AS frame_material,
   coalesce(max_by({VAL}, col_no) FILTER (contains({LOWH}, 'type') AND NOT contains({LOWH}, 'frame') AND NOT contains({LOWH}, 'window')), '') AS door_type,
   coalesce(max_by({VAL}, col_no) FILTER ({sql_any(LOWH, V.COMMENT_HEADERS)}), '') AS comments
-  FROM v_cells GROUP BY project_id, row_no"""
+  FROM v_cells GROUP BY project_id, table_id, row_no"""
 
 
-@q("row_features", f"SELECT row_no, panel_2, pair_leaves, door_width, has_hardware, has_material, explicit_exterior, explicit_single, first_material, "
+@q("row_features", f"SELECT project_id, table_id, row_no, panel_2, pair_leaves, door_width, has_hardware, has_material, explicit_exterior, explicit_single, first_material, "
    f"NOT explicit_single AND (panel_2 OR pair_leaves OR {WIDTH_SQL.format(c='door_width')} >= 50) AS has_panel_2 FROM ({FEATURES})", "v_cells")
 def _(t):
-    return C.row_features(t.v_cells).drop("project_id", "curtain_wall")
+    return C.row_features(t.v_cells).drop("curtain_wall")
 
 
-@q("role_columns", f"SELECT row_no, door_material, frame_material, '' AS window_material, door_type, '' AS frame_type, comments FROM ({ROLES})", "v_cells")
+@q("role_columns", f"SELECT project_id, table_id, row_no, door_material, frame_material, '' AS window_material, door_type, '' AS frame_type, comments FROM ({ROLES})", "v_cells")
 def _(t):
-    return C.role_columns(t.v_cells).drop("project_id")
+    return C.role_columns(t.v_cells)
 
 
 SF_MAT = (
@@ -438,11 +440,6 @@ def _(t):
     return t.part.select("p_partkey", T.similarity("p_name", "p_type").alias("likeness"))
 
 
-@q("sequence_ratio")
-def _(t):
-    return t.part.select("p_partkey", T.similarity("p_name", "p_type", "ratio").alias("ratio"))
-
-
 # Rules ---------------------------------------------------------------------------------------
 
 CASED = f"((door_material IN {sql_list(V.BLANK_CASED_MATERIAL)} AND door_type IN {sql_list(V.BLANK_CASED_TYPE)}) OR door_type IN {sql_list(V.CASED_TYPES)})"
@@ -559,25 +556,25 @@ def _(t):
 
 @q(
     "drop_banners",
-    """WITH b AS (SELECT row_no, col_no, header, CASE WHEN row_no % 6 = 0 AND col_no > 0 THEN '' ELSE value END AS value FROM v_cells)
-  SELECT row_no, CAST(col_no AS INT) AS col_no, header, value FROM b WHERE row_no NOT IN (SELECT row_no FROM b WHERE trim(value) <> '' GROUP BY row_no HAVING count(*) = 1)""",
+    """WITH b AS (SELECT project_id, table_id, row_no, col_no, header, CASE WHEN row_no % 6 = 0 AND table_id = 'T0' AND col_no > 0 THEN '' ELSE value END AS value FROM v_cells)
+  SELECT project_id, table_id, row_no, CAST(col_no AS INT) AS col_no, header, value FROM b WHERE (project_id, table_id, row_no) NOT IN (SELECT (project_id, table_id, row_no) FROM b WHERE trim(value) <> '' GROUP BY project_id, table_id, row_no HAVING count(*) = 1)""",
     "v_cells",
 )
 def _(t):
-    cells = t.v_cells.withColumn("value", F.when((F.col("row_no") % 6 == 0) & (F.col("col_no") > 0), "").otherwise(F.col("value")))
-    return C.drop_banners(cells).select("row_no", "col_no", "header", "value")
+    cells = t.v_cells.withColumn("value", F.when((F.col("row_no") % 6 == 0) & (F.col("table_id") == "T0") & (F.col("col_no") > 0), "").otherwise(F.col("value")))
+    return C.drop_banners(cells).select(*C.ROW, "col_no", "header", "value")
 
 
 @q(
     "drop_empty_cols",
-    """SELECT row_no, CAST(col_no AS INT) AS col_no, header, value FROM (SELECT row_no, col_no, CASE WHEN col_no % 4 = 1 THEN 'COLUMN_' || CAST(col_no AS STRING) ELSE header END AS header,
+    """SELECT project_id, table_id, row_no, CAST(col_no AS INT) AS col_no, header, value FROM (SELECT project_id, table_id, row_no, col_no, CASE WHEN col_no % 4 = 1 THEN 'COLUMN_' || CAST(col_no AS STRING) ELSE header END AS header,
   CASE WHEN col_no = 5 THEN '' ELSE value END AS value FROM v_cells) WHERE header <> 'COLUMN_5'""",
     "v_cells",
 )
 def _(t):
     header = F.when(F.col("col_no") % 4 == 1, F.concat(F.lit("COLUMN_"), F.col("col_no").cast("string"))).otherwise(F.col("header"))
     cells = t.v_cells.withColumns({"header": header, "value": F.when(F.col("col_no") == 5, "").otherwise(F.col("value"))})
-    return C.drop_blank_columns(cells).select("row_no", "col_no", "header", "value")
+    return C.drop_blank_columns(cells).select(*C.ROW, "col_no", "header", "value")
 
 
 @q(

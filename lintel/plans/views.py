@@ -16,6 +16,7 @@ PREFIX = "CASE WHEN {k} % 11 = 0 THEN 'OH' WHEN {k} % 13 = 0 THEN 'CO' WHEN {k}
 V_SCHED = """
 SELECT 'P' || CAST(p_partkey % 8 AS STRING) AS project_id,
   p_partkey AS row_no,
+  'T' || CAST(CAST(floor(p_partkey / 8) AS BIGINT) % 2 AS STRING) AS table_id, CAST(floor(p_partkey / 16) AS BIGINT) AS table_row,
   """ + PREFIX.format(k="p_partkey") + """ || CAST(p_partkey AS STRING) AS mark,
   """ + PREFIX.format(k="p_partkey") + """ || CAST(p_partkey AS STRING)
     || CASE p_partkey % 6 WHEN 0 THEN ' copy' WHEN 1 THEN '  DRAFT' WHEN 2 THEN ' Void 2' ELSE '' END AS printed_mark,
@@ -75,15 +76,15 @@ FROM {lineitem}
 # Three extraction passes: page = user, pass by event type, mark = the number in the JSON.
 V_PASSES = """
 SELECT 'P' || CAST(user_id % 8 AS STRING) AS project_id, 'U' || CAST(user_id AS STRING) AS page_id,
-  CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS pass_no,
+  CASE WHEN event_type IN ('click', 'error') THEN 1 WHEN event_type IN ('view', 'signup') THEN 2 ELSE 3 END AS pass_no,
   'D' || replace(replace(props, '{{"k": ', ''), '}}', '') AS mark, event_id
-FROM {events} WHERE event_type IN ('click', 'view', 'purchase')
+FROM {events}
 """
 
 VIEWS = {"v_sched": V_SCHED, "v_det": V_DET, "v_passes": V_PASSES}
 DET_ORDER = ("floor_no", "page_no", "w_cy", "w_cx", "det_id")
 
-# column -> header spellings by row number mod 4
+# column -> header spellings by part number mod 4; a project has two tables whose row numbers collide
 CELLS = {
     "mark": ["Mark", "DOOR NO", "type", "Door Mark"],
     "location": ["Location", "ROOM NAME", "room", "LOCATION"],
@@ -110,7 +111,7 @@ def _cells_sql():
     for i, (c, heads) in enumerate(CELLS.items()):
         case = " ".join(f"WHEN {n} THEN {_quoted(h)}" for n, h in enumerate(heads))
         parts.append(
-            f"SELECT project_id, row_no, {i} AS col_no, CASE row_no % 4 {case} END AS header, "
+            f"SELECT project_id, table_id, table_row AS row_no, {i} AS col_no, CASE row_no % 4 {case} END AS header, "
             f"CAST({c} AS STRING) AS value, schedule_type FROM v_sched"
         )
     return " UNION ALL ".join(parts)
@@ -185,10 +186,11 @@ class Tables:
     @property
     def v_cells(self):
         def header(heads):
-            return F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("row_no") % 4 + 1).cast("int"))
+            return F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("_part") % 4 + 1).cast("int"))
 
         return to_cells(
-            self.v_sched, ("project_id", "row_no"), {c: header(h) for c, h in CELLS.items()}, F.col("schedule_type")
+            self.v_sched.withColumnsRenamed({"row_no": "_part", "table_row": "row_no"}),
+            ("project_id", "table_id", "row_no"), {c: header(h) for c, h in CELLS.items()}, F.col("schedule_type"),
         )
 
     @property

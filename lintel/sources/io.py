@@ -43,11 +43,12 @@ def registry_rows(text: Column) -> Column:
     return F.coalesce(filled(bare), filled(wrapped["instance_schedule"]), filled(wrapped["data"]))
 
 
-def registry_cells(docs: DataFrame, text="value", key=("project_id",), type_hint=None) -> DataFrame:
-    """Registry documents -> long cells in printed column order."""
+def registry_cells(docs: DataFrame, text="value", key=("project_id", "table_id"), type_hint=None) -> DataFrame:
+    """Registry documents -> long cells in printed column order; ``type_hint`` is a text or a Column of docs."""
     key = _list(key)
-    kind = F.coalesce(F.element_at("row", F.lit("_schedule_type")), F.lit(type_hint or ""))
-    rows = docs.select(*key, F.posexplode(registry_rows(F.col(text))).alias("row_no", "row")).withColumn("schedule_type", kind)
+    hint = type_hint if isinstance(type_hint, Column) else F.lit(type_hint or "")
+    rows = docs.select(*key, hint.alias("_hint"), F.posexplode(registry_rows(F.col(text))).alias("row_no", "row"))
+    rows = rows.withColumn("schedule_type", F.coalesce(F.element_at("row", F.lit("_schedule_type")), "_hint"))
     cells = rows.select(*key, "row_no", "schedule_type", F.posexplode("row").alias("col_no", "header", "value"))
     return cells.where("header <> '_schedule_type'").select(
         *key, "row_no", "col_no", "header", F.coalesce("value", F.lit("")).alias("value"), "schedule_type"
@@ -55,9 +56,13 @@ def registry_cells(docs: DataFrame, text="value", key=("project_id",), type_hint
 
 
 def read_registry(spark: SparkSession, path: str, type_hint: str | None = None) -> DataFrame:
-    """One JSON document per file; the project is the file's base name."""
+    """One JSON document per file; the project is the file's base name, the table the part after ``--``, if any.
+
+    So ``tower--doors.json`` and ``tower--windows.json`` are two tables of one project.
+    """
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
     docs = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("project_id"), "value"
+        F.split(name, "--")[0].alias("project_id"), F.coalesce(F.get(F.split(name, "--", 2), F.lit(1)), F.lit("")).alias("table_id"), "value"
     )
     return registry_cells(docs, type_hint=type_hint)
 

@@ -44,10 +44,6 @@ HEADER_SYNONYMS = {
     ],
 }
 WINDOW_HEADER_FOR = {"DOOR TYPE": "WINDOW TYPE", "DOOR MATERIAL": "WINDOW MATERIAL"}
-INTERNAL_HEADERS = [
-    "mark", "mark_normalized", "mark_norm", "_schedule_type", "count", "needs_review", "_schedule_opening_mode",
-]
-
 # Blank-like values; each rule has its own list.
 BLANK_CELL = ["", "-", "N/A", "NONE"]
 BLANK_CASED_MATERIAL = ["-", "", "NONE", "N/A", "CASED OPENING"]
@@ -68,8 +64,6 @@ MODE_SYNONYMS = {
     "FIXED": ["FIXED"],
     "CASEMENT": ["CASEMENT"],
 }
-PLAN_MODES = ["SGL", "PR", "CO", "DA", "SLD", "PKT", "BIFOLD", "OHD", "REV", "BYPASS", "UNKNOWN"]
-WALL_SIDES = ["INT", "EXT", "UNKNOWN"]
 DOUBLE_ACTING_PHRASES = [
     "DBL ACT", "DBL-ACT", "DOUBLE ACTING", "DOUBLE-ACTING", "DOUBLE ACT", "DOUBLE-ACT",
     "ANTI-BARRICADE", "ANTI - BARRICADE",
@@ -134,7 +128,6 @@ NOTE_WALL = "Door Bifurcated on basis of wall type"
 NOTE_LOCATION = "Door Bifurcated on basis of Location"
 NOTE_ALUMINIUM = "Door is of Aluminium/Glass material."
 NOTE_ALUMINIUM_EXCLUDED = "EXCLUDED per specifications (Aluminium door exclusion)."
-STATUSES = ["VERIFIED", "CALCULATED", "INFERRED", "VERIFY", "CONFLICT", "NOT FOUND", "NOT IN SCOPE", "EXCLUDED"]
 
 # Floors.
 STILT_ALIASES = [
@@ -181,6 +174,11 @@ HIDDEN_COLUMNS = [
 ]
 
 # Evidence levels, strongest first.
+# Review items, in the order of the assumption log.
+QUEUE_TYPES = [
+    "aluminium_exclusion_flag", "mark_not_located", "missing_from_plan", "ocr_cv_mismatch", "opening_mode_conflict", "orphan_plan_mark",
+]
+
 EVIDENCE_LEVELS = [
     "revision", "schedule", "type details", "wall schedule", "floor plan", "enlarged plan", "general notes",
     "typical details", "inference",
@@ -215,3 +213,4 @@ LEAF_EPS = 45.0
 BUBBLE_RADIUS = 15.0
 BUBBLE_AREA = 200.0
 BOUNDARY_BANDS = (25.0, 85.0)
+HOST_WALL_REACH = 80.0

@@ -1,10 +1,10 @@
-"""Hand-written cases as DataFrames."""
+"""Cases as DataFrames. MODE_CASES are fixed values of published cases; the rest is our own."""
 
 DET = (
     "project_id string, det_id string, mark string, floor_no int, floor_name string, page_no int, w_cx double, w_cy double, "
     "vlm_opening_mode string, vlm_wall_type string, wall_type string"
 )
-CELL = "project_id string, row_no int, col_no int, header string, value string, schedule_type string"
+CELL = "project_id string, table_id string, row_no int, col_no int, header string, value string, schedule_type string"
 
 # mark, cells, plan mode, expected mode (None: anything but DA)
 MODE_CASES = [
@@ -20,12 +20,12 @@ MODE_CASES = [
 ]
 
 
-def cells(spark, rows, project="P", kind="door"):
+def cells(spark, rows, project="P", kind="door", table="T"):
     """rows: list of (mark, {header: value})."""
     out = []
     for i, (mark, fields) in enumerate(rows):
         for c, (h, v) in enumerate({"mark": mark, **fields}.items()):
-            out.append((project, i, c, h, v, kind))
+            out.append((project, table, i, c, h, v, kind))
     return spark.createDataFrame(out, CELL)
 
 

@@ -74,7 +74,7 @@ def test_segment_zones(spark):
     segs = spark.createDataFrame([("P", "1", 0.0, 0.0, 1000.0, 1000.0)], "project_id string, page_id string, x0 double, y0 double, x1 double, y1 double")
     pts = spark.createDataFrame([("P", "1", 1, 500.0, 510.0), ("P", "1", 2, 500.0, 600.0), ("P", "1", 3, 0.0, 900.0), ("P", "2", 4, 0.0, 0.0)], "project_id string, page_id string, point_id int, cx double, cy double")
     got = {r["point_id"]: (None if r["dist"] is None else round(r["dist"], 3), r["zone"]) for r in S.nearest_segment(pts, segs).collect()}
-    assert got == {1: (7.071, "perimeter"), 2: (70.711, "borderline"), 3: (None, "inside"), 4: (None, "borderline")}
+    assert got == {1: (7.071, "perimeter"), 2: (70.711, "borderline"), 3: (636.396, "inside"), 4: (None, "borderline")}
 
 
 def test_labels_and_circles(spark):
