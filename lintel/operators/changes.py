@@ -51,19 +51,15 @@ def replicate_rows(df: DataFrame, source: str, targets: DataFrame, key=("project
 def apply_changes(df: DataFrame, changes: DataFrame, key=("project_id", "row_id"), seq="seq") -> DataFrame:
     """Replay a log of set, append and delete on long rows ``(key, field, value)``.
 
-    The last entry per field wins; a delete removes what the row held before it. All of it is
-    one aggregation over rows and log together.
+    The last entry per field wins; a delete removes what the row held before it. The log is folded
+    first; rows it does not name pass two anti joins and are not regrouped.
     """
     key = _list(key)
-    base = df.select(*key, "field", "value", F.lit(-1).cast("bigint").alias("_s"), F.lit("set").alias("action"))
     log = changes.select(*key, "field", "value", F.col(seq).cast("bigint").alias("_s"), "action")
     gone = log.where("action = 'delete' and field is null").groupBy(*key).agg(F.max("_s").alias("_row_gone"))
-    last = (
-        base.unionByName(log.where("field is not null"))
-        .groupBy(*key, "field")
-        .agg(F.max_by(F.struct("action", "value", "_s"), "_s").alias("l"))
-    )
+    last = log.where("field is not null").groupBy(*key, "field").agg(F.max_by(F.struct("action", "value", "_s"), "_s").alias("l"))
     alive = last.join(gone, key, "left").where(
         (F.col("l.action") != "delete") & (F.col("_row_gone").isNull() | (F.col("l._s") > F.col("_row_gone")))
     )
-    return alive.select(*key, "field", F.col("l.value").alias("value"))
+    kept = df.select(*key, "field", "value").join(last.select(*key, "field"), [*key, "field"], "left_anti").join(gone.select(*key), key, "left_anti")
+    return kept.unionByName(alive.select(*key, "field", F.col("l.value").alias("value")))

@@ -98,8 +98,8 @@ def best_evidence(df: DataFrame, level="level", value="value", key=("project_id"
     place = F.array_position(F.array(*map(F.lit, V.EVIDENCE_LEVELS)), F.col(level).cast("string")).cast("int")
     last = len(V.EVIDENCE_LEVELS)
     rank = F.when(place > 0, place).otherwise(last + 1) if dict(df.dtypes)[level] == "string" else F.col(level)
-    per_level = df.groupBy(*key, level).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_r", F.struct(rank, level))
-    best = per_level.groupBy(*key).agg(F.min_by(F.struct(F.col(level).alias("l"), "_lo", "_hi", F.col("_r.col1").alias("r")), "_r").alias("b"))
+    per_level = df.groupBy(*key, level).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_r", F.struct(rank.alias("k"), level))
+    best = per_level.groupBy(*key).agg(F.min_by(F.struct(F.col(level).alias("l"), "_lo", "_hi", F.col("_r.k").alias("r")), "_r").alias("b"))
     conflict = F.col("b._lo") != F.col("b._hi")
     return best.select(
         *key, F.col("b.l").alias(level), F.when(conflict, F.lit(None)).otherwise(F.col("b._lo")).alias(value),

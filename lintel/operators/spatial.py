@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lintel import vocab as V
 from lintel.functions import text as T
-from lintel.operators.scan import checkpoint, ordered_scan
+from lintel.operators.scan import ordered_scan
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -322,67 +322,55 @@ def _rows_at(df, kept, key, order):
     return df.join(winners, [*key, "cx", "cy"]).where(order == F.col("r")).select(*df.columns)
 
 
-def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), key=("project_id", "page_id", "mark"), exact=False, max_rounds=1000) -> DataFrame:
-    """Drop points closer than ``eps`` in both axes to a better-ranked one.
+def _eight(c):
+    """The eight cells around a cell, as an array."""
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    return F.array(*[F.struct((c["cx"] + i).alias("cx"), (c["cy"] + j).alias("cy")) for i, j in steps])
 
-    ``exact=False`` drops a point next to any better-ranked point. ``exact=True`` is the greedy
-    rule: only a *kept* point drops its neighbours. It runs in rounds; each round keeps the
-    points that outrank the best of their 3x3 cells and drops what they cover. A cell of side
-    ``eps`` holds at most one kept point, so no round ever pairs up a crowded cell. Ranks are
-    taken to be unique; rows that tie at one position stay together.
+
+def spatial_dedup(df: DataFrame, eps=V.DEDUP_EPS, rank=("neg_arcs", "row_id"), key=("project_id", "page_id", "mark"), exact=False) -> DataFrame:
+    """Points that no better-ranked point lies within ``eps`` of, on both axes.
+
+    With ``exact`` a dropped point covers nothing: points are taken in rank order, each unless a kept
+    one is near. Points of one cell of side ``eps`` are all near each other, so only a cell's best can
+    stay, and it alone looks at the cells around. The greedy form is sequential along a page: a
+    sorted stream in which a task holds the kept points of its page, at most one a cell.
+    Ranks are taken to be unique; rows that tie at one position stay together.
     """
     key, rank = _list(key), _list(rank)
     order = F.struct(*rank)
-
-    def cell_of(x, y):
-        return F.struct(
-            F.floor(x / F.lit(eps)).cast("bigint").alias("cx"), F.floor(y / F.lit(eps)).cast("bigint").alias("cy")
-        )
-
-    def around():
-        c = F.col("_cell")
-        steps = F.sequence(F.lit(-1), F.lit(1))
-        return F.explode(
-            F.flatten(
-                F.transform(
-                    steps,
-                    lambda i: F.transform(
-                        steps, lambda j: F.struct((c["cx"] + i).alias("cx"), (c["cy"] + j).alias("cy"))
-                    ),
-                )
-            )
-        )
-
-    near = (F.abs(F.col("x") - F.col("_x")) < eps) & (F.abs(F.col("y") - F.col("_y")) < eps)
+    cell = F.struct(*[F.floor(F.col(c) / F.lit(eps)).cast("bigint").alias(f"c{c}") for c in "xy"])
     # Among equal positions only the best can stay, whatever happens around it.
     spots = df.groupBy(*key, F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.min(order).alias("r"))
-    spots = spots.withColumn("_cell", cell_of(F.col("x"), F.col("y")))
-
-    if not exact:
-        other = spots.select(
-            *[F.col(k).alias(f"_on_{k}") for k in key], F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("r").alias("_r"), around().alias("_near")
-        ).withColumns({"_nx": F.col("_near.cx"), "_ny": F.col("_near.cy")}).drop("_near")
-        spots = spots.withColumns({"_gx": F.col("_cell.cx"), "_gy": F.col("_cell.cy")}).drop("_cell")
-        meets = (F.col("_gx") == F.col("_nx")) & (F.col("_gy") == F.col("_ny")) & near & (F.col("_r") < F.col("r"))
-        for k in key:
-            meets = meets & (F.col(k) == F.col(f"_on_{k}"))
-        return _rows_at(df, spots.join(other, meets, "left_anti"), key, order)
-    kept, left = None, checkpoint(spots)
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        best = left.groupBy(*key, "_cell").agg(F.min("r").alias("_r"))
-        rim = best.select(*key, "_r", around().alias("_cell")).groupBy(*key, "_cell").agg(F.min("_r").alias("_r"))
-        won = checkpoint(left.join(rim, [*key, "_cell"]).where("r = _r").drop("_r"))
-        kept = won if kept is None else kept.unionByName(won)
-        cover = won.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), around().alias("_cell"))
-        gone = left.join(cover, [*key, "_cell"]).where(near).select(*key, "x", "y").distinct()
-        left = checkpoint(left.join(gone, [*key, "x", "y"], "left_anti").select(*left.columns))
-    else:
-        raise RuntimeError("spatial_dedup did not settle")
-    if kept is None:
-        return df.where(F.lit(False))
-    return _rows_at(df, kept, key, order)
+    if exact:
+        return _rows_at(df, _greedy(spots, eps, key), key, order)
+    spots = spots.withColumn("_cell", cell)
+    best = spots.groupBy(*key, "_cell").agg(F.min_by(F.struct("x", "y", "r"), "r").alias("b")).select(*key, "_cell", "b.*")
+    other = spots.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("r").alias("_r"), F.explode(_eight(F.col("_cell"))).alias("_cell"))
+    near = (F.abs(F.col("x") - F.col("_x")) < eps) & (F.abs(F.col("y") - F.col("_y")) < eps)
+    beaten = best.join(other, [*key, "_cell"]).where(near & (F.col("_r") < F.col("r"))).select(*key, "x", "y").distinct()
+    return _rows_at(df, best.join(beaten, [*key, "x", "y"], "left_anti"), key, order)
+
+
+def _greedy(spots: DataFrame, eps: float, key: list[str]) -> DataFrame:
+    def walk(batches):
+        page, kept = None, {}
+        for pdf in batches:
+            take = []
+            for *k, x, y in pdf[[*key, "x", "y"]].itertuples(index=False):
+                if k != page:
+                    page, kept = k, {}
+                i, j = math.floor(x / eps), math.floor(y / eps)
+                around = (kept.get((a, b)) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1))
+                take.append(not any(p and abs(p[0] - x) < eps and abs(p[1] - y) < eps for p in around))
+                if take[-1]:
+                    kept[(i, j)] = (x, y)
+            yield pdf[[*key, "x", "y"]][take]
+
+    rows = spots.repartition(*key).sortWithinPartitions(*key, "r")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*key, "x", "y"])
+    kept = rows.select(*key, "x", "y").mapInPandas(walk, schema)
+    return kept.join(spots, [*key, "x", "y"])
 
 
 def leaf_groups(paths: DataFrame, eps=V.LEAF_EPS, key=("project_id", "page_id", "mark_id")) -> DataFrame:

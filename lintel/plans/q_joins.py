@@ -641,7 +641,15 @@ def _(t):
     return S.spatial_dedup(dedup_points(t), rank=("neg_arcs", "det_id"), key=["page_id"]).select("det_id")
 
 
-@q("spatial_dedup_greedy")
+@q(
+    "spatial_dedup_greedy",
+    """WITH RECURSIVE o AS (SELECT page_id, w_cx, w_cy, det_id, row_number() OVER (PARTITION BY page_id ORDER BY -floor_no, det_id) AS n FROM v_det),
+  s AS (SELECT DISTINCT page_id, 0::BIGINT AS n, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept, NULL::VARCHAR AS det_id FROM o
+   UNION ALL SELECT page_id, n, CASE WHEN free THEN list_append(kept, {'x': w_cx, 'y': w_cy}) ELSE kept END, CASE WHEN free THEN det_id END FROM (
+    SELECT o.page_id, o.n, s.kept, o.w_cx, o.w_cy, o.det_id, len(list_filter(s.kept, lambda k: abs(k.x - o.w_cx) < 8 AND abs(k.y - o.w_cy) < 8)) = 0 AS free FROM s JOIN o ON o.page_id = s.page_id AND o.n = s.n + 1))
+  SELECT det_id FROM s WHERE det_id IS NOT NULL""",
+    "v_det",
+)
 def _(t):
     return S.spatial_dedup(dedup_points(t), rank=("neg_arcs", "det_id"), key=["page_id"], exact=True).select("det_id")
 

@@ -489,7 +489,8 @@ def _(t):
 def _(t):
     e = t.events.select("user_id", "event_type", "value", "ts", "event_id")
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    return IO.upsert_latest(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["user_id", "event_type"], ["ts", "event_id"]).drop("event_id")
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    return IO.upsert_latest(IO.latest(e.where(F.col("ts") < cut), keys, order), e.where(F.col("ts") >= cut), keys, order).drop("event_id")
 
 
 # Streams ------------------------------------------------------------------------------------------

@@ -152,6 +152,8 @@ def oracle(body: str, *views: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({DUCK[n].strip()})" for n in order)
     rest = body[5:] if body[:5].upper() == "WITH " else None
+    if rest and rest.startswith("RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{rest[10:]}"
     return f"WITH {ctes},\n{rest}" if rest else f"WITH {ctes}\n{body}"
 
 

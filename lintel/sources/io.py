@@ -134,13 +134,22 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return _typed(spark, path, DETECTION)
 
 
-def upsert_latest(target: DataFrame, changes: DataFrame, keys, order) -> DataFrame:
-    """Target with the latest change per key applied: one aggregation over both, no window."""
+def latest(df: DataFrame, keys, order) -> DataFrame:
+    """The last row per key: an aggregation with map-side combine, no window."""
     keys, order = _list(keys), _list(order)
-    rest = [c for c in target.columns if c not in keys]
-    tagged = target.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    best = tagged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", *order)).alias("_r"))
-    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*target.columns)
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def upsert_latest(target: DataFrame, changes: DataFrame, keys, order) -> DataFrame:
+    """Target with the latest change per key in place of the rows it had.
+
+    Only the changes are folded; rows of the target that no change names pass through an anti join,
+    which needs no shuffle of the target while the changed keys are few enough to broadcast.
+    """
+    new = latest(changes, keys, order)
+    return target.join(new.select(*_list(keys)), _list(keys), "left_anti").unionByName(new.select(*target.columns))
 
 
 TAKEOFF_TABLES = ("door_schedule", "unit_count", "unit_door", "assumption_log")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,7 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, Str
 
 from lintel import vocab as V
 from lintel.operators.scan import islands, ordered_scan
-from lintel.sources.io import upsert_latest
+from lintel.sources.io import latest, upsert_latest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,9 +35,12 @@ def progress_columns(df: DataFrame, node="node", status="status") -> DataFrame:
 def track_progress(stream: DataFrame, session="session_id", ts="ts", seq=None) -> DataFrame:
     """Latest step per session; ``ended`` once completed or failed, not while paused.
 
-    Works on a batch frame and, in update mode, on a stream; per-session state is one row.
+    On a stream, in update mode, the state of a session is one row, and it goes when the session
+    ends: an event that arrives after that opens a new one. Needs the RocksDB state store.
     """
     rows = progress_columns(stream)
+    if stream.isStreaming:
+        return _progress_stream(rows, session, ts, seq)
     order = F.struct(*[F.col(c) for c in ([ts, seq] if seq else [ts])])
     latest = rows.groupBy(session).agg(
         F.max_by(F.struct("step", "progress", "run_status"), order).alias("l"), F.max(ts).alias("last_ts")
@@ -47,6 +51,43 @@ def track_progress(stream: DataFrame, session="session_id", ts="ts", seq=None) -
     )
 
 
+class _Progress(StatefulProcessor):
+    """Keeps the latest event of a session until it ends."""
+
+    def __init__(self, session: str):
+        self.session = session
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "micros bigint, seq bigint, step string, progress int, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = tuple(self.last.get()) if self.last.exists() else None
+        for pdf in rows:
+            row = pdf.sort_values(["micros", "seq"]).iloc[-1]
+            new = (int(row["micros"]), int(row["seq"]), row["step"], int(row["progress"]), row["run_status"])
+            best = new if best is None or new[:2] >= best[:2] else best
+        ended = best[4] in ("completed", "failed")
+        if ended:
+            self.last.clear()
+        else:
+            self.last.update(best)
+        yield pd.DataFrame([[key[0], best[2], best[3], best[4], best[0], ended]], columns=[self.session, "step", "progress", "status", "micros", "ended"])
+
+    def close(self) -> None:
+        pass
+
+
+def _progress_stream(rows: DataFrame, session: str, ts: str, seq: str | None) -> DataFrame:
+    number = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    slim = rows.select(session, _micros(ts).alias("micros"), number.alias("seq"), "step", F.col("progress").cast("int").alias("progress"), "run_status")
+    kind = slim.schema[session].dataType.simpleString()
+    out = slim.groupBy(session).transformWithStateInPandas(
+        statefulProcessor=_Progress(session), outputMode="Update", timeMode="None",
+        outputStructType=f"`{session}` {kind}, step string, progress int, status string, micros bigint, ended boolean",
+    )
+    return out.select(session, "step", "progress", "status", F.timestamp_micros("micros").alias("last_ts"), "ended")
+
+
 def _admit_times(times, accepted: list[int], limit: int, window: int):
     """Sliding log over ordered micros: accept while fewer than ``limit`` accepted ones are younger than the window."""
     out = []
@@ -176,11 +217,12 @@ def review_step(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Data
 
 
 def review_loop(decisions: DataFrame, queue_path: str, checkpoint_path: str):
-    """Stream of decisions against a stored queue. Each micro-batch upserts decisions below
-    ``queue_path``; the open queue is the anti join, so a replayed batch changes nothing."""
+    """Stream of decisions against a stored queue. Each micro-batch stores its last decision per item
+    in a folder of its own below ``queue_path``; the open queue is the anti join, so a replayed batch,
+    which writes the same folder again, changes nothing."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.select("item_id", "decision", "seq").write.mode("overwrite").parquet(
+        latest(batch, ["item_id"], ["seq"]).select("item_id", "decision", "seq").write.mode("overwrite").parquet(
             f"{queue_path}/decisions/batch_id={batch_id}"
         )
 
@@ -188,9 +230,14 @@ def review_loop(decisions: DataFrame, queue_path: str, checkpoint_path: str):
 
 
 def open_queue(spark, queue_path: str) -> DataFrame:
-    """Items still waiting: stored queue minus every stored decision."""
+    """Items still waiting: stored queue minus every stored decision; all of them before the first one."""
     queue = spark.read.parquet(f"{queue_path}/items")
-    decisions = spark.read.parquet(f"{queue_path}/decisions").drop("batch_id")
+    try:
+        decisions = spark.read.parquet(f"{queue_path}/decisions").drop("batch_id")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return queue
     return review_step(queue, decisions)[0]
 
 

@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-EAGER = {"words_to_table", "spatial_dedup_greedy"}  # these run stages while they build
+EAGER = {"words_to_table"}  # these run stages while they build
 
 
 @pytest.fixture(scope="module")

@@ -58,7 +58,7 @@ def test_progress_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "session_id string, ts timestamp, node string, status string")
     df.write.parquet(str(tmp_path / "p"))
     src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "p"))
-    got = {r["session_id"]: (r["step"], r["progress"], r["status"], r["ended"]) for r in run_stream(spark, ST.track_progress(src), "progress_rows", "complete").collect()}
+    got = {r["session_id"]: (r["step"], r["progress"], r["status"], r["ended"]) for r in run_stream(spark, ST.track_progress(src), "progress_rows", "update").collect()}
     assert got == {"a": ("completed", 100, "completed", True), "b": ("human_node", 0, "paused_qa", False), "c": ("x", 0, "failed", True)}
 
 
@@ -68,6 +68,7 @@ def test_review_loop(spark, tmp_path):
     dec = spark.createDataFrame([("i0", "keep", 1), ("i0", "drop", 2), ("i2", "keep", 1)], "item_id string, decision string, seq bigint")
     dec.write.parquet(str(tmp_path / "d"))
     src = spark.readStream.schema(dec.schema).parquet(str(tmp_path / "d"))
+    assert ST.open_queue(spark, str(tmp_path / "q")).count() == 3
     h = ST.review_loop(src, str(tmp_path / "q"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     h.awaitTermination(120)
     left = ST.open_queue(spark, str(tmp_path / "q"))
