@@ -142,12 +142,14 @@ def assumption_log(doors: DataFrame, queue: DataFrame) -> DataFrame:
     The leading number follows that order (row numbers by the thousand; place of the type, then the
     first two letters of the mark), so a project is numbered in many short stretches.
     """
+    wall = F.concat(F.lit("wall type '"), "wall_variant", F.lit("'"))
+    basis = F.coalesce(wall, F.when(F.col("mark").endswith(".L"), "location").otherwise("wall thickness"))
     building = F.col("building") if "building" in doors.columns else F.lit("")
     split = doors.where("is_bifurcated").select(
         "project_id", F.floor(F.col("row_no") / 1024).cast("bigint").alias("_lead"), F.col("row_no").cast("bigint").alias("_row"), F.col("table_id").alias("_table"),
         building.alias("building"), F.col("FLOOR / LEVEL").alias("floor"),
         F.col("mark").alias("item"),
-        F.concat(F.lit("Bifurcated mark '"), "original_tag", F.lit("' on basis of wall type '"), "wall_variant", F.lit("'")).alias("issue"),
+        F.concat(F.lit("Bifurcated mark '"), "original_tag", F.lit("' on basis of "), basis).alias("issue"),
         F.lit("Floor Plan / Partition Schedule").alias("source"), F.lit("CALCULATED").alias("action"),
     )
     kind = F.array_position(F.array(*map(F.lit, V.QUEUE_TYPES)), F.col("type"))
