@@ -74,7 +74,7 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, max
     last = last.where("after >= rest AND after - words < rest").select("known", "source", F.col("key").alias("l_key"), F.col("doc_id").alias("l_doc"), F.col("size").alias("l_size"), F.floor((F.col("rest") - F.col("after") + F.col("words")) / F.col("copies")).cast("long").alias("l_part"))
     goal = g.join(last, ["known", "source"], "left").withColumn("source", F.when(F.col("known"), F.col("source"))).drop("known").withColumnRenamed("source", "g_source")
     goal = cut(goal)  # one row per source
-    out = sized.join(goal, sized["source"].eqNullSafe(goal["g_source"])).withColumn("l_here", _key(F.col("doc_id"), seed))
+    out = sized.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("l_here", _key(F.col("doc_id"), seed))
     none = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     cutoff = F.struct("l_key", F.coalesce("l_doc", F.lit(-(2**63))).alias("d"), F.col("l_size").alias("s"))
     here = F.struct(F.col("l_here").alias("l_key"), none.alias("d"), F.col("size").alias("s"))

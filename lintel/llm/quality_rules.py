@@ -108,6 +108,6 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns."""
-    bad = judge(docs, labels, risk, error).where("NOT kept").select("doc_id", "text_key").distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (key == bad["text_key"]), "left_anti")
+    bad = judge(docs, labels, risk, error).where("NOT kept").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
