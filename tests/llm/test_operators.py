@@ -235,7 +235,7 @@ def auc(score, y):
     return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
 
 
-@pytest.mark.parametrize("query,label,least", [("op7_quality_cnn", "quality", 0.85), ("op9_toxicity_mil", "toxic", 0.8)])
+@pytest.mark.parametrize("query,label,least", [("op7_quality_cnn", "quality", 0.95), ("op9_toxicity_mil", "toxic", 0.9)])
 def test_classifiers_on_held_out_labels(spark, query, label, least):
     from lintel.llm.queries import QUERIES
 
