@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintel.llm import hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
+from lintel.llm import sql
 from lintel.llm.common import read
 
-QUERIES, SQL = {}, {}
+QUERIES = {}
+SQL = {"op1_ngram_jaccard": sql.NEAR_DUPLICATES, "op2_quality_rules": sql.QUALITY_RULES, "op3_mix_sources": sql.MIX_SOURCES, "op5_suffix_dedup": sql.SUFFIX_DEDUP}
 
 
 def query(fn):
@@ -17,7 +19,7 @@ def query(fn):
 
 @query
 def op1_ngram_jaccard(spark, sf_dir):
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query
