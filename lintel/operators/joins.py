@@ -139,19 +139,15 @@ def confusion_join(words: DataFrame, marks: DataFrame, on="text", variants=None,
     )
 
 
-def _substrings(c, min_len=1):
-    """All substrings of a short text, as an array."""
-    starts = F.sequence(F.lit(1), F.length(c))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda s: F.transform(
-                    F.sequence(F.lit(1), F.length(c) - s + 1), lambda n: F.substring(c, s, n)
-                ),
-            )
-        )
-    )
+def _pieces(df: DataFrame, text: str, out: str, other: DataFrame, other_text: str, key) -> DataFrame:
+    """Distinct substrings of ``text`` as ``out``, only of the lengths that occur on the other side.
+
+    One row per place and length from a generator, so a long text is never expanded into an array of all its substrings.
+    """
+    sizes = other.select(*key, F.length(other_text).alias("_n")).distinct()
+    places = F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)
+    cut = df.join(sizes, key).where(F.col("_n") <= F.length(text)).withColumn("_i", F.explode(places))
+    return cut.select(*key, text, F.substring(text, F.col("_i"), F.col("_n")).alias(out)).distinct()
 
 
 def contains_join(texts: DataFrame, marks: DataFrame, key=("project_id",), text="text", text_id="text_id") -> DataFrame:
@@ -163,17 +159,8 @@ def contains_join(texts: DataFrame, marks: DataFrame, key=("project_id",), text=
     t = texts.select(*key, text_id, F.col(text).alias("_t")).where("_t <> ''")
     distinct_texts = t.select(*key, "_t").distinct()
     m = marks.select(*key, F.col("mark")).where("mark <> ''").distinct()
-    inside = (
-        distinct_texts.withColumn("mark", F.explode(_substrings(F.col("_t"))))
-        .join(m, [*key, "mark"])
-        .select(*key, "_t", "mark")
-    )
-    around = (
-        m.withColumn("_t", F.explode(_substrings(F.col("mark"))))
-        .where("_t <> mark")
-        .join(distinct_texts, [*key, "_t"])
-        .select(*key, "_t", "mark")
-    )
+    inside = _pieces(distinct_texts, "_t", "mark", m, "mark", key).join(m, [*key, "mark"]).select(*key, "_t", "mark")
+    around = _pieces(m, "mark", "_t", distinct_texts, "_t", key).where("_t <> mark").join(distinct_texts, [*key, "_t"]).select(*key, "_t", "mark")
     best = (
         inside.unionByName(around)
         .groupBy(*key, "_t")
