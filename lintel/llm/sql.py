@@ -35,7 +35,7 @@ QUALITY_RULES = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coa
   t AS (SELECT stratum, rule, count(*) AS n, list(over_) AS o, count(*) OVER () AS pairs FROM h GROUP BY 1, 2),
   c AS (SELECT stratum, rule, n, pairs, unnest({_CUTS}[rule]) AS cutoff, unnest(list_transform(range({_MOST}), lambda a: len(list_filter(o, lambda x: x > a)))) AS lost FROM t),
   k AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM c WHERE lost < n * {_P!r} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r}))))
-   <= {quality_rules.ERROR!r} / (pairs * {_MOST}) GROUP BY 1, 2),
+   <= {quality_rules.ERROR!r} / pairs GROUP BY 1, 2),
   ct AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS {r}" for r in quality_rules.GRID)} FROM k GROUP BY 1)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
    NOT base_failed AND NOT ({" OR ".join(f"coalesce(f.{r} > ct.{r}, FALSE)" for r in quality_rules.GRID)}) AS kept FROM f LEFT JOIN ct USING (stratum)"""
