@@ -101,13 +101,15 @@ def with_arbitration(df: DataFrame) -> DataFrame:
 def arbitrate_mode(df: DataFrame):
     """(rows, queue): rows with the final mode and the conflicts as review items."""
     rows = with_arbitration(df)
+    stated = F.nullif(T.text_of("plan_reason"), F.lit("")) if "plan_reason" in df.columns else F.lit(None)
+    reason = F.coalesce(stated, F.lit(V.NO_REASON))
     queue = rows.where("mode_conflict").select(
         "project_id",
         F.lit("opening_mode_conflict").alias("type"),
         "mark",
         F.concat(
             F.lit("Opening Mode Conflict: Schedule suggests '"), "resolved_mode",
-            F.lit("' but floor plan crop reads as '"), "plan_mode_cleaned", F.lit("'."),
+            F.lit("' but floor plan crop reads as '"), "plan_mode_cleaned", F.lit("'. (Reasoning: "), reason, F.lit(")"),
         ).alias("context"),
     )
     return rows, queue

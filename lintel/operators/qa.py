@@ -147,7 +147,8 @@ def default_usage(df: DataFrame, key=("project_id",), item="type") -> DataFrame:
 
 
 def takeoff_summary(tables: dict[str, DataFrame]) -> DataFrame:
-    """Doors by section, exclusions, bifurcation and items to verify, one row per project."""
+    """Doors by section, exclusions, bifurcation and items to verify, one row per project; with a unit
+    mix also buildings, floors and units, with windows their number and types, with a queue its items."""
     doors = tables["doors"]
 
     def n_if(cond):
@@ -167,6 +168,15 @@ def takeoff_summary(tables: dict[str, DataFrame]) -> DataFrame:
             F.countDistinct("original_tag").alias("bifurcated_tags"), F.count(F.lit(1)).alias("variants")
         )
         out = out.join(v, "project_id", "left").na.fill(0, ["bifurcated_tags", "variants"])
+    more = {
+        "unit_mix": [F.countDistinct("building").alias("buildings"), F.countDistinct("floor").alias("floors"), F.countDistinct("unit_type").alias("unit_types"), F.sum("count").alias("units")],
+        "windows": [F.sum("qty").alias("windows"), F.countDistinct("mark").alias("window_types")],
+        "queue": [F.count(F.lit(1)).alias("discrepancies")],
+    }
+    for name, aggs in more.items():
+        if tables.get(name) is not None:
+            part = tables[name].groupBy("project_id").agg(*aggs)
+            out = out.join(part, "project_id", "left").na.fill(0, [c for c in part.columns if c != "project_id"])
     return out
 
 

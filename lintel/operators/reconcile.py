@@ -67,11 +67,12 @@ def detection_facts(det: DataFrame, order=DET_ORDER) -> DataFrame:
     """Per mark: first detection, quantity and floors in first-seen order."""
     d = det.withColumn("mark", T.mark_key(T.text_of("mark"))).where("mark <> ''")
     o = F.struct(*order)
+    reason = F.col("vlm_reasoning") if "vlm_reasoning" in det.columns else F.lit(None).cast("string")
     per_floor = d.groupBy(*MARK, "floor_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(o).alias("o"),
         F.min_by(
-            F.struct(F.col("vlm_opening_mode").alias("plan_mode"), F.col("vlm_wall_type").alias("plan_wall")), o
+            F.struct(F.col("vlm_opening_mode").alias("plan_mode"), F.col("vlm_wall_type").alias("plan_wall"), reason.alias("plan_reason")), o
         ).alias("f"),
     )
     named = F.filter(F.array_sort(F.collect_list(F.struct("o", "floor_name"))), lambda e: F.coalesce(e["floor_name"], F.lit("")) != "")
@@ -79,7 +80,7 @@ def detection_facts(det: DataFrame, order=DET_ORDER) -> DataFrame:
         F.sum("n").alias("qty"),
         F.min_by("f", "o").alias("f"),
         F.array_join(F.transform(named, lambda e: e["floor_name"]), ", ").alias("plan_floors"),
-    ).select(*MARK, "qty", "f.plan_mode", "f.plan_wall", "plan_floors")
+    ).select(*MARK, "qty", "f.plan_mode", "f.plan_wall", "f.plan_reason", "plan_floors")
 
 
 def classify_rows(rows: DataFrame, facts: DataFrame, spec_hits: DataFrame | None = None) -> DataFrame:

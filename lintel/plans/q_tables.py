@@ -351,8 +351,12 @@ def _(t):
   SELECT project_id, CAST(sum(CASE WHEN section = 'UNIQUE' THEN qty ELSE 0 END) AS BIGINT) AS unique_doors, CAST(sum(CASE WHEN section = 'REPEATING' THEN qty ELSE 0 END) AS BIGINT) AS repeating_doors,
    CAST(sum(CASE WHEN section = 'OVERHEAD' THEN qty ELSE 0 END) AS BIGINT) AS overhead_doors, CAST(sum(CASE WHEN section = 'CASED' THEN qty ELSE 0 END) AS BIGINT) AS cased_openings, CAST(sum(qty) AS BIGINT) AS all_doors,
    CAST(sum(CASE WHEN excluded THEN qty ELSE 0 END) AS BIGINT) AS not_in_scope, CAST(sum(CASE WHEN odd THEN 1 ELSE 0 END) AS BIGINT) AS to_verify,
-   CAST(coalesce(any_value(b), 0) AS BIGINT) AS bifurcated_tags, CAST(coalesce(any_value(v), 0) AS BIGINT) AS variants
-  FROM d LEFT JOIN (SELECT project_id, count(DISTINCT original) AS b, count(*) AS v FROM bif WHERE is_bifurcated GROUP BY 1) USING (project_id) GROUP BY project_id""",
+   CAST(coalesce(any_value(b), 0) AS BIGINT) AS bifurcated_tags, CAST(coalesce(any_value(v), 0) AS BIGINT) AS variants, CAST(coalesce(any_value(nb), 0) AS BIGINT) AS buildings, CAST(coalesce(any_value(nf), 0) AS BIGINT) AS floors,
+   CAST(coalesce(any_value(nt), 0) AS BIGINT) AS unit_types, CAST(coalesce(any_value(nu), 0) AS BIGINT) AS units, CAST(coalesce(any_value(wq), 0) AS BIGINT) AS windows, CAST(coalesce(any_value(wt), 0) AS BIGINT) AS window_types, CAST(coalesce(any_value(qn), 0) AS BIGINT) AS discrepancies
+  FROM d LEFT JOIN (SELECT project_id, count(DISTINCT original) AS b, count(*) AS v FROM bif WHERE is_bifurcated GROUP BY 1) USING (project_id)
+   LEFT JOIN (SELECT project_id, count(DISTINCT building) AS nb, count(DISTINCT floor_name) AS nf, count(DISTINCT page_no) AS nt, sum(floor_no) AS nu FROM v_det GROUP BY 1) USING (project_id)
+   LEFT JOIN (SELECT project_id, sum(row_no % 40) AS wq, count(DISTINCT mark) AS wt FROM v_sched WHERE schedule_type = 'window' GROUP BY 1) USING (project_id)
+   LEFT JOIN (SELECT project_id, count(*) AS qn FROM (SELECT DISTINCT project_id, mark FROM v_det WHERE (project_id, mark) NOT IN (SELECT (project_id, mark) FROM v_sched)) GROUP BY 1) USING (project_id) GROUP BY project_id""",
     "v_sched", "v_det",
 )
 def _(t):
@@ -360,7 +364,11 @@ def _(t):
         "project_id", F.expr("row_no % 40").alias("qty"), "section", F.col("fire_rating").contains("BARRIER").alias("excluded"),
         F.expr("CASE WHEN row_no % 9 = 0 THEN 'CONFLICT' ELSE 'VERIFIED' END").alias("status"),
     )
-    return Q.takeoff_summary({"doors": rows, "variants": D.bifurcate(t.v_sched, t.v_det).where("is_bifurcated")})
+    units = t.v_det.select("project_id", "building", F.col("floor_name").alias("floor"), F.col("page_no").alias("unit_type"), F.col("floor_no").alias("count"))
+    windows = t.v_sched.where("schedule_type = 'window'").select("project_id", "mark", F.expr("row_no % 40").alias("qty"))
+    return Q.takeoff_summary({
+        "doors": rows, "variants": D.bifurcate(t.v_sched, t.v_det).where("is_bifurcated"), "unit_mix": units, "windows": windows, "queue": QJ.J.orphans(t.v_det, t.v_sched, QJ.MARK),
+    })
 
 
 @q(
@@ -550,11 +558,11 @@ RECONCILED = f"""sh AS ({SPEC_TOKENS}),
 fe AS ({QT.FEATURES}), ro AS ({QT.ROLES}),
 rt AS (SELECT project_id, table_id, row_no, string_agg(value, ' ' ORDER BY col_no) AS row_text FROM v_cells GROUP BY ALL),
 md AS ({catalog.sql_body["row_mode"]}),
-fd AS (SELECT project_id, mark, min_by(vlm_opening_mode, {QJ.ORDER_SQL}) AS plan_mode, min_by(vlm_wall_type, {QJ.ORDER_SQL}) AS plan_wall, count(*) AS qty FROM v_det GROUP BY ALL),
+fd AS (SELECT project_id, mark, min_by(vlm_opening_mode, {QJ.ORDER_SQL}) AS plan_mode, min_by(vlm_wall_type, {QJ.ORDER_SQL}) AS plan_wall, min_by(vlm_reasoning, {QJ.ORDER_SQL}) AS plan_reason, count(*) AS qty FROM v_det GROUP BY ALL),
 fl AS ({catalog.sql_body["floors_per_mark"]}),
 r0 AS (SELECT s.project_id, s.table_id, s.table_row, s.row_no, s.mark, s.schedule_type, s.location, s.width, s.hardware, s.finish, s.head, s.jamb, s.comments AS printed, s.door_type AS printed_type, s.door_material AS printed_door, s.frame_material AS printed_frame,
    fe.* EXCLUDE (project_id, table_id, row_no, panel_2), NOT explicit_single AND (panel_2 OR pair_leaves OR {QT.WIDTH_SQL.format(c='door_width')} >= 50) AS has_panel_2,
-   ro.* EXCLUDE (project_id, table_id, row_no), opening_mode AS schedule_mode, plan_mode, plan_wall, coalesce(qty, 0) AS qty, qty IS NOT NULL AS located, coalesce(floors, '') AS floors, sh.mark IS NOT NULL AS in_spec,
+   ro.* EXCLUDE (project_id, table_id, row_no), opening_mode AS schedule_mode, plan_mode, plan_wall, plan_reason, coalesce(qty, 0) AS qty, qty IS NOT NULL AS located, coalesce(floors, '') AS floors, sh.mark IS NOT NULL AS in_spec,
    lower(concat_ws(' ', row_text, s.mark, plan_wall, plan_mode)) AS txt, (s.schedule_type = 'window' OR s.mark LIKE 'W%' OR s.mark LIKE 'V%') AS is_window
   FROM v_sched s JOIN fe ON fe.project_id = s.project_id AND fe.table_id = s.table_id AND fe.row_no = s.table_row JOIN ro ON ro.project_id = s.project_id AND ro.table_id = s.table_id AND ro.row_no = s.table_row JOIN rt ON rt.project_id = s.project_id AND rt.table_id = s.table_id AND rt.row_no = s.table_row JOIN md ON md.project_id = s.project_id AND md.table_id = s.table_id AND md.row_no = s.table_row
    LEFT JOIN fd ON fd.project_id = s.project_id AND fd.mark = s.mark LEFT JOIN fl ON fl.project_id = s.project_id AND fl.mark = s.mark LEFT JOIN sh ON sh.project_id = s.project_id AND sh.mark = s.mark),
@@ -587,7 +595,7 @@ qu AS (SELECT project_id, 'orphan_plan_mark' AS type, mark, 'Found in floor plan
   UNION ALL SELECT project_id, 'ocr_cv_mismatch', mark, 'Detected by CV but missed by OCR Consensus.' FROM tr WHERE c AND NOT o
   UNION ALL SELECT rec.project_id, 'aluminium_exclusion_flag', mark, 'Specification Exclusion Audit: ''' || exclusion || '''. Verify if this opening should be removed from scope.' FROM rec JOIN ex USING (project_id)
    WHERE """ + QT.sql_any("first_material", QT.V.ALUMINIUM_MATERIAL) + """
-  UNION ALL SELECT project_id, 'opening_mode_conflict', mark, 'Opening Mode Conflict: Schedule suggests ''' || resolved_mode || ''' but floor plan crop reads as ''' || cleaned || '''.' FROM rec WHERE mode_conflict
+  UNION ALL SELECT project_id, 'opening_mode_conflict', mark, 'Opening Mode Conflict: Schedule suggests ''' || resolved_mode || ''' but floor plan crop reads as ''' || cleaned || '''. (Reasoning: ' || coalesce(nullif(plan_reason, ''), '""" + QT.V.NO_REASON + """') || ')' FROM rec WHERE mode_conflict
   UNION ALL SELECT project_id, 'mark_not_located', mark, 'Mark Not Located: Mark ''' || mark || ''' from schedule registry was not located on floor plan drawing. Flagged for human review.' FROM rec WHERE NOT located)"""
 TRACK_VIEWS = ("v_sched", "v_cells", "v_det", "v_passes")
 

@@ -65,6 +65,7 @@ SELECT 'P' || CAST(l_partkey % 8 AS STRING) AS project_id,
   CASE WHEN l_partkey % 5 = 0 AND l_linestatus = 'O' THEN 'Exterior' ELSE 'Interior' END AS int_ext,
   CASE (l_linenumber + l_partkey) % 7 WHEN 1 THEN 'SGL' WHEN 2 THEN 'PR' WHEN 3 THEN 'CO' WHEN 4 THEN 'DA' WHEN 5 THEN 'DE'
     WHEN 6 THEN 'REV' ELSE 'UNKNOWN' END AS vlm_opening_mode,
+  CASE WHEN l_partkey % 3 = 0 THEN 'swing of ' || CAST(l_linenumber AS STRING) || ' arcs' WHEN l_partkey % 3 = 1 THEN '' END AS vlm_reasoning,
   CAST((l_orderkey * 7 + l_linenumber * 31) % 1000 AS DOUBLE) AS w_cx,
   CAST((l_orderkey * 13 + l_partkey) % 800 AS DOUBLE) AS w_cy,
   CASE WHEN l_suppkey % 9 = 0 THEN 'STAIR ' || CAST(l_suppkey AS STRING) WHEN l_suppkey % 9 = 1 THEN 'Patio'

@@ -126,6 +126,7 @@ NOTE_CASED = "Cased opening found on floor plan."
 NOTE_NOT_FOUND = "Not Found"
 NOTE_WALL = "Door Bifurcated on basis of wall type"
 NOTE_LOCATION = "Door Bifurcated on basis of Location"
+NO_REASON = "VLM detection discrepancy"
 NOTE_THICKNESS = "Door Bifurcated due to larger wall."
 NOTE_ALUMINIUM = "Door is of Aluminium/Glass material."
 NOTE_ALUMINIUM_EXCLUDED = "EXCLUDED per specifications (Aluminium door exclusion)."
