@@ -79,6 +79,28 @@ def radius_join(a: DataFrame, b: DataFrame, r, cell=None, key=("project_id", "pa
     return pairs.where(F.col("dist") < r) if strict else pairs.where(F.col("dist") <= r)
 
 
+def has_near(a: DataFrame, b: DataFrame, r, ids, key=("project_id", "page_id"), strict=False, also=None) -> DataFrame:
+    """Distinct ``ids`` of the points of ``a`` that some point of ``b`` lies within ``r`` of.
+
+    A semi join: a point stops at its first neighbour in each of the few cells it covers, so a crowd
+    of neighbours makes no pairs. ``also`` may read ``dist`` and b's columns, prefixed ``b_``.
+    """
+    key = _list(key)
+    spread = F.explode(_cells(F.col("cx") - r, F.col("cy") - r, F.col("cx") + r, F.col("cy") + r, r))
+    left = a.select(*key, *ids, F.col("cx").alias("a_cx"), F.col("cy").alias("a_cy"), spread.alias("_cell"))
+    right = b.select(*[F.col(k).alias(f"_on_{k}") for k in key], *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in key])
+    for c in ("cx", "cy"):
+        left = left.withColumn(f"_a{c}", F.col(f"_cell.{c}"))
+        right = right.withColumn(f"_b{c}", F.floor(F.col(f"b_{c}") / F.lit(r)).cast("bigint"))
+    dist = F.sqrt(F.pow(F.col("a_cx") - F.col("b_cx"), 2) + F.pow(F.col("a_cy") - F.col("b_cy"), 2))
+    meets = (F.col("_acx") == F.col("_bcx")) & (F.col("_acy") == F.col("_bcy")) & ((dist < r) if strict else (dist <= r))
+    for k in key:
+        meets = meets & (F.col(k) == F.col(f"_on_{k}"))
+    if also is not None:
+        meets = meets & also(dist)
+    return left.join(right, meets, "left_semi").select(*key, *ids).distinct()
+
+
 def path_centres(paths: DataFrame) -> DataFrame:
     return paths.withColumns(
         {
@@ -89,8 +111,8 @@ def path_centres(paths: DataFrame) -> DataFrame:
     )
 
 
-def _not_bubble():
-    return ~((F.col("dist") < V.BUBBLE_RADIUS) & (F.col("b_area") < V.BUBBLE_AREA))
+def _not_bubble(dist=None):
+    return ~(((F.col("dist") if dist is None else dist) < V.BUBBLE_RADIUS) & (F.col("b_area") < V.BUBBLE_AREA))
 
 
 def path_count(marks: DataFrame, paths: DataFrame, r=V.ARC_RADIUS, key=("project_id", "page_id"), mark_id="mark_id") -> DataFrame:
@@ -310,7 +332,7 @@ def in_tag_circle(words: DataFrame, paths: DataFrame, key=("project_id", "page_i
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     round_ = paths.where(F.col("has_curve") & w.between(12, 35) & h.between(12, 35) & (F.abs(w - h) <= 4))
     spots = path_centres(round_).select(*key, "cx", "cy").distinct()
-    hit = radius_join(words, spots, 12.0, key=key).select(*key, mark_id).distinct()
+    hit = has_near(words, spots, 12.0, [mark_id], key)
     return words.join(hit.withColumn("in_circle", F.lit(True)), [*key, mark_id], "left").withColumn(
         "in_circle", F.coalesce("in_circle", F.lit(False))
     )
@@ -416,9 +438,7 @@ def mode_from_paths(marks: DataFrame, paths: DataFrame, facts: DataFrame | None
     key = _list(key)
     long_straight = ~F.col("has_curve") & ((F.col("x1") - F.col("x0") > 80) | (F.col("y1") - F.col("y0") > 80))
     dashes = path_centres(paths.where(F.col("is_dashed") & ~long_straight)).select(*key, "cx", "cy", "area").distinct()
-    dashed = (
-        radius_join(marks, dashes, V.DASH_RADIUS, key=key, strict=True).where(_not_bubble()).select(*key, mark_id).distinct()
-    )
+    dashed = has_near(marks, dashes, V.DASH_RADIUS, [mark_id], key, strict=True, also=_not_bubble)
     groups = leaf_groups(arcs_near(marks, paths, key=key, mark_id=mark_id), key=[*key, mark_id])
     out = marks.join(dashed.withColumn("_dash", F.lit(True)), [*key, mark_id], "left").join(
         groups, [*key, mark_id], "left"
