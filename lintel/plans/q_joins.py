@@ -412,7 +412,7 @@ def _(t):
 
 # Plan against schedule ------------------------------------------------------------------------
 
-PLAN_ROWS = f"""{RULE_ROWS}, fd AS (SELECT project_id, mark, min_by(vlm_opening_mode, {ORDER_SQL}) AS plan_mode, min_by(vlm_wall_type, {ORDER_SQL}) AS plan_wall, count(*) AS qty FROM v_det GROUP BY ALL),
+PLAN_ROWS = f"""{RULE_ROWS}, fd AS (SELECT project_id, mark, min_by(vlm_opening_mode, {ORDER_SQL}) AS plan_mode, min_by(vlm_wall_type, {ORDER_SQL}) AS plan_wall, min_by(vlm_reasoning, {ORDER_SQL}) AS plan_reason, count(*) AS qty FROM v_det GROUP BY ALL),
 pm AS (SELECT *, fd.mark IS NOT NULL AS located FROM rm LEFT JOIN fd USING (project_id, mark)),
 pc AS (SELECT *, CASE WHEN plan_mode IN ('CO', 'REV') AND (has_hardware OR has_material) THEN CASE WHEN has_panel_2 THEN 'PR' ELSE 'SGL' END
   WHEN plan_mode = 'PR' AND NOT has_panel_2 AND resolved_mode = 'SGL' THEN 'SGL' ELSE coalesce(plan_mode, 'UNKNOWN') END AS cleaned FROM pm),
@@ -434,7 +434,7 @@ def _(t):
     return K.arbitrate_mode(plan_rows(t))[0].select("row_no", "plan_mode_cleaned", "mode_conflict", "final_mode")
 
 
-@q("mode_conflicts", f"WITH {PLAN_ROWS.replace('fd.mark IS NOT NULL', 'qty IS NOT NULL')} SELECT project_id, 'opening_mode_conflict' AS type, mark, 'Opening Mode Conflict: Schedule suggests ''' || resolved_mode || ''' but floor plan crop reads as ''' || cleaned || '''.' AS context FROM pa WHERE mode_conflict", "v_sched", "v_det")
+@q("mode_conflicts", f"WITH {PLAN_ROWS.replace('fd.mark IS NOT NULL', 'qty IS NOT NULL')} SELECT project_id, 'opening_mode_conflict' AS type, mark, 'Opening Mode Conflict: Schedule suggests ''' || resolved_mode || ''' but floor plan crop reads as ''' || cleaned || '''. (Reasoning: ' || coalesce(nullif(plan_reason, ''), '{V.NO_REASON}') || ')' AS context FROM pa WHERE mode_conflict", "v_sched", "v_det")
 def _(t):
     return K.arbitrate_mode(plan_rows(t))[1]
 
@@ -647,7 +647,7 @@ def _(t):
   s AS (SELECT DISTINCT page_id, 0::BIGINT AS n, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept, NULL::VARCHAR AS det_id FROM o
    UNION ALL SELECT page_id, n, CASE WHEN free THEN list_append(kept, {'x': w_cx, 'y': w_cy}) ELSE kept END, CASE WHEN free THEN det_id END FROM (
     SELECT o.page_id, o.n, s.kept, o.w_cx, o.w_cy, o.det_id, len(list_filter(s.kept, lambda k: abs(k.x - o.w_cx) < 8 AND abs(k.y - o.w_cy) < 8)) = 0 AS free FROM s JOIN o ON o.page_id = s.page_id AND o.n = s.n + 1))
-  SELECT det_id FROM s WHERE det_id IS NOT NULL""",
+  SELECT det_id FROM v_det WHERE det_id IN (SELECT det_id FROM s)""",
     "v_det",
 )
 def _(t):
