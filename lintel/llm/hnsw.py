@@ -18,7 +18,7 @@ from lintel.llm.common import cut, mix
 #: Vectors in a shard and queries in a block, on average.
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
 #: Links of a node (twice as many on the ground level), and candidates held while building and searching.
-LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 48, 80
+LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 48, 100
 
 INDEX_SCHEMA = "dim int, shard int, ids binary, runs binary, vectors binary, entry int, levels binary, links binary"
 
@@ -182,10 +182,11 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     a vector that very many rows share costs no links.
     """
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dim"))
-    sizes = good.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    sizes = cut(good.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")))
+    tasks = sizes.agg(F.sum("shards")).first()[0] or 1  # a graph takes long to build and little to send: one task each
     dealt = good.withColumn("deal", F.xxhash64(F.lit(3), F.monotonically_increasing_id())).join(sizes, "dim")
     dealt = dealt.select("vec_id", "vec", "dim", F.pmod("deal", F.col("shards").cast("long")).cast("int").alias("shard"))
-    return dealt.groupBy("dim", "shard").applyInPandas(_index, INDEX_SCHEMA)
+    return dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_index, INDEX_SCHEMA)
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, width: int = SEARCH_WIDTH, block_rows: int = BLOCK_ROWS) -> DataFrame:
