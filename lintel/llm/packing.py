@@ -8,10 +8,12 @@ order and cut at every ``length`` tokens: only the last sequence is short.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,17 +29,22 @@ HASHED, FEW, BITS = 512, 3, 8
 #: Documents of a stretch of the curve whose running sums one task takes, on average.
 STRETCH = 1000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 TOKENS_SCHEMA = "row_id long, doc_id long, n_tokens long, ids binary, " + ", ".join(f"p{i} double" for i in range(FEW))
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: The vocabulary's split of text, and how it writes bytes as characters: printable ones as themselves, the others from U+0100 on.
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
 
 class WordTokens:
     """Token ids of texts, word by word from a bounded cache.
 
     The vocabulary's pre-tokenizer never joins across white space, so a text's ids are those of its
-    lower-cased words in turn. That is used where white space and lower-casing cannot differ
+    lower-cased words in turn, and a word's those of its pre-tokens. That is used where white space and lower-casing cannot differ
     between libraries (characters up to U+024F); other texts, and texts that may name a special
     token, go to the tokenizer whole.
     """
@@ -49,17 +56,24 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.new, self.old = {}, {}
 
-    def learn(self, missing: list[str]) -> None:
-        for a in range(0, len(missing), 20_000):
-            part = missing[a : a + 20_000]
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            at = np.cumsum([0] + [len(w) + 1 for w in part])
-            starts = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc.ids))
-            cuts = (np.searchsorted(starts, at) * 2).tolist()
-            ids = np.array(enc.ids, "<u2").tobytes()
-            self.new.update((w, ids[i:j]) for w, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
+    def part(self, s: str) -> bytes:
+        """Ids of one pre-token, by the vocabulary's merges over its bytes."""
+        if not (s.isascii() and s.isprintable()):
+            s = s.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("H", [t.id for t in self.model.tokenize(s)]).tobytes()
+
+    def learn(self, missing: set[str]) -> None:
+        part, new, get = self.part, self.new, self.new.get
+        for w in missing:
+            if w.isalpha():
+                new[w] = part(w)
+            elif w[-1] in ".," and (core := w[:-1]).isalpha():
+                new[w] = (get(core) or part(core)) + part(w[-1])
+            else:
+                new[w] = b"".join(map(part, PRE_TOKENS.findall(w)))
 
     def known(self, words: set[str]) -> None:
         """Afterwards every one of the words is in the new generation."""
@@ -68,7 +82,7 @@ class WordTokens:
         missing = words.difference(self.new)
         for w in missing & self.old.keys():
             self.new[w] = self.old[w]
-        self.learn(list(missing.difference(self.old)))
+        self.learn(missing.difference(self.old))
 
     def encode(self, texts: list[str], plain: np.ndarray) -> list[bytes]:
         """Little-endian 16-bit ids of each text. plain: no byte of it is above U+024F."""
