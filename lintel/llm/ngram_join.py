@@ -247,11 +247,14 @@ def cluster_links(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) ->
     links = cut(links.union(head_sets.groupBy(*key).applyInPandas(_link(percent), schema)))
     big = cut(_relabel(placed.where("big"), links))
     tiles = big.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    one, two = tiles, tiles.select("root", F.col("band").alias("band2"), F.col("lane").alias("lane2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # tiles that hold nothing but the largest component have nothing to settle among themselves
+    main = big.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    tiles = cut(tiles.join(main, "root").withColumn("odd", (F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main"))).drop("main"))
+    two = tiles.withColumnsRenamed({c: f"{c}2" for c in ("band", "lane", "lo", "hi", "odd")})
     near = F.abs(F.col("band") - F.col("band2")) <= 1
-    once = F.struct("band", "lane") < F.struct(F.col("band2").alias("band"), F.col("lane2").alias("lane"))
+    here, there = F.struct("band", "lane"), F.struct(F.col("band2").alias("band"), F.col("lane2").alias("lane"))
     open_ = F.greatest("hi", "hi2") != F.least("lo", "lo2")
-    pairs = one.join(two, "root").where(near & once & open_).withColumn("pair", F.xxhash64("root", "band", "lane", "band2", "lane2"))
+    pairs = tiles.where("odd").join(two, "root").where(near & open_ & (here != there) & (~F.col("odd2") | (here < there))).withColumn("pair", F.xxhash64("root", "band", "lane", "band2", "lane2"))
     sides = pairs.select(*key, "pair").union(pairs.select("root", "band2", "lane2", "pair"))
     last = big.join(sides, key).groupBy("pair").applyInPandas(_link(percent), schema)
     return links.union(last)
