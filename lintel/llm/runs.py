@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import slices, text_bytes
 
-#: Bytes of text in a run.
-RUN_BYTES = 32 << 20
+#: Bytes of text in a run, and how hard it is compressed: runs are stored once and sent a few times.
+RUN_BYTES, LEVEL = 32 << 20, 6
 #: Stands for a null doc_id.
 NONE = -(2**63)
 
@@ -49,7 +49,7 @@ def _gather(batches, most: int):
 
     def run():
         return pa.RecordBatch.from_arrays(
-            [pa.array([(task << 24) + made]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(sizes).astype(np.int64).tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary())],
+            [pa.array([(task << 24) + made]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(sizes).astype(np.int64).tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(parts), LEVEL)], pa.binary())],
             ["run", "ids", "sizes", "text"],
         )
 

@@ -179,7 +179,7 @@ def _sorted_runs(buckets: int):
                     part = slice(cuts[b], cuts[b + 1])
                     lcp, rest = front_code(s.key[part, :SPAN])
                     left_lcp, left = front_code(s.key[part, SPAN : SPAN + BEFORE])
-                    out.append((int(b), row.run, int(cuts[b]), press(lcp), zstandard.compress(rest, 1), press(left_lcp), zstandard.compress(left, 1), press(np.ascontiguousarray(s.key[part, -2:])), press(s.least[part]), press(s.most[part])))
+                    out.append((int(b), row.run, int(cuts[b]), press(lcp), zstandard.compress(rest, 3), press(left_lcp), zstandard.compress(left, 3), press(np.ascontiguousarray(s.key[part, -2:])), press(s.least[part]), press(s.most[part])))
                 yield pd.DataFrame(out, columns=["bucket", "run", "base", "lcp", "rest", "left_lcp", "left", "lens", "least", "most"])
 
     return send
