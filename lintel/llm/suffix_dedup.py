@@ -2,7 +2,7 @@
 
 Not every suffix is sorted. In each window of SPAN bytes the PREFIX-byte string with the least hash
 is the anchor; equal windows have equal anchors at equal places, so only suffixes at anchors, with
-the few bytes before them, can show a repeat. Runs (tens of MB of text) exchange first the hashes of
+the few bytes before them that their windows cover, can show a repeat. Runs (tens of MB of text) exchange first the hashes of
 their anchors; anchors seen in one document only are dropped. The suffixes left are sorted in each
 run, equal ones folded, front-coded and exchanged by anchor; a loser tree that carries
 common-prefix lengths merges the runs, and those lengths tell which windows are equal.
@@ -33,20 +33,17 @@ BEFORE = SPAN - PREFIX
 class TextRun(Run):
     """A run whose anchors can be found."""
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all anchors in the run, ascending, and the 48-bit hashes of their prefixes."""
-        places, hashes = [], []
-        for a, b in self.parts():
-            at, h = anchors(self.raw[self.offs[a] : self.offs[b]], self.offs[a : b + 1] - self.offs[a])
-            places.append(at + self.offs[a])
-            hashes.append(h)
-        return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    def anchors(self) -> tuple[np.ndarray, ...]:
+        """Places of all anchors in the run, ascending, the 48-bit hashes of their prefixes, and the bytes before and from each that its windows cover."""
+        found = [(at + self.offs[a], *rest) for a, b in self.parts() for at, *rest in [anchors(self.raw[self.offs[a] : self.offs[b]], self.offs[a : b + 1] - self.offs[a])]]
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else anchors(self.raw, self.offs)
 
 
-def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all windows that lie in one document, and 48-bit hashes of the PREFIX bytes there."""
+def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of the anchors of all windows that lie in one document, 48-bit hashes of the PREFIX bytes
+    there, and how far the windows of each anchor reach: bytes before it, and bytes from it on."""
     if len(raw) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * up[:-1], out=sums[1:])
@@ -62,9 +59,12 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = np.minimum(m[:-rest], m[rest:])
     starts = np.arange(len(m))
     inside = starts + SPAN <= np.repeat(offs[1:], np.diff(offs))[: len(m)]
-    at = (m[inside] & low).astype(np.int64)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
-    return at, mix(h[at] + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)  # least hashes are small; spread them again
+    at, windows = (m[inside] & low).astype(np.int64), starts[inside]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    at = at[first]
+    reach = (at - windows[first]).astype(np.uint8), (windows[last] + SPAN - at).astype(np.uint8)
+    return at, mix(h[at] + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), *reach  # least hashes are small; spread them again
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -78,7 +78,7 @@ def _offers(buckets: int):
         for batch in batches:
             for run, ids, sizes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 r = TextRun(ids, sizes, text)
-                at, h = r.anchors()
+                at, h, _, _ = r.anchors()
                 doc = r.ids[r.docs(at)]
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
@@ -111,16 +111,15 @@ class Suffixes:
     """The distinct suffixes of a run at surviving anchors, in order of (bucket, right bytes, left bytes)."""
 
     def __init__(self, r: TextRun, kept: list[bytes], buckets: int):
-        at, h = r.anchors()
+        at, h, before, onward = r.anchors()
         good = np.sort(np.concatenate([unpress_sorted(b) for b in kept])) if kept else np.zeros(0, np.uint64)
         if len(good):
             i = np.minimum(np.searchsorted(good, h), len(good) - 1)
-            at, h = at[good[i] == h], h[good[i] == h]
+            stay = good[i] == h
         else:
-            at, h = at[:0], h[:0]
+            stay = np.zeros(len(h), bool)
+        at, h, self.left_len, self.right_len = at[stay], h[stay], before[stay], onward[stay]
         doc = r.docs(at)
-        self.right_len = np.minimum(r.offs[doc + 1] - at, SPAN).astype(np.uint8)
-        self.left_len = np.minimum(at - r.offs[doc], BEFORE).astype(np.uint8)
         bucket = np.searchsorted(_edges(buckets), h, side="right")
         padded = np.concatenate((np.zeros(BEFORE, np.uint8), r.raw, np.zeros(SPAN, np.uint8)))
         key = np.empty((len(at), SPAN + BEFORE + 2), np.uint8)
@@ -179,8 +178,8 @@ def _sorted_runs(buckets: int):
                     part = slice(cuts[b], cuts[b + 1])
                     lcp, rest = front_code(s.key[part, :SPAN])
                     left_lcp, left = front_code(s.key[part, SPAN : SPAN + BEFORE])
-                    out.append((int(b), row.run, int(cuts[b]), press(lcp), zstandard.compress(rest, 3), press(left_lcp), zstandard.compress(left, 3), press(np.ascontiguousarray(s.key[part, -2:])), press(s.least[part]), press(s.most[part])))
-                yield pd.DataFrame(out, columns=["bucket", "run", "base", "lcp", "rest", "left_lcp", "left", "lens", "least", "most"])
+                    out.append((int(b), row.run, int(cuts[b]), press(lcp), zstandard.compress(rest, 3), press(left_lcp), zstandard.compress(left, 3), press(np.ascontiguousarray(s.key[part, -2:])), press(s.least[part]), press(s.most[part] - s.least[part])))
+                yield pd.DataFrame(out, columns=["bucket", "run", "base", "lcp", "rest", "left_lcp", "left", "lens", "least", "more"])
 
     return send
 
@@ -268,7 +267,8 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
         right = front_decode(lcp, zstandard.decompress(row.rest), SPAN)
         left = front_decode(unpress(row.left_lcp, np.uint8), zstandard.decompress(row.left), BEFORE)
         lens = unpress(row.lens, "V2").view(np.uint8).reshape(-1, 2)
-        pieces.append((left, lens, unpress(row.least, np.int64), unpress(row.most, np.int64)))
+        least = unpress(row.least, np.int64)
+        pieces.append((left, lens, least, least + unpress(row.more, np.int64)))
         flat = right.tobytes()
         lists.append(([int.from_bytes(flat[i : i + SPAN]) for i in range(0, len(flat), SPAN)], lcp.tolist()))
     run, at, lcp = merge(lists)
@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     kept = offers.groupBy("bucket").applyInPandas(_survivors, "run long, kept binary")
     kept = cut(kept.groupBy("run").agg(F.collect_list("kept").alias("kept")))  # of one run: no more than its own anchors
     # the lists of collected blobs come in any order; they are sorted where they are read
-    sent = runs.join(kept, "run").mapInPandas(_sorted_runs(buckets), "bucket long, run long, base long, lcp binary, rest binary, left_lcp binary, left binary, lens binary, least binary, most binary")
+    sent = runs.join(kept, "run").mapInPandas(_sorted_runs(buckets), "bucket long, run long, base long, lcp binary, rest binary, left_lcp binary, left binary, lens binary, least binary, more binary")
     verdicts = sent.groupBy("bucket").applyInPandas(_judge, "run long, entry binary, reach binary, least binary")
     verdicts = cut(verdicts.groupBy("run").agg(F.collect_list(F.struct("entry", "reach", "least")).alias("verdicts")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
