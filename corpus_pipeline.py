@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays, once; texts without words are no duplicates."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, 5, 80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

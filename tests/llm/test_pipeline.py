@@ -75,3 +75,15 @@ def test_packing_holds_every_row(stages):
     assert sum(r.start == 0 for r in after) == len(before)
     total = sum(r.length for r in after)
     assert max(r.sequence_id for r in after) == (total - 1) // packing.LENGTH
+
+
+def test_near_copies_at_five_words_and_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    edited = [w if i % 100 != 50 else "new" for i, w in enumerate(words[:110])]
+    texts = [words, words + [f"x{i}" for i in range(40)], words + [f"y{i}" for i in range(80)], edited[:100], words[:100]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    sets = [cases.shingles(r[1], 5) for r in rows]
+    near = {(i, j) for i in range(5) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near == {(1, 0), (4, 3)} and all(100 * len(a & b) < 85 * len(a | b) for a, b in [(cases.shingles(rows[1][1]), cases.shingles(rows[0][1]))])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 2, 3]
