@@ -229,6 +229,31 @@ def test_field_adds_repeated_mentions():
     assert pii_crf.masked(texts[0], base) == "call [phone] now and (888) 555-1000 later"
 
 
+@pytest.mark.parametrize(
+    "first,later",
+    [
+        ("+1 (888) 555-1000", "(888) 555-1000"), ("+1 888 555 1000", "888 555 1000"), ("+1 (888) 555-1000", "8885551000"), ("+18885551000", "8885551000"),
+        ("+1 (888) 555-1000", "0018885551000"), ("+1 (888) 555-1000", "1.888.555.1000"), ("+1 (888) 555-1000", "(888) 555-1001"), ("4111 1111 1111 1111", "4111 1111 1111 1112"),
+    ],
+)
+def test_field_adds_whole_mentions(first, later):
+    plain = [f"room {i} has 4{i} chairs" for i in range(60)]
+    marked = [f"call {first} now or {first} later" for _ in range(200)]
+    model = pii_crf.fit([pii_crf.Field(t, pii_crf.base_spans(t)) for t in plain + marked])
+    text = f"call {first} now, room 3 has {later} later and 4 chairs"
+    base, every = pii_crf.find(text, model)
+    assert [text[a:b] for x, y in zip(base, every) for a, b in y if (a, b) not in x] == [later]
+    assert not any(c.isdigit() for c in pii_crf.cleaned(f"call {first} or {later}", model))
+
+
+def test_field_sees_texts_without_a_match():
+    model = pii_crf.fit([pii_crf.Field(t, pii_crf.base_spans(t)) for t in [f"room {i} has 4{i} chairs" for i in range(60)] + [f"call +1 (888) 555-{1000 + i} now" for i in range(200)]])
+    text = "call +1 (826) 555-4081 190 2000 now"
+    assert not any(pii_crf.base_spans("call (826) 555-4081 now")) and not any(pii_crf.base_spans(text))
+    assert pii_crf.find("call (826) 555-4081 now", model) == ([[], [], [], []], [[], [], [], [(5, 19)]])
+    assert pii_crf.cleaned("call (826) 555-4081 now", model) == "call [phone] now"
+
+
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1
     pos = y == 1
