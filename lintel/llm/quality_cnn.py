@@ -48,15 +48,17 @@ def lay(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def responses(net: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
-    """Filter responses (half-chunks, places, filters) after the rectifier."""
+def responses(net: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Filter responses (half-chunks, places, filters) after the rectifier. The last place of a row, padding and the row after, gives none."""
     x = net["embed"][data]
     places = (len(data) - WIDE) // HOP
     view = np.lib.stride_tricks.as_strided(x, (places, WIDE * EMBED), (HOP * x.strides[0], x.strides[1]))
     y = view @ net["filters"]
     y += net["bias"]
     np.maximum(y, 0, out=y)
-    return y.reshape(-1, HALF // HOP, FILTERS)
+    y = y.reshape(-1, HALF // HOP, FILTERS)
+    y[at[1:] - 1, -1] = 0
+    return y
 
 
 def pooled(half: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,15 +73,15 @@ def scores(net: dict[str, np.ndarray], raw: np.ndarray, offs: np.ndarray) -> np.
     if len(offs) < 2:
         return np.zeros(0)
     data, at = lay(raw, offs)
-    _, most, mean = pooled(responses(net, data).max(1), at)
-    z = np.concatenate([most, mean], 1).astype(np.float64) @ net["top"] + net["last"]
+    _, most, mean = pooled(responses(net, data, at).max(1), at)
+    z = (np.concatenate([most, mean], 1).astype(np.float64) * net["top"]).sum(1) + net["last"]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def gradients(net: dict[str, np.ndarray], raw: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy; only the place that won each maximum carries any."""
     data, at = lay(raw, offs)
-    resp = responses(net, data)
+    resp = responses(net, data, at)
     win, half = resp.argmax(1), resp.max(1)
     chunk, most, mean = pooled(half, at)
     v = np.concatenate([most, mean], 1)

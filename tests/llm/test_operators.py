@@ -298,6 +298,17 @@ def test_cnn_gradients_match_differences():
         assert grads[name][i] == pytest.approx((loss(up) - loss(down)) / 2e-4, rel=0.05)
 
 
+def test_cnn_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(3)
+    net = {k: rng.standard_normal(s).astype(np.float32) for k, s in quality_cnn.SHAPES.items()}
+    score = lambda texts: quality_cnn.scores(net, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for text in (b"", b"short", b"x" * 56, bytes(range(256)) * 2):
+        alone = score([text])[0]
+        for _ in range(20):
+            beside = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (70, 9)]
+            assert score([beside[0], text, beside[1]])[1] == pytest.approx(alone, rel=1e-5)
+
+
 def test_offending_sentence_is_located(spark):
     rng = np.random.default_rng(4)
     plain = lambda n: ". ".join(" ".join(rng.choice(["rain", "sun", "wind", "tree", "road"], 6)) for _ in range(n)) + "."
