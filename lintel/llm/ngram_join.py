@@ -260,15 +260,9 @@ def cluster_links(sets: DataFrame, percent: int = PERCENT, tile: int = TILE) ->
     return links.union(last)
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id and text_crc32 of every row of docs (doc_id, text).
-
-    Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles;
-    component_id is the smallest doc_id reachable by links. Null, empty and blank texts have no
-    shingles, link with nothing and keep their own doc_id. Equal sets are one set throughout, so
-    copies are never paired. Rows without doc_id take the component of their set. Very long texts
-    are sets like any other; extra columns are ignored; empty tables stay empty.
-    """
+def _labelled(docs: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
+    """near_duplicates() with first: whether a row is the one of its component with the least (doc_id, text_crc32), null ids last; rows without words are on their own."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_crc32")
     runs = cut(gather(docs))
     buckets = max(1, runs.count())
     offers = runs.mapInArrow(_offers(buckets, k), "bucket long, run long, hashes binary, counts binary")
@@ -283,22 +277,35 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, til
     held = found.where("kind = 3").select("b", "n", "shingles").dropDuplicates(["b"])
     sets = held.join(clusters.withColumnRenamed("node", "b"), "b")
     label = components(cluster_links(sets, percent, tile)).withColumnsRenamed({"node": "name"})
-    names = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least")).join(label, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    best = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = names.select("name", "root").join(best, "root").select("name", "component_id")
-    alone = rows.where("name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_crc32")
-    return rows.where("name IS NOT NULL").join(final, "name").select("doc_id", "n_shingles", "component_id", "text_crc32").union(alone)
+    names = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"), F.min(rank).alias("lead")).join(label, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    best = names.groupBy("root").agg(F.min("least").alias("component_id"), F.min("lead").alias("lead"))
+    final = names.select("name", "root").join(best, "root").select("name", "component_id", "lead")
+    alone = rows.where("name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_crc32", F.lit(True).alias("first"))
+    return rows.where("name IS NOT NULL").join(final, "name").select("doc_id", "n_shingles", "component_id", "text_crc32", rank.eqNullSafe(F.col("lead")).alias("first")).union(alone)
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id and text_crc32 of every row of docs (doc_id, text).
+
+    Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles;
+    component_id is the smallest doc_id reachable by links. Null, empty and blank texts have no
+    shingles, link with nothing and keep their own doc_id. Equal sets are one set throughout, so
+    copies are never paired. Rows without doc_id take the component of their set. Very long texts
+    are sets like any other; extra columns are ignored; empty tables stay empty.
+    """
+    return _labelled(docs, k, percent, tile).drop("first")
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is that of their component, each once.
+    """One row of each component of docs, that of least doc_id and, among those, least crc32 of the text.
 
     Rows are told by doc_id and text, so rows of one doc_id with different texts are judged apart
-    and wholly repeated rows count once. A row without doc_id stays if no row with one is like it.
+    and wholly repeated rows count once. A row without doc_id comes after all with one. Texts
+    without words are no duplicates: each different one of a doc_id stays.
     """
-    named = near_duplicates(docs, k, percent)
+    named = _labelled(docs, k, percent, TILE)
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text_crc32").alias("_crc")]
-    rows = cut(named.groupBy(*key).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_kept"), (F.count("*") > 1).alias("_again")).where("_again OR NOT _kept"))
+    rows = cut(named.groupBy(*key).agg(F.max("first").alias("_kept"), (F.count("*") > 1).alias("_again")).where("_again OR NOT _kept"))
     marked = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
     gone = rows.where("NOT _kept").select("_id", "_crc")
     again = rows.where("_kept AND _again").select("_id", "_crc")

@@ -51,6 +51,16 @@ def test_ngram_join_on_a_chain_and_on_copies(spark):
     assert sorted(map(tuple, got.collect())) == cases.near_duplicates(chain)
 
 
+def test_keep_one_where_a_doc_id_repeats(spark):
+    words = [f"w{i}" for i in range(200)]
+    near, far = " ".join(words[:-3]), " ".join(f"x{i}" for i in range(50))
+    rows = [(1, " ".join(words)), (1, near), (1, far), (1, far), (2, near), (1, ""), (1, " "), (None, far[:-3]), (None, "only here " * 3), (None, "Only here " * 3)]
+    got = [tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    first = min(" ".join(words), near, key=lambda t: zlib.crc32(t.encode()))
+    odd = min("only here " * 3, "Only here " * 3, key=lambda t: zlib.crc32(t.encode()))
+    assert sorted(got, key=str) == sorted([(1, first), (1, far), (1, ""), (1, " "), (None, odd)], key=str)
+
+
 def test_tile_bound_never_loses_a_link():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (1, 2, 30, 100)]
