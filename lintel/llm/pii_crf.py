@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import slices, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose spans train the potentials, about; they are the ones with the least hash of doc_id.
+#: Documents whose spans train the potentials, about; they are the ones with the least hash of doc_id and text.
 SAMPLE = 4000
 #: Training passes and step; rounds and damping of message passing; probability from which a token is taken.
 PASSES, STEP, ROUNDS, DAMP, SURE = 200, 0.5, 8, 0.5, 0.8
@@ -349,11 +349,17 @@ def added_spans(text: str, spans: list[list[tuple[int, int]]], model) -> list[li
 # ---------------------------------------------------------------- Spark
 
 
+def training(docs: DataFrame, share: float) -> DataFrame:
+    """doc_id and text of about that share of the documents that have marked tokens, told by doc_id and text; repeated rows count once."""
+    scale = 1 << 30
+    marked = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(9)).alias("h"))
+    return marked.where(F.pmod("h", F.lit(scale)) < F.lit(int(scale * share))).dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
+
+
 def train(docs: DataFrame, most: int = SAMPLE):
     """Potentials fitted in one task on about ``most`` documents."""
     n = docs.count()
-    scale = 1 << 30
-    part = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(scale)) < F.lit(int(scale * min(1.0, most / max(1, n))))) & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    part = training(docs, min(1.0, most / max(1, n)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])

@@ -101,11 +101,23 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
     return weights
 
 
+def marked(labels: DataFrame, label: str, usable: Column) -> DataFrame:
+    """doc_id, y and h, a hash of doc_id, of the labels that may be learned from; null labels take no part."""
+    return labels.where(F.col(label).isin(0, 1) & usable).select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
-    """text (bytes) and y of at most ``most`` labelled rows of each label, those with the least hash of doc_id; null labels take no part."""
-    marked = labels.where(F.col(label).isin(0, 1) & usable).select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
-    picked = marked.where("y = 1").orderBy("h", "doc_id").limit(most).union(marked.where("y = 0").orderBy("h", "doc_id").limit(most))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    """doc_id, text (bytes) and y of at most ``most`` labelled documents of each label, those with the least hashes of doc_id and of text.
+
+    A document is told by doc_id and text, so one doc_id on many rows does not pass the bound.
+    """
+    known = marked(labels, label, usable)
+    least = lambda df, y, *by: df.where(f"y = {y}").orderBy(*by).limit(most)
+    ids = least(known, 1, "h", "doc_id").union(least(known, 0, "h", "doc_id")).distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("t", F.xxhash64("text"))
+    found = texts.drop("text").join(F.broadcast(ids), "doc_id").distinct()
+    picked = least(found, 1, "h", "t", "doc_id").union(least(found, 0, "h", "t", "doc_id")).drop("h")
+    return texts.join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "y"]).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> bytes:

@@ -319,6 +319,17 @@ def test_cnn_scores_do_not_depend_on_neighbours():
             assert score([beside[0], text, beside[1]])[1] == pytest.approx(alone, rel=1e-5)
 
 
+def test_samples_are_bounded_where_a_doc_id_is_hot(spark):
+    rows = [(7, f"text {i % 300}") for i in range(600)] + [(100 + i, f"other {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(d, int(d == 7)) for d in sorted({d for d, _ in rows})], "doc_id long, toxic int")
+    got = toxicity_mil.sample(docs, labels, "toxic", F.lit(True), 50).collect()
+    assert Counter(r.y for r in got) == {1: 50, 0: 50} and len({(r.doc_id, bytes(r.text)) for r in got}) == 100
+    same = spark.createDataFrame([(None, "call 5")] * 900 + [(3, f"call {i}") for i in range(900)], "doc_id long, text string")
+    assert pii_crf.training(same, 1.0).count() == 901
+    assert 20 < pii_crf.training(same, 0.1).count() < 200
+
+
 def test_offending_sentence_is_located(spark):
     rng = np.random.default_rng(4)
     plain = lambda n: ". ".join(" ".join(rng.choice(["rain", "sun", "wind", "tree", "road"], 6)) for _ in range(n)) + "."
