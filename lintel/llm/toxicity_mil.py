@@ -62,11 +62,22 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+def document_counts(raw: np.ndarray, offs: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the CELLS words: the toxic documents that hold it, and the others."""
+    n = len(toxic)
+    cells, first, rows, _, _ = sentence_words(raw, offs)
+    of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cells))))
+    seen = np.unique(cells * n + rows[of_word]) if len(first) else cells
+    bad = toxic[seen % n] == 1
+    return tuple(np.bincount(seen[m] // n, minlength=CELLS) for m in (bad, ~bad))
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, counts: tuple | None = None) -> np.ndarray:
     """Weights of the CELLS words and, last, the bias.
 
-    Words that toxic documents hold clearly more often than their share (by SURE standard errors, in
-    LEAST_DOCS documents at least) start at their log-odds, all others stay at 0; then gradient steps
+    counts: document_counts() and the numbers of toxic and other documents they are of; those of texts
+    if None. Words that toxic documents hold clearly more often than their share (by SURE standard
+    errors, in LEAST_DOCS documents at least) start at their log-odds, all others stay at 0; then gradient steps
     on the likelihood of the labels under the noisy-or, with LEAK as the chance of a label without
     any offending sentence.
     """
@@ -79,13 +90,12 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
     if not len(first):
         return weights
     of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cells))))
-    seen = np.unique(cells * len(texts) + rows[of_word])
-    bad = toxic[seen % len(texts)] == 1
-    with_, without = (np.bincount(seen[m] // len(texts), minlength=CELLS).astype(float) for m in (bad, ~bad))
-    share, n = toxic.mean(), len(texts)
+    n = len(texts)
+    with_, without, n_toxic, n_other = counts or (*document_counts(raw, offs, toxic), (toxic == 1).sum(), (toxic != 1).sum())
+    share = n_toxic / (n_toxic + n_other)
     expected = (with_ + without) * share
     use = (with_ - expected > SURE * np.sqrt(expected * (1 - share) + 1e-9)) & (with_ + without >= LEAST_DOCS)
-    w = np.where(use, np.log((with_ + 0.5) / (n * share + 1)) - np.log((without + 0.5) / (n * (1 - share) + 1)), 0.0)
+    w = np.where(use, np.log((with_ + 0.5) / (n_toxic + 1)) - np.log((without + 0.5) / (n_other + 1)), 0.0)
     bias, squares, bias_squares = BIAS, np.full(CELLS, 0.01), 0.01
     for _ in range(PASSES):
         z = bias + np.add.reduceat(w[cells], first)
@@ -120,12 +130,35 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most:
     return texts.join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "y"]).select("doc_id", "text", "y")
 
 
+def _counter(batches):
+    for batch in slices(batches, "text"):
+        toxic = batch.column(1).to_numpy()
+        bad, good = document_counts(*text_bytes(batch.column(0)), toxic)
+        cells = np.flatnonzero(bad + good)
+        columns = (np.append(cells, -1), np.append(bad[cells], (toxic == 1).sum()), np.append(good[cells], (toxic != 1).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cell", "bad", "good"])
+
+
+def corpus_counts(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple | None:
+    """What fit() takes as counts, over all documents with a usable label; at most CELLS rows come to the driver."""
+    known = marked(labels, "toxic", usable).select("doc_id", "y").distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(known, "doc_id").select("text", "y")
+    rows = texts.mapInArrow(_counter, "cell long, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rows = rows.where(f"cell < 0 OR (bad > 0 AND bad + good >= {LEAST_DOCS})").toPandas()
+    words, every = rows[rows["cell"] >= 0], rows[rows["cell"] < 0]
+    if not len(every):
+        return None
+    both = [np.bincount(words["cell"], words[c], CELLS) for c in ("bad", "good")]
+    return (*both, int(every["bad"].iloc[0]), int(every["good"].iloc[0]))
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> bytes:
-    """The weights as 32-bit floats, fitted in one task on the bounded sample."""
+    """The weights as 32-bit floats, fitted in one task on the bounded sample; which words learn is told by all labelled documents."""
+    counts = corpus_counts(docs, labels, usable)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"weights": [fit(list(pdf["text"]), pdf["y"].to_numpy()).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"weights": [fit(list(pdf["text"]), pdf["y"].to_numpy(), counts).astype(np.float32).tobytes()]})
 
     row = sample(docs, labels, "toxic", usable, most).groupBy().applyInPandas(run, "weights binary").first()
     return bytes(row["weights"]) if row else fit([], np.zeros(0)).astype(np.float32).tobytes()

@@ -319,6 +319,20 @@ def test_cnn_scores_do_not_depend_on_neighbours():
             assert score([beside[0], text, beside[1]])[1] == pytest.approx(alone, rel=1e-5)
 
 
+def test_words_are_counted_beyond_the_sample(spark):
+    plain = "rain and sun. wind in tree. "
+    rows = [(i, plain + ("You old zog. " if i % 50 == 0 else "You vile grunk. ") + plain if i % 2 == 0 else plain * 3, int(i % 2 == 0)) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    texts = dict(r[:2] for r in rows)
+    got = [r for r in toxicity_mil.toxicity(docs, labels, F.lit(True), 40).collect() if r.doc_id % 50 == 0]
+    assert len(got) == 40 and all("zog" in texts[r.doc_id][r.worst_start : r.worst_end] for r in got)
+    # without 'zog' and 'old' known beyond the sample, 'you' alone would point there
+    weights = np.frombuffer(toxicity_mil.train(docs, labels, F.lit(True), 40), np.float32)
+    cell = toxicity_mil.sentence_words(np.frombuffer(b"zog", np.uint8), np.array([0, 3]))[0][0]
+    assert weights[cell] > 1
+
+
 def test_samples_are_bounded_where_a_doc_id_is_hot(spark):
     rows = [(7, f"text {i % 300}") for i in range(600)] + [(100 + i, f"other {i}") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
