@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from lintel.llm import hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
+from lintel.llm import bpe_lexicon, hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
 from lintel.llm import sql
 from lintel.llm.common import read
 
@@ -79,3 +80,10 @@ def op9_toxicity_mil(spark, sf_dir):
 @query
 def op10_hnsw(spark, sf_dir):
     return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op13_bpe_lexicon(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe_lexicon.decode(bpe_lexicon.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
