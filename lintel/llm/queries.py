@@ -5,12 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe_lexicon, hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
+from lintel.llm import bpe_lexicon, collocations, hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
 from lintel.llm import sql
 from lintel.llm.common import read
 
 QUERIES = {}
-SQL = {"op1_ngram_jaccard": sql.NEAR_DUPLICATES, "op2_quality_rules": sql.QUALITY_RULES, "op3_mix_sources": sql.MIX_SOURCES, "op5_suffix_dedup": sql.SUFFIX_DEDUP}
+SQL = {"op1_ngram_jaccard": sql.NEAR_DUPLICATES, "op2_quality_rules": sql.QUALITY_RULES, "op3_mix_sources": sql.MIX_SOURCES, "op5_suffix_dedup": sql.SUFFIX_DEDUP, "op11_era_collocations": sql.COLLOCATIONS}
 
 
 def query(fn):
@@ -82,6 +82,11 @@ def op10_hnsw(spark, sf_dir):
     return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
 
 
+@query
+def op11_era_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_bpe_lexicon(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintel.llm import mixing, quality_rules
+from lintel.llm import collocations, mixing, quality_rules
 
 SPACE = r"'[\x20\x09-\x0D]+'"
 WORDS = f"list_filter(string_split_regex(coalesce(text, ''), {SPACE}), lambda x: x <> '')"
@@ -58,3 +58,17 @@ SUFFIX_DEDUP = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h
   x AS (SELECT doc_id, count(*) AS spans, sum(hi - lo) AS gone, max(hi) AS last, string_agg(substring(h, 2 * upto + 1, 2 * (lo - upto)), '' ORDER BY lo) AS head FROM q JOIN b USING (doc_id) GROUP BY doc_id)
   SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
    sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN x USING (doc_id)"""
+
+_PIECES = f"string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')"
+COLLOCATIONS = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
+  w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+  z AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY 1),
+  g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, {collocations.DEPTH + 1})) AS m))),
+  f AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= {collocations.LEAST}),
+  x AS (SELECT lang, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2),
+  inner_ AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, f, unnest([array_to_string(ws[1:len(ws) - 1], ' '), array_to_string(ws[2:len(ws)], ' ')]) AS phrase FROM x WHERE len(ws) >= 3) s JOIN x USING (lang, phrase) WHERE s.f >= x.f),
+  c AS (SELECT lang, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:len(ws)], ' ') AS rp FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM x ANTI JOIN inner_ USING (lang, phrase))),
+  s AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp JOIN z ON z.lang = c.lang),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+  SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t WHERE rank <= {collocations.TOP}"""
