@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe_lexicon, collocations, hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, sharding, suffix_dedup, toxicity_mil
+from lintel.llm import bpe_lexicon, collocations, hnsw, mixing, ngram_join, packing, pii_crf, quality_cnn, quality_rules, repair, sharding, suffix_dedup, toxicity_mil
 from lintel.llm import sql
 from lintel.llm.common import read
 
@@ -87,6 +87,12 @@ def op11_era_collocations(spark, sf_dir):
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_repair(spark, sf_dir):
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(conversations), conversations)
+
+
 @query
 def op13_bpe_lexicon(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
