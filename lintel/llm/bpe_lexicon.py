@@ -29,12 +29,46 @@ from lintel.llm.common import slices, span_hashes, text_bytes
 LEXICON, LONGEST = 1 << 16, 48
 #: Bytes of text handled at once; a longer document is taken in parts.
 PART = 1 << 20
-#: Different words a task counts before it hands them on, and unseen words a worker remembers.
-COUNTED, REMEMBERED = 1 << 18, 1 << 17
+#: Different words a task counts before it hands them on.
+COUNTED = 1 << 17
+
+#: Rank of a pair that is never merged.
+NEVER = 1 << 30
 
 LETTER, NUMBER, BLANK, OTHER, SPECIAL, UNKNOWN = 0, 1, 2, 3, 4, 255
 
 
+# ---------------------------------------------------------------- open hash tables
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hash_table(key: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bits of the place, the table of keys (-1: free) and the place of each key; keys are different and not negative."""
+    bits = max(4, (2 * len(key) + 1).bit_length())
+    keys, slot, left = np.full(1 << bits, -1, np.int64), _slots(key, bits), np.arange(len(key))
+    while len(left):
+        free = left[keys[slot[left]] < 0]
+        keys[slot[free]] = key[free]  # of several for one place the last stays
+        left = left[keys[slot[left]] != key[left]]
+        slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+    return bits, keys, slot
+
+
+def probe(keys: np.ndarray, bits: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key, and whether it is there."""
+    slot = _slots(key, bits)
+    have = keys[slot]
+    while (off := np.flatnonzero((have != key) & (have >= 0))).size:
+        slot[off] = (slot[off] + 1) & ((1 << bits) - 1)
+        have[off] = keys[slot[off]]
+    return slot, have == key
+
+
 # ---------------------------------------------------------------- vocabulary
 
 
@@ -67,6 +101,11 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[ids[a], ids[b]] = (rank, ids[a + b])
+        pairs = np.array([a << 32 | b for a, b in self.ranks], np.int64)
+        self.bits, self.pairs, slot = hash_table(pairs)
+        self.pair_rank, self.pair_id = np.full((2, len(self.pairs)), NEVER, np.int64)
+        if len(pairs):
+            self.pair_rank[slot], self.pair_id[slot] = np.array(list(self.ranks.values()), np.int64).T
         self.finder = regex.compile(b"|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -90,6 +129,41 @@ class Vocabulary:
                 heapq.heappush(heap, (*r, before[i], ids[before[i]], new))
         return tuple(t for t in ids if t >= 0)
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and token of the merge of each pair; NEVER where there is none."""
+        slot, have = probe(self.pairs, self.bits, left << 32 | right)
+        return np.where(have, self.pair_rank[slot], NEVER), self.pair_id[slot]
+
+    def merge_many(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many short words at once: their ids one after the other, and how many each has.
+
+        In each round every word merges its pair of least rank, of equal ones the first; words without one are done.
+        """
+        sym, own = np.array(self.byte_id, np.int64)[raw], np.repeat(np.arange(len(lengths)), lengths)
+        done = []
+        rank = self._ranks(sym, own, np.arange(len(sym)))
+        while len(sym):
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), first)
+            open_ = best >> 32 < NEVER
+            at = best[open_] & 0xFFFFFFFF
+            sym[at] = self.rank_of(sym[at], sym[np.minimum(at + 1, len(sym) - 1)])[1]
+            stays = np.ones(len(sym), bool)
+            stays[at + 1] = False
+            live = np.repeat(open_, np.diff(np.append(first, len(sym))))
+            done.append((sym[~live], own[~live]))
+            keep = stays & live
+            at = (np.cumsum(keep) - 1)[at]
+            sym, own, rank = sym[keep], own[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                rank[i] = self._ranks(sym, own, i)
+        ids, of = (np.concatenate(c) for c in zip(*done, strict=True)) if done else (sym, own)
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(lengths))
+
+    def _ranks(self, sym: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        after = np.minimum(at + 1, max(len(sym) - 1, 0))
+        return np.where((own[at] == own[after]) & (after > at), self.rank_of(sym[at], sym[after])[0], NEVER)
+
 
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
@@ -256,9 +330,6 @@ def minimal_transducer(pairs) -> list[_State]:
     return states
 
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
-
 def compile_lexicon(words: list[bytes], vocab: Vocabulary) -> bytes:
     """The transducer of the words as one file: a header of five lengths, then arrays.
 
@@ -268,28 +339,16 @@ def compile_lexicon(words: list[bytes], vocab: Vocabulary) -> bytes:
     outs: dict[tuple, int] = {(): 0}
     arcs = [(s.number << 8 | b, t.number, outs.setdefault(o, len(outs))) for s in states for b, o, t in s.arcs]
     tails = [outs.setdefault(s.tail, len(outs)) if s.final else -1 for s in states]
-    bits = max(4, (2 * len(arcs) + 1).bit_length())
-    keys, place = np.full(1 << bits, -1, np.int64), np.zeros((2, 1 << bits), np.int32)
-    if arcs:
-        key, target, ref = (np.array(c, np.int64) for c in zip(*arcs, strict=True))
-        slot, left = _slots(key, bits), np.arange(len(key))
-        while len(left):
-            free = left[keys[slot[left]] < 0]
-            keys[slot[free]] = key[free]  # of several for one place the last stays
-            held = keys[slot[left]] == key[left]
-            place[0, slot[left[held]]], place[1, slot[left[held]]] = target[left[held]], ref[left[held]]
-            left = left[~held]
-            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+    key, target, ref = np.array(arcs, np.int64).reshape(-1, 3).T
+    bits, keys, slot = hash_table(key)
+    place = np.zeros((2, 1 << bits), np.int32)
+    place[:, slot] = target, ref
     flat = np.array([t for o in outs for t in o], np.int32)
     cuts = np.cumsum([0, *map(len, outs)]).astype(np.int64)
     head = np.array([bits, len(states), len(outs), len(flat), states[-1].number], np.int64)
     return b"".join(a.tobytes() for a in (head, keys, cuts, place, np.array(tails, np.int32), flat))
 
 
-def _slots(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 class Lexicon:
     """A compiled transducer, memory-mapped. The memory file has no name, so nothing is left behind on a machine."""
 
@@ -317,17 +376,10 @@ class Lexicon:
 
     def walk(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, emits: np.ndarray) -> np.ndarray:
         """Writes into ``emits`` the number of the output at 2 x its byte (2 x end - 1 for that of a last state); returns the words not accepted."""
-        mask = (1 << self.bits) - 1
         word, state, at = np.arange(len(starts)), np.full(len(starts), self.start, np.int64), starts.copy()
         lost = []
         while len(word):
-            key = state << 8 | raw[at]
-            slot = _slots(key, self.bits)
-            have = self.keys[slot]
-            while (off := np.flatnonzero((have != key) & (have >= 0))).size:
-                slot[off] = (slot[off] + 1) & mask
-                have[off] = self.keys[slot[off]]
-            ok = have == key
+            slot, ok = probe(self.keys, self.bits, state << 8 | raw[at])
             lost.append(word[~ok])
             word, at, slot = word[ok], at[ok], slot[ok]
             state = self.target[slot].astype(np.int64)
@@ -352,17 +404,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, blob: bytes, path: str):
-        self.vocab, self.lexicon, self.known = vocabulary(path), Lexicon(blob), {}
-
-    def unseen(self, word: bytes) -> tuple[int, ...]:
-        out = self.known.get(word)
-        if out is None:
-            out = self.vocab.merge(word)
-            if len(word) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = out
-        return out
+        self.vocab, self.lexicon = vocabulary(path), Lexicon(blob)
 
     def part(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all rows and n + 1 offsets of rows into them."""
@@ -374,15 +416,18 @@ class Encoder:
         if found:
             lost = np.union1d(lost, np.searchsorted(starts, [a for a, _ in found]))
         emits[ragged(2 * starts[lost], 2 * (ends - starts)[lost])] = 0
-        special, text = dict(found), raw.tobytes()
-        own, more = len(self.lexicon.cuts) - 1, []
-        for a, b in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True):
-            emits[2 * b - 1] = own + len(more)
-            more.append((self.vocab.special[special[a]],) if a in special else self.unseen(text[a:b]))
+        own, special = len(self.lexicon.cuts) - 1, dict(found)
+        length = (ends - starts)[lost]
+        alone = (length > LONGEST) | np.isin(starts[lost], list(special))
+        few, many = lost[alone], lost[~alone]
+        ids, n = self.vocab.merge_many(raw[ragged(starts[many], length[~alone])], length[~alone])
+        more = [(self.vocab.special[special[a]],) if a in special else self.vocab.merge(raw[a:b].tobytes()) for a, b in zip(starts[few].tolist(), ends[few].tolist(), strict=True)]
+        emits[2 * ends[np.concatenate((many, few))] - 1] = own + np.arange(len(lost))
+        n = np.concatenate((n, np.array([len(m) for m in more], np.int64)))
         at = np.flatnonzero(emits)
         ref = emits[at]
-        cuts = np.concatenate((self.lexicon.cuts, self.lexicon.cuts[-1] + np.cumsum([len(m) for m in more], dtype=np.int64)))
-        flat = np.concatenate((self.lexicon.flat, np.fromiter((t for m in more for t in m), np.int32)))
+        cuts = np.concatenate((self.lexicon.cuts, self.lexicon.cuts[-1] + np.cumsum(n)))
+        flat = np.concatenate((self.lexicon.flat, ids, np.array([t for m in more for t in m], np.int64)))
         length = cuts[ref + 1] - cuts[ref]
         upto = np.concatenate(([0], np.cumsum(length)))
         return flat[ragged(cuts[ref], length)].astype(np.uint32), upto[np.searchsorted(at, 2 * offs)]
@@ -502,3 +547,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     rows = encoded.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids"))
     return rows.mapInArrow(_decoder(path), "doc_id long, n_tokens long, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
+    """decode(encode(docs)) in one worker a task: doc_id, n_tokens, ids, text."""
+    blob = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, most))
+    there, back = _encoder(blob, path), _decoder(path)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda batches: back(there(batches)), "doc_id long, n_tokens long, ids binary, text string")

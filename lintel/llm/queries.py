@@ -95,6 +95,5 @@ def op12_repair(spark, sf_dir):
 
 @query
 def op13_bpe_lexicon(spark, sf_dir):
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe_lexicon.decode(bpe_lexicon.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    out = bpe_lexicon.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

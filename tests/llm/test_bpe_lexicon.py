@@ -98,6 +98,8 @@ def test_merging_takes_the_least_rank_first():
             _, i = min(pairs)
             ids[i : i + 2] = [vocab.ranks[ids[i], ids[i + 1]][1]]
         assert vocab.merge(word) == tuple(ids)
+        flat, n = vocab.merge_many(np.frombuffer(word * 2 + b"the", np.uint8), np.array([len(word), 0, len(word), 3])[[0, 2, 3]])
+        assert flat.tolist() == ids * 2 + [vocab.merge(b"the")[0]] and n.tolist() == [len(ids), len(ids), 1]
 
 
 def test_encode_and_decode_tables(spark, library, monkeypatch):
@@ -108,6 +110,7 @@ def test_encode_and_decode_tables(spark, library, monkeypatch):
     for most in (0, 50, bpe.LEXICON):
         got = digests(bpe.decode(bpe.encode(docs, PATH, most), PATH)).collect()
         assert sorted(map(tuple, got), key=key) == want
+    assert sorted(map(tuple, digests(bpe.round_trip(docs, PATH, 50)).collect()), key=key) == want
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0
 
 
