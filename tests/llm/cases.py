@@ -38,8 +38,8 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def near_duplicates(rows):
-    sets = [(d, shingles(t)) for d, t in rows]
+def near_duplicates(rows, k=4, percent=85):
+    sets = [(d, shingles(t, k)) for d, t in rows]
     root = list(range(len(sets)))
 
     def find(i):
@@ -49,7 +49,7 @@ def near_duplicates(rows):
 
     for i, (_, a) in enumerate(sets):
         for j, (_, b) in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least = defaultdict(lambda: 1 << 62)
     for i, (d, _) in enumerate(sets):

@@ -45,7 +45,7 @@ def test_one_of_each_group_stays(stages):
     for d, t in distinct:
         by_id[d].append(t)
     assert all(len(t) == 1 for d, t in by_id.items() if d != far)
-    comps = cases.near_duplicates(sorted(distinct))
+    comps = cases.near_duplicates(sorted(distinct), 5, 80)
     want = {d for d, _, c in comps if d == c and d != far}
     assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(want)
     assert sum(r.doc_id is None for r in after) == 1
