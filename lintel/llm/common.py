@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: blank and the bytes 9 to 13.
@@ -23,11 +23,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... and the new name of each, so that no helper column can clash with the input's."""
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*place.values()), place
+
+
+def back(place: dict[str, str], columns: list[str] | None = None) -> list[Column]:
+    """The columns of aside() under their own names."""
+    return [F.col(place[c]).alias(c) for c in columns or place]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+    """Reliable checkpoint in the folder the session names; on a local master, where none is set, in one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return df.checkpoint()
 
 
@@ -119,12 +133,12 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node reachable.
 
     Large-star and small-star rounds: each keeps the components and pulls nodes to the least
-    neighbour, so chains shorten by a factor in each round. A node with very many neighbours is
-    an aggregated minimum joined back, never a collected list. Raises if it has not settled.
+    neighbour, so chains shorten by a factor in each round, until nothing changes. A node with very many
+    neighbours is an aggregated minimum joined back, never a collected list.
     """
     flip = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
@@ -134,7 +148,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         large = star(edges.union(flip(edges))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         small = star(large)
@@ -144,4 +158,3 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
-    raise RuntimeError("components did not settle")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import SPACE_RE, cut
+from lintel.llm.common import SPACE_RE, aside, back, cut
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -52,11 +52,11 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, max
     rest is used up, the last of them in part, so a source's taken words are its target, rounded.
     Rows of equal doc_id, source and size share a partial repetition evenly (rounded down). A null
     source is a source; a source without words has target 0. Empty tables stay empty. Columns of
-    these four names are replaced.
+    these four names are replaced; others keep their names and values, whatever they are called.
     """
     own = ("size", "source_size", "target", "taken")
-    docs = docs.select(*[c for c in docs.columns if c not in own])
-    sized = docs.withColumn("size", F.size(word_list(F.col("text"))).cast("long"))
+    docs, place = aside(docs.select(*[c for c in docs.columns if c not in own]))
+    sized = docs.select("*", F.col(place["doc_id"]).alias("doc_id"), F.col(place["source"]).alias("source"), F.size(word_list(F.col(place["text"]))).cast("long").alias("size"))
     narrow = cut(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")))
     goal = cut(targets(narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, max_epochs))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -80,16 +80,17 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, max
     here = F.struct(F.col("l_here").alias("l_key"), none.alias("d"), F.col("size").alias("s"))
     extra = F.when(F.col("l_key").isNull(), 0).when(here < cutoff, F.col("size")).when(here == cutoff, F.col("l_part")).otherwise(0)
     taken = F.when(F.col("size") > 0, F.col("whole") * F.col("size") + extra).otherwise(F.lit(0)).cast("long")
-    return out.select(*docs.columns, "size", "source_size", "target", taken.alias("taken"))
+    return out.select(*back(place), "size", "source_size", "target", taken.alias("taken"))
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as it is taken; the last repetition holds the leading words still due, joined by a blank."""
-    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rows = mixed.where("taken > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
-    left = (F.col("taken") - (F.col("_turn") - 1) * F.col("size")).cast("int")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(word_list(F.col("text")), F.lit(1), left), " "))
-    rows = rows.withColumn("text", text)
+    rows, place = aside(mixed.where("taken > 0"))
+    size, taken, text = (F.col(place[c]) for c in ("size", "taken", "text"))
+    times = F.when(size > 0, F.ceil(taken / size)).otherwise(0).cast("int")
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), times)))
+    left = (taken - (F.col("turn") - 1) * size).cast("int")
+    rows = rows.withColumn(place["text"], F.when(left >= size, text).otherwise(F.array_join(F.slice(word_list(text), F.lit(1), left), " ")))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+        rows = rows.withColumn(place["n_chars"], F.length(place["text"]).cast("long"))
+    return rows.select(*back(place, columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import LOWER, components, cut, mix, span_hashes, window_hashes, words
+from lintel.llm.common import LOWER, aside, back, components, cut, mix, span_hashes, window_hashes, words
 from lintel.llm.runs import Run, gather, press, press_sorted, unpress, unpress_sorted
 
 WORDS, PERCENT = 4, 85
@@ -304,12 +304,13 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     without words are no duplicates: each different one of a doc_id stays.
     """
     named = _labelled(docs, k, percent, TILE)
-    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text_crc32").alias("_crc")]
-    rows = cut(named.groupBy(*key).agg(F.max("first").alias("_kept"), (F.count("*") > 1).alias("_again")).where("_again OR NOT _kept"))
-    marked = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
-    gone = rows.where("NOT _kept").select("_id", "_crc")
-    again = rows.where("_kept AND _again").select("_id", "_crc")
-    left = marked.join(gone, ["_id", "_crc"], "left_anti")
-    if again.limit(1).count():
-        left = left.join(again, ["_id", "_crc"], "left_anti").union(left.join(again, ["_id", "_crc"], "left_semi").dropDuplicates(["_id", "_crc"]))
-    return left.select(*docs.columns)
+    none = F.lit(-(2**63))
+    rows = cut(named.groupBy(F.coalesce("doc_id", none).alias("id"), F.col("text_crc32").alias("crc")).agg(F.max("first").alias("kept"), (F.count("*") > 1).alias("again")).where("again OR NOT kept"))
+    marked, place = aside(docs)
+    marked = marked.select("*", F.coalesce(place["doc_id"], none).alias("id"), F.crc32(F.coalesce(place["text"], F.lit("")).cast("binary")).alias("crc"))
+    if rows.where("kept").limit(1).count():
+        left = marked.join(rows.select("id", "crc"), ["id", "crc"], "left_anti")
+        left = left.union(marked.join(rows.where("kept").select("id", "crc"), ["id", "crc"], "left_semi").dropDuplicates(["id", "crc"]))
+    else:
+        left = marked.join(rows.select("id", "crc"), ["id", "crc"], "left_anti")
+    return left.select(*back(place))

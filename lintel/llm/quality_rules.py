@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import SPACE_RE, cut
+from lintel.llm.common import SPACE_RE, aside, back, cut
 
 #: Allowed share of good documents that all rules together may reject in a stratum, and the error of the whole procedure.
 RISK, ERROR = 0.02, 0.05
@@ -107,7 +107,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns."""
-    bad = judge(docs, labels, risk, error).where("NOT kept").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+    """The rows of docs that judge() keeps, with their columns, whatever they are called."""
+    bad = judge(docs, labels, risk, error).where("NOT kept").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    rows, place = aside(docs)
+    key = F.xxhash64(F.coalesce(place["text"], F.lit("")))
+    return rows.join(bad, F.col(place["doc_id"]).eqNullSafe(F.col("bad_id")) & (key == F.col("bad_key")), "left_anti").select(*back(place))
