@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.common import LOWER, slices, span_hashes, text_bytes
+from lintel.llm.runs import press, unpress
 
 #: Labelled documents used for training, of each label at most, the least by a hash of doc_id.
 SAMPLE = 3000
@@ -130,37 +131,65 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most:
     return texts.join(F.broadcast(picked), ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "y"]).select("doc_id", "text", "y")
 
 
-def _counter(batches):
+def _word_sets(batches):
+    """Of each document its different words' cells, ascending and compressed: an eighth of its text or so."""
     for batch in slices(batches, "text"):
-        toxic = batch.column(1).to_numpy()
-        bad, good = document_counts(*text_bytes(batch.column(0)), toxic)
-        cells = np.flatnonzero(bad + good)
-        columns = (np.append(cells, -1), np.append(bad[cells], (toxic == 1).sum()), np.append(good[cells], (toxic != 1).sum()))
+        cells, first, rows, _, _ = sentence_words(*text_bytes(batch.column(1)))
+        of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cells))))
+        seen = np.unique(rows[of_word] * CELLS + cells) if len(first) else cells
+        ends = np.searchsorted(seen, np.arange(1, batch.num_rows + 1) * CELLS)
+        gaps = np.diff(seen % CELLS, prepend=0).astype(np.int32)
+        sets = [_small(gaps[a:b], seen[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "words"])
+
+
+def _small(gaps: np.ndarray, cells: np.ndarray) -> bytes:
+    if not len(gaps):
+        return b""
+    gaps = gaps.copy()
+    gaps[0] = cells[0] % CELLS
+    return press(gaps)
+
+
+def _counter(batches):
+    """Of each task the cells with the numbers of toxic and other documents that hold them; at cell -1 those of all its documents."""
+    counts, every = np.zeros((2, CELLS), np.int64), [0, 0]
+    for batch in batches:
+        for words, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            every[1 - y] += 1
+            if words:
+                counts[1 - y, np.cumsum(unpress(words, np.int32))] += 1
+    cells = np.flatnonzero(counts.sum(0))
+    if sum(every):
+        columns = (np.append(cells, -1), np.append(counts[0, cells], every[0]), np.append(counts[1, cells], every[1]))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cell", "bad", "good"])
 
 
-def corpus_counts(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple | None:
-    """What fit() takes as counts, over all documents with a usable label; at most CELLS rows come to the driver."""
+def corpus_counts(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
+    """cell, bad, good: toxic and other documents with each word that may learn, over all documents with a usable label; at cell -1 all of them.
+
+    At most CELLS + 1 rows. What meets the labels is a document's set of words, not its text.
+    """
     known = marked(labels, "toxic", usable).select("doc_id", "y").distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(known, "doc_id").select("text", "y")
-    rows = texts.mapInArrow(_counter, "cell long, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = rows.where(f"cell < 0 OR (bad > 0 AND bad + good >= {LEAST_DOCS})").toPandas()
-    words, every = rows[rows["cell"] >= 0], rows[rows["cell"] < 0]
-    if not len(every):
-        return None
-    both = [np.bincount(words["cell"], words[c], CELLS) for c in ("bad", "good")]
-    return (*both, int(every["bad"].iloc[0]), int(every["good"].iloc[0]))
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_word_sets, "doc_id long, words binary")
+    rows = sets.join(known, "doc_id").select("words", "y").mapInArrow(_counter, "cell long, bad long, good long")
+    rows = rows.groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return rows.where(f"cell < 0 OR (bad > 0 AND bad + good >= {LEAST_DOCS})")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> bytes:
     """The weights as 32-bit floats, fitted in one task on the bounded sample; which words learn is told by all labelled documents."""
-    counts = corpus_counts(docs, labels, usable)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"weights": [fit(list(pdf["text"]), pdf["y"].to_numpy(), counts).astype(np.float32).tobytes()]})
+    def run(pdf: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        pdf, words, every = pdf.sort_values(["doc_id", "text"]), counts[counts["cell"] >= 0], counts[counts["cell"] < 0]
+        told = None
+        if len(every):
+            told = (*(np.bincount(words["cell"], words[c], CELLS) for c in ("bad", "good")), int(every["bad"].iloc[0]), int(every["good"].iloc[0]))
+        return pd.DataFrame({"weights": [fit([bytes(t) for t in pdf["text"]], pdf["y"].to_numpy(), told).astype(np.float32).tobytes()]})
 
-    row = sample(docs, labels, "toxic", usable, most).groupBy().applyInPandas(run, "weights binary").first()
+    one = F.lit(0).alias("one")
+    pair = sample(docs, labels, "toxic", usable, most).groupBy(one).cogroup(corpus_counts(docs, labels, usable).groupBy(one))
+    row = pair.applyInPandas(run, "weights binary").first()
     return bytes(row["weights"]) if row else fit([], np.zeros(0)).astype(np.float32).tobytes()
 
 
