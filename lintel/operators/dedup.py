@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintel import vocab as V
 from lintel.functions import text as T
-from lintel.operators.scan import DEFAULT_BIN, ordered_scan
+from lintel.operators.scan import MOST, ordered_scan
 
 
 def _list(x):
@@ -76,16 +76,16 @@ def bifurcate_by(rows: DataFrame, det: DataFrame, mark="mark", cond="int_ext", s
     ).drop("_std", "_alt", "_alts", "_alt_row")
 
 
-def sequence_ids(df: DataFrame, key=("project_id",), order=("seq",), fmt="A-%03d", width=DEFAULT_BIN, out="id") -> DataFrame:
+def sequence_ids(df: DataFrame, key=("project_id",), order=("seq",), fmt="A-%03d", most=MOST, out="id") -> DataFrame:
     """Sequential ids per key over an explicit order whose first column is numeric."""
     order = _list(order)
-    n = ordered_scan(df, _list(key), order, order[0], width, _n=("row_number", None))
+    n = ordered_scan(df, _list(key), order, order[0], most, _n=("row_number", None))
     return n.withColumn(out, F.format_string(fmt, F.col("_n"))).drop("_n")
 
 
-def occurrence_index(df: DataFrame, key=("project_id", "page_id", "mark"), order=("y", "x"), width=DEFAULT_BIN, out="occurrence") -> DataFrame:
+def occurrence_index(df: DataFrame, key=("project_id", "page_id", "mark"), order=("y", "x"), most=MOST, out="occurrence") -> DataFrame:
     order = _list(order)
-    return ordered_scan(df, _list(key), order, order[0], width, **{out: ("row_number", None)})
+    return ordered_scan(df, _list(key), order, order[0], most, **{out: ("row_number", None)})
 
 
 def best_evidence(df: DataFrame, level="level", value="value", key=("project_id", "item")) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel import vocab as V
@@ -139,28 +139,51 @@ def confusion_join(words: DataFrame, marks: DataFrame, on="text", variants=None,
     )
 
 
-def _pieces(df: DataFrame, text: str, out: str, other: DataFrame, other_text: str, key) -> DataFrame:
-    """Distinct substrings of ``text`` as ``out``, only of the lengths that occur on the other side.
+#: Letters of the pieces that containment is looked up by.
+GRAM = 3
 
-    One row per place and length from a generator, so a long text is never expanded into an array of all its substrings.
+
+def _grams(text: str, size) -> Column:
+    """The different pieces of ``size`` letters of a text."""
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(places, lambda i: F.substr(F.col(text), i, F.lit(size) if isinstance(size, int) else size)))
+
+
+def containing_candidates(inner: DataFrame, outer: DataFrame, key, within="_in", around="_out") -> DataFrame:
+    """(key, within, the hash of around) of the texts that share the least common piece of an inner text.
+
+    Inner texts (not empty) are filed under the one of their pieces that fewest outer texts hold; an outer text probes with all
+    of its own, of GRAM letters and, for inner texts shorter than that, of one and two. An inner text with
+    a piece that no outer text holds is filed nowhere. Long texts travel as their hash.
     """
-    sizes = other.select(*key, F.length(other_text).alias("_n")).distinct()
-    places = F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)
-    cut = df.join(sizes, key).where(F.col("_n") <= F.length(text)).withColumn("_i", F.explode(places))
-    return cut.select(*key, text, F.substring(text, F.col("_i"), F.col("_n")).alias(out)).distinct()
+    name = F.xxhash64(around).alias("_o")
+    sizes = F.filter(F.array(*[F.when(F.length(around) >= n, _grams(around, n)) for n in range(1, GRAM + 1)]), lambda g: g.isNotNull())
+    probes = outer.select(*key, name, F.explode(F.flatten(sizes)).alias("_g"))
+    common = probes.groupBy(*key, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    pieces = inner.select(*key, within, _grams(within, F.least(F.length(within), F.lit(GRAM))).alias("_gs"))
+    pieces = pieces.select(*key, within, F.size("_gs").alias("_all"), F.explode("_gs").alias("_g"))
+    filed = pieces.join(common, [*key, "_g"]).groupBy(*key, within, "_all").agg(F.count(F.lit(1)).alias("_held"), F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    return filed.where("_held = _all").select(*key, within, "_g").join(probes, [*key, "_g"]).select(*key, within, "_o")
+
+
+def containing(inner: DataFrame, outer: DataFrame, key, within="_in", around="_out") -> DataFrame:
+    """(key, within, around) of every inner text that stands in an outer one."""
+    pairs = containing_candidates(inner, outer, key, within, around)
+    found = pairs.join(outer.select(*key, around, F.xxhash64(around).alias("_o")), [*key, "_o"])
+    return found.where(F.col(around).contains(F.col(within))).select(*key, within, around)
 
 
 def contains_join(texts: DataFrame, marks: DataFrame, key=("project_id",), text="text", text_id="text_id") -> DataFrame:
     """Best mark per text: equal, inside the text, or around it; then the longest.
 
-    Containment becomes equality on exploded substrings, so it is a hash join in both directions.
+    Both directions look up the rarest piece of the inner text (see :func:`containing_candidates`).
     """
     key = _list(key)
     t = texts.select(*key, text_id, F.col(text).alias("_t")).where("_t <> ''")
     distinct_texts = t.select(*key, "_t").distinct()
     m = marks.select(*key, F.col("mark")).where("mark <> ''").distinct()
-    inside = _pieces(distinct_texts, "_t", "mark", m, "mark", key).join(m, [*key, "mark"]).select(*key, "_t", "mark")
-    around = _pieces(m, "mark", "_t", distinct_texts, "_t", key).where("_t <> mark").join(distinct_texts, [*key, "_t"]).select(*key, "_t", "mark")
+    inside = containing(m, distinct_texts, key, "mark", "_t")
+    around = containing(distinct_texts, m, key, "_t", "mark").where("_t <> mark")
     best = (
         inside.unionByName(around)
         .groupBy(*key, "_t")

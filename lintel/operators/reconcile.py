@@ -163,7 +163,7 @@ def assumption_log(doors: DataFrame, queue: DataFrame) -> DataFrame:
         F.lit("Floor Plan / Schedule").alias("source"), F.lit("VERIFY").alias("action"),
     )
     both = split.unionByName(review)
-    numbered = sequence_ids(both, ("project_id",), ("_lead", "_row", "_table", "item", "issue"), width=1)
+    numbered = sequence_ids(both, ("project_id",), ("_lead", "_row", "_table", "item", "issue"))
     return numbered.select("project_id", "id", "building", "floor", "item", "issue", "source", "action")
 
 

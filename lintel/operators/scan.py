@@ -1,8 +1,9 @@
-"""Ordered scans that never put a whole key into one task.
+"""Ordered scans that never put a whole large key into one task.
 
-A plain window sends every row of a key to a single task. These scans first cut each key
-into bins of the leading order column, scan inside (key, bin), and carry one summary row
-per bin across bins. The only per-key sort left is over the bin summaries.
+A plain window sends every row of a key to a single task, which is right for keys of a bounded
+size. Keys beyond ``most`` rows are cut at positions taken from their own rows (quantiles of the
+leading order column, so dense and sparse stretches hold alike many), scanned piece by piece, and one
+summary row a piece carries across. Where no key is that large the scan is one plain window.
 """
 
 from __future__ import annotations
@@ -12,111 +13,144 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BIN = 65536
+#: Rows of a key that one task scans, and pieces that a larger one is cut into.
+MOST, PIECES = 1 << 20, 256
+#: Ask the rows for large keys.
+ASK = object()
 
 
-def _carry(kind: str, value, order_struct):
-    """Aggregate that summarises one bin for ``kind``."""
+def _same(key, prefix):
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in key]
+
+
+def splitters(df: DataFrame, key, lead, most=MOST) -> DataFrame | None:
+    """``_on_<key>`` and ``_cuts``, the positions that cut it, of the keys with more than ``most`` rows; None if there is none.
+
+    Counts rows per key, which runs a job, unless ``most`` is None: no key is large. Rows that share one
+    position are never parted.
+    """
+    if most is None:
+        return None
+    key = list(key)
+    hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    if not hot.limit(1).collect():
+        return None
+    named = hot.select(*[F.col(k).alias(f"_on_{k}") for k in key])
+    steps = [i / PIECES for i in range(1, PIECES)]
+    at = F.array_sort(F.array_distinct(F.percentile_approx(lead, steps, 20 * PIECES)))
+    cuts = df.join(named, _same(key, "_on_"), "left_semi").groupBy(*key).agg(at.alias("_cuts"))
+    # written once: another run of the quantiles might cut elsewhere
+    return checkpoint(cuts.withColumnsRenamed({k: f"_on_{k}" for k in key}))
+
+
+def _plain(kind: str, value: Column, key, order) -> Column:
+    line = Window.partitionBy(*key).orderBy(*order)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if kind == "row_number":
-        return F.count(F.lit(1))
+        return F.row_number().over(line)
     if kind == "sum":
-        return F.coalesce(F.sum(value), F.lit(0))
+        return F.coalesce(F.sum(value).over(upto), F.lit(0))
     if kind == "max":
-        return F.max(value)
+        return F.max(value).over(upto)
+    if kind == "max_before":
+        return F.max(value).over(line.rowsBetween(Window.unboundedPreceding, -1))
     if kind == "last":
-        return F.max_by(value, F.when(value.isNotNull(), order_struct))
+        return F.last(value, ignorenulls=True).over(upto)
+    if kind == "next":  # the same from the other end: a frame that runs to the end would start anew at each row
+        turned = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+        return F.last(value, ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if kind == "lag":
-        return F.max_by(F.struct(value.alias("v")), order_struct)
+        return F.lag(value).over(line)
     raise ValueError(kind)
 
 
-def _join_bins(rows: DataFrame, bins: DataFrame, key) -> DataFrame:
-    """Rows with their bin's carried values; the rows are already partitioned by key and bin."""
-    named = bins.withColumnsRenamed({k: f"_on_{k}" for k in [*key, "_bin"]})
-    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in [*key, "_bin"]]
-    return rows.join(named, on, "left")
+def _summary(kind: str, value: Column, at: Column) -> Column:
+    """Aggregate that stands for one piece."""
+    if kind == "row_number":
+        return F.count(F.lit(1))
+    if kind == "sum":
+        return F.coalesce(F.sum(value), F.lit(0))
+    if kind in ("max", "max_before"):
+        return F.max(value)
+    if kind == "last":
+        return F.max_by(value, F.when(value.isNotNull(), at))
+    if kind == "next":
+        return F.min_by(value, F.when(value.isNotNull(), at))
+    return F.max_by(F.struct(value.alias("v")), at)
+
+
+def _across(kind: str, c: Column, key) -> Column:
+    """What the pieces before one carry into it; those after it for ``next``."""
+    line = Window.partitionBy(*key).orderBy("_bin")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    if kind in ("row_number", "sum"):
+        return F.sum(c).over(before)
+    if kind in ("max", "max_before"):
+        return F.max(c).over(before)
+    if kind == "next":
+        return F.last(c, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1))
+    return F.last(c, ignorenulls=kind == "last").over(before)
+
+
+def _both(kind: str, here: Column, past: Column) -> Column:
+    if kind in ("row_number", "sum"):
+        return here + F.coalesce(past, F.lit(0))
+    if kind in ("max", "max_before"):
+        return F.greatest(here, past)
+    if kind == "lag":
+        return F.coalesce(here, past)["v"]
+    return F.coalesce(here, past)
 
 
-def ordered_scan(df: DataFrame, key, order, lead, width=DEFAULT_BIN, **specs) -> DataFrame:
-    """Running values per ``key`` in ascending ``order``.
+def ordered_scan(df: DataFrame, key, order, lead, most=MOST, cuts=ASK, **specs) -> DataFrame:
+    """Running values per ``key`` in ascending ``order``, whose leading column is the number ``lead``.
 
-    ``lead`` is the numeric leading order column, ``width`` the bin width in its unit.
     Each keyword is ``out=(kind, column)`` with kind one of ``row_number``, ``sum``, ``max``,
-    ``last`` (last non-null so far) and ``lag`` (previous row's value).
+    ``max_before`` (of the rows before), ``last`` (last non-null so far), ``next`` (first non-null from here on)
+    and ``lag`` (previous row's value). ``cuts`` are :func:`splitters` known already, None for none.
     """
     key, order = list(key), list(order)
-    binned = df.withColumn("_bin", F.floor(F.col(lead) / F.lit(width)).cast("bigint"))
-    local = Window.partitionBy(*key, "_bin").orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    order_struct = F.struct(*[F.col(c) for c in order])
-
-    def as_col(v):
-        return v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(1)
-
-    inside, summary, offset, final = {}, [], {}, {}
-    for out, (kind, value) in specs.items():
-        v, c = as_col(value), F.col(f"_c_{out}")
-        summary.append(_carry(kind, v, order_struct).alias(f"_c_{out}"))
-        here, past = F.col(f"_i_{out}"), F.col(f"_o_{out}")
-        if kind == "row_number":
-            inside[f"_i_{out}"] = F.row_number().over(local)
-            offset[f"_o_{out}"] = F.sum(c).over(before)
-            final[out] = here + F.coalesce(past, F.lit(0))
-        elif kind == "sum":
-            inside[f"_i_{out}"] = F.sum(v).over(upto)
-            offset[f"_o_{out}"] = F.sum(c).over(before)
-            final[out] = F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0))
-        elif kind == "max":
-            inside[f"_i_{out}"] = F.max(v).over(upto)
-            offset[f"_o_{out}"] = F.max(c).over(before)
-            final[out] = F.greatest(here, past)
-        elif kind == "last":
-            inside[f"_i_{out}"] = F.last(v, ignorenulls=True).over(upto)
-            offset[f"_o_{out}"] = F.last(c, ignorenulls=True).over(before)
-            final[out] = F.coalesce(here, past)
-        else:
-            inside[f"_i_{out}"] = F.lag(F.struct(v.alias("v"))).over(local)
-            offset[f"_o_{out}"] = F.last(c).over(before)
-            final[out] = F.coalesce(here, past)["v"]
-    bins = binned.groupBy(*key, "_bin").agg(*summary).withColumns(offset)
-    bins = bins.select(*key, "_bin", *offset)
+    value = {out: v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(1) for out, (_, v) in specs.items()}
+    if cuts is ASK:
+        cuts = splitters(df, key, lead, most)
+    if cuts is None:
+        return df.select("*", *[_plain(kind, value[out], key, order).alias(out) for out, (kind, _) in specs.items()])
+
+    place = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(lead))))
+    binned = df.join(cuts, _same(key, "_on_"), "left").withColumns({"_bin": F.coalesce(place, F.lit(0)), "_large": F.col("_cuts").isNotNull()})
+    binned = binned.select(*df.columns, "_bin", "_large")
+    at = F.struct(*order)
+    inside = {f"_i_{out}": _plain(kind, F.struct(value[out].alias("v")) if kind == "lag" else value[out], [*key, "_bin"], order) for out, (kind, _) in specs.items()}
     rows = binned.withColumns(inside)
-    joined = _join_bins(rows, bins, key)
-    return joined.select(*df.columns, *[e.alias(out) for out, e in final.items()])
+    pieces = rows.where("_large").groupBy(*key, "_bin").agg(*[_summary(kind, value[out], at).alias(f"_c_{out}") for out, (kind, _) in specs.items()])
+    carried = pieces.select(
+        *[F.col(c).alias(f"_on_{c}") for c in [*key, "_bin"]], *[_across(kind, F.col(f"_c_{out}"), key).alias(f"_o_{out}") for out, (kind, _) in specs.items()]
+    )
+    joined = rows.join(carried, _same([*key, "_bin"], "_on_"), "left")
+    return joined.select(*df.columns, *[_both(kind, F.col(f"_i_{out}"), F.col(f"_o_{out}")).alias(out) for out, (kind, _) in specs.items()])
 
 
-def islands(df: DataFrame, key, order, lead, prev, value, is_break, width=DEFAULT_BIN, out="island") -> DataFrame:
+def islands(df: DataFrame, key, order, lead, prev, value, is_break, most=MOST, cuts=ASK, out="island") -> DataFrame:
     """Number runs of rows per key, from 1: a row opens a new run when ``is_break`` holds.
 
-    ``is_break`` may read the order columns and ``prev``, the previous row's ``value``. The first
-    row of a bin is judged against the last row of the bin before, on the bin summaries.
+    ``is_break`` may read the order columns and ``prev``, the previous row's ``value``.
     """
     key, order = list(key), list(order)
-    binned = df.withColumn("_bin", F.floor(F.col(lead) / F.lit(width)).cast("bigint"))
-    local = Window.partitionBy(*key, "_bin").orderBy(*order)
-    before = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct(*[F.col(c) for c in order])
-    opens = F.coalesce(is_break, F.lit(True)).cast("int")
-    rows = binned.withColumn("_lag", F.lag(F.struct(F.col(value).alias("v"))).over(local))
+    if cuts is ASK:
+        cuts = splitters(df, key, lead, most)
+    rows = ordered_scan(df, key, order, lead, cuts=cuts, _lag=("lag", F.struct(F.col(value).alias("v"))))
     rows = rows.withColumn(prev, F.col("_lag.v"))
-    rows = rows.withColumn("_brk", F.when(F.col("_lag").isNull(), 0).otherwise(opens)).drop(prev)
-    rows = rows.withColumn("_run", F.sum("_brk").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    bins = rows.groupBy(*key, "_bin").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), at).alias("_end"), F.min(at).alias("_head"), F.sum("_brk").alias("_n")
-    )
-    bins = bins.withColumn("_carry", F.last("_end").over(before))
-    bins = bins.select(*key, "_bin", "_n", "_carry", F.col("_carry.v").alias(prev), "_head.*")
-    bins = bins.withColumn("_first", F.when(F.col("_carry").isNull(), 1).otherwise(opens))
-    bins = bins.select(
-        *key, "_bin", (F.coalesce(F.sum(F.col("_n") + F.col("_first")).over(before), F.lit(0)) + F.col("_first")).alias("_off")
-    )
-    return _join_bins(rows, bins, key).select(*df.columns, (F.col("_run") + F.col("_off")).alias(out))
+    opens = F.when(F.col("_lag").isNull(), 1).otherwise(F.coalesce(is_break, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_opens", opens).drop(prev, "_lag")
+    return ordered_scan(rows, key, order, lead, cuts=cuts, **{out: ("sum", "_opens")}).drop("_opens")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Spark's reliable checkpoint, in the folder the session names; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+    """Spark's reliable checkpoint in the folder the session names; on a local master, where none is set, in one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return df.checkpoint()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lintel import vocab as V
 from lintel.functions import text as T
-from lintel.operators.scan import ordered_scan
+from lintel.operators.scan import MOST, ordered_scan
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -136,37 +136,34 @@ def path_count(marks: DataFrame, paths: DataFrame, r=V.ARC_RADIUS, key=("project
     )
 
 
-def nearest_1d(points: DataFrame, anchors: DataFrame, pos="pos", key=("project_id", "page_id"), anchor="anchor_id", width=1024.0) -> DataFrame:
+def nearest_1d(points: DataFrame, anchors: DataFrame, pos="pos", key=("project_id", "page_id"), anchor="anchor_id", most=MOST) -> DataFrame:
     """Nearest anchor per point on a line; ties go to the lower position.
 
-    Two as-of passes over the union: the last anchor at or before, the first at or after.
+    One scan of the union from both ends: the last anchor at or before, the first at or after.
     """
     key = _list(key)
     stops = anchors.groupBy(*key, F.col(pos)).agg(F.min(anchor).alias("_a"))
     stops = stops.withColumns({"_k": F.lit(0), "_s": F.struct(F.col(pos).alias("pos"), F.col("_a").alias("id"))})
     spots = points.select(*key, pos).distinct().withColumn("_k", F.lit(1))
     line = stops.select(*key, pos, "_k", "_s").unionByName(spots, allowMissingColumns=True)
-    line = line.withColumn("_neg", -F.col(pos))
-    back = ordered_scan(line, key, [pos, "_k"], pos, width, _lo=("last", "_s"))
-    both = ordered_scan(back, key, ["_neg", "_k"], "_neg", width, _hi=("last", "_s"))
+    both = ordered_scan(line, key, [pos, "_k"], pos, most, _lo=("last", "_s"), _hi=("next", "_s"))
     lo, hi, at = F.col("_lo"), F.col("_hi"), F.col(pos)
     pick = F.when(lo.isNull(), hi).when(hi.isNull(), lo).when((at - lo["pos"]) <= (hi["pos"] - at), lo).otherwise(hi)
     found = both.where("_k = 1").select(*key, pos, pick["id"].alias(anchor), F.abs(at - pick["pos"]).alias("dist"))
     return points.join(found, [*key, pos], "left")
 
 
-def nearest_span(points: DataFrame, spans: DataFrame, pos="pos", key=("project_id", "page_id"), span="span_no", width=1024.0) -> DataFrame:
+def nearest_span(points: DataFrame, spans: DataFrame, pos="pos", key=("project_id", "page_id"), span="span_no", most=MOST) -> DataFrame:
     """Span holding each position, else the span with the nearest edge; spans do not overlap.
 
-    Two as-of passes: the last span that starts before the point, the first at or after it.
+    One scan from both ends: the last span that starts before the point, the first at or after it.
     """
     key = _list(key)
     stop = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col(span).alias("n"))
     stops = spans.select(*key, F.col("lo").cast("double").alias("_at"), F.lit(1).alias("_k"), stop.alias("_s"))
     spots = points.select(*key, F.col(pos).cast("double").alias("_at")).distinct().withColumn("_k", F.lit(0))
-    line = stops.unionByName(spots, allowMissingColumns=True).withColumns({"_neg": -F.col("_at"), "_nk": -F.col("_k")})
-    back = ordered_scan(line, key, ["_at", "_k"], "_at", width, _lo=("last", "_s"))
-    both = ordered_scan(back, key, ["_neg", "_nk"], "_neg", width, _hi=("last", "_s"))
+    line = stops.unionByName(spots, allowMissingColumns=True)
+    both = ordered_scan(line, key, ["_at", "_k"], "_at", most, _lo=("last", "_s"), _hi=("next", "_s"))
     lo, hi, at = F.col("_lo"), F.col("_hi"), F.col("_at")
     before, after = F.greatest(F.lit(0.0), at - lo["hi"]), hi["lo"] - at
     pick = F.when(lo.isNull(), hi["n"]).when(hi.isNull(), lo["n"]).when(before <= after, lo["n"]).otherwise(hi["n"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintel import vocab as V
 from lintel.functions import text as T
-from lintel.operators.scan import DEFAULT_BIN, checkpoint, islands, ordered_scan
+from lintel.operators.scan import MOST, checkpoint, islands, ordered_scan, splitters
 from lintel.operators.spatial import nearest_1d, nearest_span
 
 PAGE = ("project_id", "page_id")
@@ -23,11 +23,11 @@ def ordered_join(value, order, sep=" "):
     return F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_v"]), sep)
 
 
-def join_words(words: DataFrame, gap=V.WORD_GAP, key=PAGE, width=4096.0) -> DataFrame:
+def join_words(words: DataFrame, gap=V.WORD_GAP, key=PAGE, most=MOST) -> DataFrame:
     """Glue words of one line whose horizontal gap is 0 <= gap < ``gap``."""
     line = [*_list(key), "block", "line"]
     is_break = ~((F.col("x0") - F.col("_px1") >= 0) & (F.col("x0") - F.col("_px1") < gap))
-    runs = islands(words, line, ["x0", "word"], "x0", "_px1", "x1", is_break, width)
+    runs = islands(words, line, ["x0", "word"], "x0", "_px1", "x1", is_break, most)
     return runs.groupBy(*line, "island").agg(
         ordered_join("text", ["x0", "word"], "").alias("text"),
         F.min("x0").alias("x0"),
@@ -38,30 +38,31 @@ def join_words(words: DataFrame, gap=V.WORD_GAP, key=PAGE, width=4096.0) -> Data
     )
 
 
-def merge_intervals(df: DataFrame, lo="lo", hi="hi", tol=V.INTERVAL_TOLERANCE, key=PAGE, width=4096.0) -> DataFrame:
+def merge_intervals(df: DataFrame, lo="lo", hi="hi", tol=V.INTERVAL_TOLERANCE, key=PAGE, most=MOST) -> DataFrame:
     """Union of intervals that overlap or lie within ``tol``: (key, span_no, lo, hi)."""
     key = _list(key)
     uniq = df.groupBy(*key, F.col(lo).alias("lo")).agg(F.max(hi).alias("hi"))
-    ends = ordered_scan(uniq, key, ["lo"], "lo", width, _m=("max", "hi"))
-    is_break = F.col("lo") > F.col("_pm") + tol
-    runs = islands(ends, key, ["lo"], "lo", "_pm", "_m", is_break, width, out="span_no")
+    cuts = splitters(uniq, key, "lo", most)
+    ends = ordered_scan(uniq, key, ["lo"], "lo", cuts=cuts, _m=("max_before", "hi"))
+    ends = ends.withColumn("_opens", F.coalesce((F.col("lo") > F.col("_m") + tol).cast("int"), F.lit(1)))
+    runs = ordered_scan(ends, key, ["lo"], "lo", cuts=cuts, span_no=("sum", "_opens"))
     return runs.groupBy(*key, "span_no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def line_clusters(edges: DataFrame, tol=V.LINE_TOLERANCE, min_len=0.0, key=PAGE, width=4096.0) -> DataFrame:
+def line_clusters(edges: DataFrame, tol=V.LINE_TOLERANCE, min_len=0.0, key=PAGE, most=MOST) -> DataFrame:
     """Vertical edges clustered by x; clusters whose total length reaches ``min_len`` (number or column)."""
     key = _list(key)
     same_x = edges.groupBy(*key, "x0").agg(
         F.sum(F.col("y1") - F.col("y0")).alias("_len"), F.count(F.lit(1)).alias("_n")
     )
-    runs = islands(same_x, key, ["x0"], "x0", "_px", "x0", F.col("x0") - F.col("_px") > tol, width, out="cluster")
+    runs = islands(same_x, key, ["x0"], "x0", "_px", "x0", F.col("x0") - F.col("_px") > tol, most, out="cluster")
     out = runs.groupBy(*key, "cluster").agg(
         (F.sum(F.col("x0") * F.col("_n")) / F.sum("_n")).alias("x"), F.sum("_len").alias("total_len")
     )
     return out.where(F.col("total_len") >= min_len)
 
 
-def group_rows(words: DataFrame, tol=V.ROW_TOLERANCE, key=PAGE, pos="y0", width=4096.0) -> DataFrame:
+def group_rows(words: DataFrame, tol=V.ROW_TOLERANCE, key=PAGE, pos="y0", most=MOST) -> DataFrame:
     """Adds ``row_start``: the position of the first word of the text row a word belongs to.
 
     A row takes every word closer than ``tol`` to its first one. Rows never cross a gap of
@@ -70,7 +71,7 @@ def group_rows(words: DataFrame, tol=V.ROW_TOLERANCE, key=PAGE, pos="y0", width=
     """
     key = _list(key)
     spots = words.select(*key, pos).distinct()
-    runs = islands(spots, key, [pos], pos, "_p", pos, F.col(pos) - F.col("_p") >= tol, width, out="_piece")
+    runs = islands(spots, key, [pos], pos, "_p", pos, F.col(pos) - F.col("_p") >= tol, most, out="_piece")
     names = [*key, "_piece"]
 
     def walk(batches):
@@ -95,15 +96,15 @@ def ordered_text(words: DataFrame, group, order=("y0", "x0"), text="text") -> Da
     return words.groupBy(*_list(group)).agg(F.trim(ordered_join(text, _list(order))).alias("text"))
 
 
-def suffix_duplicates(headers: DataFrame, key=PAGE, order="col_no", header="header", style="code", width=DEFAULT_BIN) -> DataFrame:
+def suffix_duplicates(headers: DataFrame, key=PAGE, order="col_no", header="header", style="code", most=MOST) -> DataFrame:
     """Repeated headers get ``_1``, ``_2`` (style ``code``) or `` 2``, `` 3`` (style ``print``)."""
-    nth = ordered_scan(headers, [*_list(key), header], _list(order), _list(order)[0], width, _n=("row_number", None))
+    nth = ordered_scan(headers, [*_list(key), header], _list(order), _list(order)[0], most, _n=("row_number", None))
     n = F.col("_n")
     tail = F.concat(F.lit("_"), (n - 1).cast("string")) if style == "code" else F.concat(F.lit(" "), n.cast("string"))
     return nth.withColumn(header, F.when(n > 1, F.concat(F.col(header), tail)).otherwise(F.col(header))).drop("_n")
 
 
-def flatten_headers(cells: DataFrame, key=("project_id", "table_id"), width=DEFAULT_BIN) -> DataFrame:
+def flatten_headers(cells: DataFrame, key=("project_id", "table_id"), most=MOST) -> DataFrame:
     """Two-row headers to one name per column.
 
     Two rows count as header when the second starts blank and is not all blank; the first
@@ -120,7 +121,7 @@ def flatten_headers(cells: DataFrame, key=("project_id", "table_id"), width=DEFA
         F.bool_or(v != "").alias("_any"),
     )
     filled = ordered_scan(
-        top.withColumn("_n0", F.nullif(F.col("_r0"), F.lit(""))), key, ["col_no"], "col_no", width, _p=("last", "_n0")
+        top.withColumn("_n0", F.nullif(F.col("_r0"), F.lit(""))), key, ["col_no"], "col_no", most, _p=("last", "_n0")
     ).join(two, key, "left")
     pair = F.coalesce(F.col("_first_blank") & F.col("_any"), F.lit(False))
     joined = F.concat_ws(" ", F.nullif(F.col("_p"), F.lit("")), F.nullif(F.col("_r1"), F.lit("")))
@@ -130,14 +131,14 @@ def flatten_headers(cells: DataFrame, key=("project_id", "table_id"), width=DEFA
     )
 
 
-def join_continuations(rows: DataFrame, mark="mark", text="comments", key=PAGE, order="row_no", others=(), width=DEFAULT_BIN) -> DataFrame:
+def join_continuations(rows: DataFrame, mark="mark", text="comments", key=PAGE, order="row_no", others=(), most=MOST) -> DataFrame:
     """Rows with a blank mark and nothing but text continue the row above."""
     key, o = _list(key), _list(order)
     blank = T.strip(T.text_of(mark)) == ""
     for c in others:
         blank = blank & (T.strip(T.text_of(c)) == "")
     flagged = rows.withColumn("_start", (~blank).cast("int"))
-    grouped = ordered_scan(flagged, key, o, o[0], width, _g=("sum", "_start"))
+    grouped = ordered_scan(flagged, key, o, o[0], most, _g=("sum", "_start"))
     keep = [c for c in rows.columns if c not in (*key, text)]
     filled = grouped.withColumn("_t", F.nullif(T.strip(T.text_of(text)), F.lit("")))
     entry = F.struct(*[F.col(c) for c in o], F.col("_t"))
@@ -172,7 +173,7 @@ def mark_column(words: DataFrame, key=PAGE, first_n=3, col_no="col_no", text="te
     )
 
 
-def column_spans(rows: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFrame:
+def column_spans(rows: DataFrame, edges: DataFrame | None, key=PAGE, most=MOST) -> DataFrame:
     """Column spans from ruled lines where a page has three or more, else from text projection.
 
     ``rows`` are words with ``row_start`` (see :func:`group_rows`) and the ``is_mark`` flag.
@@ -185,7 +186,7 @@ def column_spans(rows: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFram
         .join(data_pages, key, "left")
         .where(F.col("_data") | F.col("_page").isNull())
     )
-    projected = merge_intervals(shown, "x0", "x1", key=key)
+    projected = merge_intervals(shown, "x0", "x1", key=key, most=most)
     projected = projected.withColumn("span_no", (F.col("span_no") - 1).cast("int"))
     if edges is None:
         return projected
@@ -193,7 +194,7 @@ def column_spans(rows: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFram
         (F.max("y1") - F.min("y0")).alias("_h"), F.min("x0").alias("_wx0"), F.max("x1").alias("_wx1")
     )
     long = edges.where(F.col("y1") - F.col("y0") >= 12)
-    lines = line_clusters(long, key=key).join(height, key).where(F.col("total_len") >= 0.3 * F.col("_h"))
+    lines = line_clusters(long, key=key, most=most).join(height, key).where(F.col("total_len") >= 0.3 * F.col("_h"))
     page = lines.groupBy(*key).agg(
         F.array_sort(F.collect_set("x")).alias("_xs"), F.first("_wx0").alias("_wx0"), F.first("_wx1").alias("_wx1")
     ).where(F.size("_xs") >= 3)
@@ -207,61 +208,55 @@ def column_spans(rows: DataFrame, edges: DataFrame | None, key=PAGE) -> DataFram
     return ruled.unionByName(free)
 
 
-def words_to_table(words: DataFrame, edges: DataFrame | None = None, key=PAGE) -> DataFrame:
+def words_to_table(words: DataFrame, edges: DataFrame | None = None, key=PAGE, most=MOST) -> DataFrame:
     """Schedule cells from positioned words: (key, row_no, col_no, header, value).
 
     Column spans, mark column, nearest row per word, headers from the words above the first
-    mark, duplicate headers numbered, blank placeholder columns dropped. The stages build on
-    each other several times over, so each is written once to the checkpoint folder.
+    mark, duplicate headers numbered, blank placeholder columns dropped. Words with their column, and the
+    columns, are written once to the checkpoint folder; all else reads that table. Whether any page is too large
+    for one task is asked once, of the words.
     """
     key = _list(key)
     words = words.where(T.strip("text") != "").withColumns(
         {"is_mark": T.is_mark_text("text"), "_cx": (F.col("x0") + F.col("x1")) / 2, "_cy": (F.col("y0") + F.col("y1")) / 2}
     )
     words = words.select(*key, "text", "x0", "x1", "y0", "y1", "is_mark", "_cx", "_cy")
-    rows = checkpoint(group_rows(words, key=key))
-    spans = checkpoint(column_spans(rows, edges, key))
-    placed = nearest_span(rows.drop("row_start"), spans, "_cx", key).withColumnRenamed("span_no", "col_no")
-    placed = checkpoint(placed)
-    which = mark_column(placed, key, flag="is_mark")
-    placed = placed.join(which.select(*key, "mark_col"), key)
-    marks = placed.where((F.col("col_no") == F.col("mark_col")) & F.col("is_mark")).select(
+    most = None if splitters(words, key, "_cy", most) is None else most
+    rows = group_rows(words, key=key, most=most)
+    spans = column_spans(rows, edges, key, most)
+    placed = nearest_span(rows, spans, "_cx", key, most=most).select(*key, F.col("span_no").alias("col_no"), "text", "is_mark", "x0", "y0", "_cy")
+    table = checkpoint(placed.unionByName(spans.select(*key, F.col("span_no").alias("col_no")), allowMissingColumns=True))
+    placed, columns = table.where("text is not null"), table.where("text is null").select(*key, "col_no")
+
+    which = mark_column(placed, key, flag="is_mark").select(*key, "mark_col")
+    body = placed.join(which, key)
+    marks = body.where((F.col("col_no") == F.col("mark_col")) & F.col("is_mark")).select(
         *key, F.col("_cy").alias("pos"), F.col("text").alias("_m"), F.col("x0").alias("_x")
     )
-    numbered = checkpoint(ordered_scan(marks, key, ["pos", "_x", "_m"], "pos", 4096.0, row_no=("row_number", None)))
+    numbered = ordered_scan(marks, key, ["pos", "_x", "_m"], "pos", most, row_no=("row_number", None))
     anchors = numbered.select(*key, "pos", F.col("row_no").alias("anchor_id"))
-    first = numbered.groupBy(*key).agg((F.min("pos") - 8).alias("_first"))
-    body = placed.join(first, key, "left")
+    body = body.join(marks.groupBy(*key).agg((F.min("pos") - 8).alias("_first")), key, "left")
     above = F.col("_cy") < F.coalesce(F.col("_first"), F.lit(float("inf")))
 
     names = body.where(above).groupBy(*key, "col_no").agg(ordered_join("text", ["y0", "x0", "text"]).alias("header"))
-    named = spans.select(*key, F.col("span_no").alias("col_no")).join(names, [*key, "col_no"], "left")
-    given = suffix_duplicates(named.where("header is not null"), key)
+    named = columns.join(names, [*key, "col_no"], "left")
+    given = suffix_duplicates(named.where("header is not null"), key, most=most)
     empty = named.where("header is null").withColumn("header", F.concat(F.lit("COLUMN_"), F.col("col_no").cast("string")))
-    headers = given.unionByName(empty).join(which.select(*key, "mark_col"), key)
-    headers = headers.withColumn(
-        "header", F.when(F.col("col_no") == F.col("mark_col"), F.lit("mark")).otherwise(F.col("header"))
-    ).drop("mark_col")
+    headers = given.unionByName(empty).join(which, key)
+    headers = headers.select(*key, "col_no", F.when(F.col("col_no") == F.col("mark_col"), F.lit("mark")).otherwise(F.col("header")).alias("header"))
 
-    data = body.where(~above).withColumn("pos", F.col("_cy"))
-    data = nearest_1d(data, anchors, "pos", key)
+    data = nearest_1d(body.where(~above).withColumn("pos", F.col("_cy")), anchors, "pos", key, most=most)
     values = data.groupBy(*key, "anchor_id", "col_no").agg(ordered_join("text", ["y0", "x0", "text"]).alias("value"))
+    # a placeholder without a word below the heads goes
+    used = values.select(*key, "col_no").distinct().join(headers, [*key, "col_no"]).select(*key, "header").distinct()
+    stays = headers.where(~F.col("header").startswith("COLUMN_")).unionByName(
+        headers.where(F.col("header").startswith("COLUMN_")).join(used, [*key, "header"], "left_semi").select(*headers.columns)
+    )
     own = numbered.select(*key, F.col("row_no").alias("anchor_id"), F.upper("_m").alias("_m"))
-    grid = own.join(headers, key).join(values, [*key, "anchor_id", "col_no"], "left")
+    grid = own.join(stays, key).join(values, [*key, "anchor_id", "col_no"], "left")
     value = F.coalesce(F.col("value"), F.lit(""))
-    is_mark = F.col("header") == "mark"
-    cells = grid.select(
-        *key, F.col("anchor_id").alias("row_no"), "col_no", "header",
-        F.when(is_mark, F.upper(F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("_m")))).otherwise(value).alias("value"),
-    )
-    cells = checkpoint(cells)
-    dead = (
-        cells.where(F.col("header").startswith("COLUMN_"))
-        .groupBy(*key, "header")
-        .agg(F.max(F.length("value")).alias("_l"))
-        .where("_l = 0")
-    )
-    return cells.join(dead.select(*key, "header"), [*key, "header"], "left_anti").select(*cells.columns)
+    mark = F.upper(F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("_m")))
+    return grid.select(*key, F.col("anchor_id").alias("row_no"), "col_no", "header", F.when(F.col("header") == "mark", mark).otherwise(value).alias("value"))
 
 
 def flatten_extraction(df: DataFrame, floors="per_floor") -> DataFrame:

@@ -381,7 +381,7 @@ def _(t):
 
 @q("seq_ids", "SELECT event_id, 'A-' || lpad(CAST(n AS STRING), CAST(greatest(3, length(CAST(n AS STRING))) AS INT), '0') AS id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)")
 def _(t):
-    return D.sequence_ids(t.events.select("event_type", "event_id"), ["event_type"], ["event_id"], width=4096).select("event_id", "id")
+    return D.sequence_ids(t.events.select("event_type", "event_id"), ["event_type"], ["event_id"]).select("event_id", "id")
 
 
 @q(
@@ -532,7 +532,7 @@ def _(t):
         F.col("o_orderkey").alias("anchor_id"), F.expr("o_orderkey % 8").alias("k"),
         F.expr("cast(1704067200 + (o_orderkey * 7919) % 2678400 as double)").alias("pos"),
     )
-    return S.nearest_1d(pts, anchors, key=["k"], width=86400.0).select("event_id", "anchor_id", "dist")
+    return S.nearest_1d(pts, anchors, key=["k"]).select("event_id", "anchor_id", "dist")
 
 
 @q(
@@ -549,7 +549,7 @@ def _(t):
         F.expr("cast(n_nationkey * 40 + 10 + n_regionkey * 4 as double)").alias("hi"),
     )
     pts = t.v_det.select("det_id", F.lit("K").alias("k"), F.col("w_cx").alias("pos"))
-    return S.nearest_span(pts, spans, key=["k"], width=100.0).select("det_id", "span_no")
+    return S.nearest_span(pts, spans, key=["k"]).select("det_id", "span_no")
 
 
 SEG = """SELECT CASE WHEN s_acctbal >= 500 THEN 'S' ELSE 'X' END || CAST(s_suppkey AS STRING) AS page_id, CAST(s_suppkey % 500 AS DOUBLE) AS x0, 100.0::DOUBLE AS y0, CAST(s_suppkey % 500 + 300 AS DOUBLE) AS x1,

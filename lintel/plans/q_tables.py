@@ -42,7 +42,7 @@ def _(t):
 def _(t):
     at = "cast(unix_micros(cast(ts as timestamp)) div 1000000 as double)"
     spans = t.events.select("user_id", F.expr(at).alias("lo"), F.expr(f"{at} + floor(value) * 600").alias("hi"))
-    return B.merge_intervals(spans, key=["user_id"], width=86400.0)
+    return B.merge_intervals(spans, key=["user_id"])
 
 
 @q(
@@ -54,7 +54,7 @@ def _(t):
 )
 def _(t):
     rows = t.events.select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("y0"))
-    return B.group_rows(rows, 24, ["user_id"], width=240).select("event_id", "row_start")
+    return B.group_rows(rows, 24, ["user_id"]).select("event_id", "row_start")
 
 
 EDGES = "SELECT 'S' || CAST(l_suppkey AS STRING) AS page_id, CAST(l_orderkey * 17 % 12000 AS DOUBLE) / 4 AS x0, 0.0::DOUBLE AS y0, l_quantity AS y1 FROM lineitem"
@@ -79,7 +79,7 @@ def _(t):
     "v_words",
 )
 def _(t):
-    return B.suffix_duplicates(t.v_words, ["block", "line"], "word", "text", width=256).select("block", "line", "word", "text")
+    return B.suffix_duplicates(t.v_words, ["block", "line"], "word", "text").select("block", "line", "word", "text")
 
 
 HEAD_VALUE = "CASE WHEN line = 0 AND word % 3 > 0 THEN '' WHEN line = 1 AND word = 0 AND block % 2 = 0 THEN '' ELSE text END"
@@ -96,9 +96,11 @@ HEAD_VALUE = "CASE WHEN line = 0 AND word % 3 > 0 THEN '' WHEN line = 1 AND word
 )
 def _(t):
     cells = t.v_words.select("block", F.col("line").alias("row_no"), F.col("word").alias("col_no"), F.expr(HEAD_VALUE).alias("value"))
-    return B.flatten_headers(cells, ["block"], width=1024)
+    return B.flatten_headers(cells, ["block"])
 
 
+IS_MARK = f"""(len(list_intersect([lower(trim(text, '.,'))], {QT.sql_arr(QT.V.HEADER_WORDS)})) = 0
+    AND NOT regexp_matches(text, '[''"]') AND (regexp_matches(text, '[0-9]') OR (length(text) <= 4 AND regexp_matches(text, '[A-Z]') AND text = upper(text))))"""
 STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -110,7 +112,7 @@ STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 )
 def _(t):
     rows = t.v_lines.select("doc_id", "line", F.expr("CASE WHEN line % 3 = 0 THEN 'M' || line ELSE '' END").alias("mark"), F.col("line_text").alias("comments"))
-    return B.join_continuations(rows, key=["doc_id"], order="line", width=1024)
+    return B.join_continuations(rows, key=["doc_id"], order="line")
 
 
 @q(
@@ -129,7 +131,37 @@ def _(t):
     return B.ordered_text(t.v_words, "block", ("y0", "x0"))
 
 
-@q("words_to_table")
+UPPER = "replace(replace(upper({c}), 'ß', 'SS'), 'ẞ', 'SS')"
+
+
+@q(
+    "words_to_table",
+    f"""WITH RECURSIVE w AS MATERIALIZED (SELECT project_id, block, text, x0, x1, y0, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, {IS_MARK} AS is_mark FROM v_words WHERE {STRIP.format(c='text')} <> ''),
+  p AS (SELECT DISTINCT block, y0 AS pos FROM w), nx AS MATERIALIZED (SELECT p.block, p.pos, x.pos AS nxt FROM (SELECT block, pos, pos + 4 AS lim FROM p) p ASOF LEFT JOIN p x ON p.block = x.block AND p.lim <= x.pos),
+  s AS (SELECT block, min(pos) AS st FROM p GROUP BY 1 UNION ALL SELECT s.block, nx.nxt FROM s JOIN nx ON s.block = nx.block AND s.st = nx.pos WHERE nx.nxt IS NOT NULL),
+  r AS (SELECT w.*, s.st FROM w ASOF JOIN s ON w.block = s.block AND w.y0 >= s.st),
+  ld AS (SELECT block, st, arg_min(is_mark, (x0, text)) AS data FROM r GROUP BY ALL), dp AS (SELECT DISTINCT block FROM ld WHERE data),
+  iv AS (SELECT block, x0 AS lo, max(x1) AS hi FROM r JOIN ld USING (block, st) WHERE data OR block NOT IN (SELECT block FROM dp) GROUP BY ALL),
+  m AS (SELECT *, max(hi) OVER (PARTITION BY block ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM iv),
+  g AS (SELECT *, sum(CASE WHEN pm IS NULL OR lo > pm + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY block ORDER BY lo ROWS UNBOUNDED PRECEDING) - 1 AS col_no FROM m),
+  sp AS (SELECT block, CAST(col_no AS INT) AS col_no, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY ALL),
+  at_ AS (SELECT block, cx, arg_min(col_no, (greatest(0, lo - cx, cx - hi), col_no)) AS col_no FROM (SELECT DISTINCT block, cx FROM w) JOIN sp USING (block) GROUP BY ALL),
+  pl AS MATERIALIZED (SELECT w.*, col_no FROM w JOIN at_ USING (block, cx)),
+  mc AS (SELECT block, coalesce(arg_max(col_no, (n, -col_no)), 0) AS mark_col FROM (SELECT DISTINCT block FROM pl) LEFT JOIN
+   (SELECT block, col_no, count(DISTINCT {UPPER.format(c=STRIP.format(c='text'))}) AS n FROM pl WHERE col_no < 3 AND is_mark GROUP BY ALL) USING (block) GROUP BY block),
+  nb AS MATERIALIZED (SELECT project_id, block, cy, {UPPER.format(c='text')} AS m, row_number() OVER (PARTITION BY block ORDER BY cy, x0, text) AS row_no FROM pl JOIN mc USING (block) WHERE col_no = mark_col AND is_mark),
+  f AS (SELECT pl.*, cy < coalesce(top, 'inf'::DOUBLE) AS above FROM pl LEFT JOIN (SELECT block, min(cy) - 8 AS top FROM nb GROUP BY 1) USING (block)),
+  nm AS (SELECT block, col_no, trim(string_agg(text, ' ' ORDER BY y0, x0, text)) AS header FROM f WHERE above GROUP BY ALL),
+  hd AS (SELECT block, col_no, CASE WHEN col_no = mark_col THEN 'mark' WHEN header IS NULL THEN 'COLUMN_' || CAST(col_no AS STRING)
+    WHEN n > 1 THEN header || '_' || CAST(n - 1 AS STRING) ELSE header END AS header FROM (SELECT sp.block, sp.col_no, header, row_number() OVER (PARTITION BY sp.block, header ORDER BY sp.col_no) AS n FROM sp LEFT JOIN nm USING (block, col_no)) JOIN mc USING (block)),
+  an AS (SELECT block, cy AS pos, min(row_no) AS id FROM nb GROUP BY ALL),
+  lo AS (SELECT y.block, y.cy, an.pos AS lp, an.id AS li FROM (SELECT DISTINCT block, cy FROM f WHERE NOT above) y ASOF LEFT JOIN an ON y.block = an.block AND y.cy >= an.pos),
+  hi AS (SELECT lo.*, an.pos AS hp, an.id AS hi FROM lo ASOF LEFT JOIN an ON lo.block = an.block AND lo.cy <= an.pos),
+  vl AS (SELECT f.block, CASE WHEN lp IS NULL THEN hi.hi WHEN hp IS NULL OR f.cy - lp <= hp - f.cy THEN li ELSE hi.hi END AS row_no, col_no, string_agg(text, ' ' ORDER BY y0, x0, text) AS value FROM f JOIN hi ON f.block = hi.block AND f.cy = hi.cy WHERE NOT above GROUP BY ALL),
+  c AS (SELECT project_id, block, nb.row_no, hd.col_no, header, CASE WHEN header = 'mark' THEN {UPPER.format(c="coalesce(nullif(value, ''), m)")} ELSE coalesce(value, '') END AS value FROM nb JOIN hd USING (block) LEFT JOIN vl ON vl.block = nb.block AND vl.row_no = nb.row_no AND vl.col_no = hd.col_no)
+  SELECT project_id, block, row_no, col_no, header, value FROM c WHERE NOT starts_with(header, 'COLUMN_') OR (block, header) IN (SELECT (block, header) FROM c WHERE value <> '')""",
+    "v_words",
+)
 def _(t):
     return B.words_to_table(t.v_words, key=["project_id", "block"])
 

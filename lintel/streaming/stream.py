@@ -157,19 +157,16 @@ def admit_batch(df: DataFrame, key="user_id", ts="ts", limit=V.RATE_LIMIT, secon
     through a task in time order with ``limit`` times as its only state.
     """
     window = int(seconds * 1_000_000)
-    width = max(window * 64, 3_600_000_000)
     rows = trailing_count(df, key, ts, seconds, seq).withColumnRenamed(seq, "_seq")
     hot = rows.where(F.col("n_recent") > limit).select(key, "_us", "_seq")
     gap = F.col("_us") - F.col("_p") >= window
-    hot = islands(hot, [key], ["_us", "_seq"], "_us", "_p", "_us", gap, width, out="_run")
+    hot = islands(hot, [key], ["_us", "_seq"], "_us", "_p", "_us", gap, out="_run")
     line = rows.join(hot.select(key, "_us", "_seq", "_run"), [key, "_us", "_seq"], "left").withColumns(
         {
-            "_neg": -F.col("_us"),
-            "_nseq": -F.col("_seq"),
             "_h": F.when(F.col("_run").isNotNull(), F.struct(F.col("_us").alias("us"), F.col("_run").alias("run"))),
         }
     )
-    ahead = ordered_scan(line, [key], ["_neg", "_nseq"], "_neg", width, _next=("last", "_h"))
+    ahead = ordered_scan(line, [key], ["_us", "_seq"], "_us", _next=("next", "_h"))
     stretch = F.when(F.col("_next.us") - F.col("_us") < window, F.col("_next.run"))
     placed = ahead.select(key, "_seq", "_us", stretch.alias("_run"))
     free = placed.where("_run is null").select(key, "_seq", "_us", F.lit(True).alias("admitted"))

@@ -4,7 +4,6 @@ import __spark_entry__ as entry
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-EAGER = {"words_to_table"}  # these run stages while they build
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def test_query_matches_sql(spark, con, name):
     assert err is None, err
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_no_pairwise_plan(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

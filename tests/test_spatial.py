@@ -65,7 +65,7 @@ def test_nearest_1d_ties_and_hot_key(spark):
     pts = [("P", "1", i, float(rng.randint(-20, 420))) for i in range(300)]
     da = spark.createDataFrame(anchors, "project_id string, page_id string, anchor_id int, pos double")
     dp = spark.createDataFrame(pts, "project_id string, page_id string, id int, pos double")
-    got = {r["id"]: r["anchor_id"] for r in S.nearest_1d(dp, da, width=16.0).collect()}
+    got = {r["id"]: r["anchor_id"] for r in S.nearest_1d(dp, da, most=16).collect()}
     for _, _, i, pos in pts:
         assert got[i] == min(anchors, key=lambda a: (abs(a[3] - pos), a[3], a[2]))[2]
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintel.operators import tables as B
-from lintel.operators.scan import islands, ordered_scan
+from lintel.operators.scan import islands, ordered_scan, splitters
 
 WORD = "project_id string, page_id string, block int, line int, word int, x0 double, y0 double, x1 double, y1 double, text string"
 
@@ -31,6 +31,23 @@ def test_scan_equals_plain_windows_on_a_hot_key(spark):
     assert runs.exceptAll(plain).count() == 0
 
 
+def test_scan_of_a_key_whose_rows_are_all_close(spark):
+    rng = random.Random(4)
+    rows = [("a", rng.random() * 1e-3, i, rng.choice([None, 2, 7])) for i in range(1500)] + [(None, 5.0, i, i) for i in range(300)] + [("b", float(i), i, 1) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, pos double, id int, v int").repartition(5)
+    cuts = {r["_on_k"]: r["_cuts"] for r in splitters(df, ["k"], "pos", 100).collect()}
+    assert set(cuts) == {"a", None} and cuts[None] == [5.0]
+    held = [sum(sum(c < p for c in cuts["a"]) == i for k, p, _, _ in rows if k == "a") for i in range(len(cuts["a"]) + 1)]
+    assert len(held) > 200 and max(held) <= 30
+    specs = {"n": ("row_number", None), "s": ("sum", "v"), "m": ("max_before", "v"), "l": ("last", "v"), "x": ("next", "v"), "p": ("lag", "v")}
+    cut, whole = (ordered_scan(df, ["k"], ["pos", "id"], "pos", most, **specs) for most in (100, 10**6))
+    assert splitters(df, ["k"], "pos", 10**6) is None and cut.columns == whole.columns
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    w = "over (partition by k order by pos, id rows between"
+    want = df.selectExpr("*", f"max(v) {w} unbounded preceding and 1 preceding) m", f"first(v, true) {w} current row and unbounded following) x")
+    assert sorted(map(str, cut.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_join_words(spark):
     got = sorted((r["x0"], r["x1"], r["text"]) for r in B.join_words(page(spark, [(0, 10, 0, "D"), (11, 15, 0, "-1"), (30, 35, 0, "X"), (34, 40, 0, "Y")])).collect())
     assert got == [(0, 15, "D-1"), (30, 35, "X"), (34, 40, "Y")]
@@ -38,13 +55,13 @@ def test_join_words(spark):
 
 def test_merge_intervals(spark):
     df = spark.createDataFrame([("P", "1", a, b) for a, b in [(0.0, 10.0), (14.0, 20.0), (26.0, 30.0), (1.0, 3.0)]], "project_id string, page_id string, lo double, hi double")
-    for width in (4096.0, 3.0):
-        assert sorted((r["lo"], r["hi"]) for r in B.merge_intervals(df, width=width).collect()) == [(0, 20), (26, 30)]
+    for most in (4096, 2):
+        assert sorted((r["lo"], r["hi"]) for r in B.merge_intervals(df, most=most).collect()) == [(0, 20), (26, 30)]
 
 
 def test_group_rows_anchors_on_first_word(spark):
     ys = [0, 3, 5, 6, 9.5, 30]
-    got = {r["y0"]: r["row_start"] for r in B.group_rows(page(spark, [(0, 1, y, "w") for y in ys]), width=4.0).collect()}
+    got = {r["y0"]: r["row_start"] for r in B.group_rows(page(spark, [(0, 1, y, "w") for y in ys]), most=2).collect()}
     assert got == {0: 0, 3: 0, 5: 5, 6: 5, 9.5: 9.5, 30: 30}
 
 
