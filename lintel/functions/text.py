@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel import vocab as V
+from lintel.functions.blocks import ratio
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -289,9 +290,11 @@ def sf_material(c) -> Column:
     return ~m.isin(V.BLANK_STOREFRONT) & (hit | any_of(m, ["AL/GL", "GL/AL"]))
 
 
-def similarity(a, b) -> Column:
-    """0..1 likeness by edit distance."""
+def similarity(a, b, method="blocks") -> Column:
+    """0..1 likeness: the published ratio by matching ``blocks``, or by ``edit`` distance over the longer text."""
     a, b = mark_key(a), mark_key(b)
+    if method == "blocks":
+        return ratio(a, b)
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 

@@ -60,11 +60,11 @@ def vote(passes: DataFrame, mark="mark", key=("project_id", "page_id"), need=2)
     )
 
 
-def string_consensus(df: DataFrame, p1="pass_1", p2="pass_2", p3="pass_3", min=V.CONSENSUS_RATIO) -> DataFrame:
-    """Tag text agreed by two of three readings, else blank and for review."""
+def string_consensus(df: DataFrame, p1="pass_1", p2="pass_2", p3="pass_3", min=V.CONSENSUS_RATIO, method="blocks") -> DataFrame:
+    """Tag text agreed by two of three readings, else blank and for review; ``method`` as of similarity()."""
     a, b, c = F.col(p1), F.col(p2), F.col(p3)
     scored = df.withColumns(
-        {"_12": T.similarity(a, b), "_13": T.similarity(a, c), "_23": T.similarity(b, c)}
+        {"_12": T.similarity(a, b, method), "_13": T.similarity(a, c, method), "_23": T.similarity(b, c, method)}
     )
     pick = (
         F.when(F.col("_12") >= min, F.when(F.length(a) > 0, a).otherwise(b))

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel import vocab as V
@@ -28,8 +28,10 @@ def _list(x):
 def _cells(x0, y0, x1, y1, cell):
     """Array of grid cells covered by a rectangle."""
 
+    wide = cell if isinstance(cell, Column) else F.lit(cell)
+
     def span(a, b):
-        return F.sequence(F.floor(a / F.lit(cell)).cast("bigint"), F.floor(b / F.lit(cell)).cast("bigint"))
+        return F.sequence(F.floor(a / wide).cast("bigint"), F.floor(b / wide).cast("bigint"))
 
     return F.flatten(
         F.transform(
@@ -180,6 +182,92 @@ def _segment_distance(px, py, s="s"):
     return F.sqrt(F.pow(px - (x0 + t * dx), 2) + F.pow(py - (y0 + t * dy), 2))
 
 
+#: Pages with at most so many segments are searched whole. Each level of the pyramid reaches so many times farther; above the last a page is one cell.
+FEW_SEGMENTS, WIDER, LEVELS = 32, 3, 12
+
+
+def _pyramid(segs: DataFrame, reach, key) -> DataFrame:
+    """Segments by (key, _level, _cell): those within the level's reach of any place in the cell, and some more.
+
+    A level's cells are as wide as it reaches, ``reach`` times WIDER to the level. The last level has one cell.
+    """
+    level = segs.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    wide = F.lit(float(reach)) * F.pow(F.lit(float(WIDER)), F.col("_level"))
+    cover = _cells(
+        F.least("sx0", "sx1") - wide, F.least("sy0", "sy1") - wide, F.greatest("sx0", "sx1") + wide, F.greatest("sy0", "sy1") + wide, wide
+    )
+    pad = wide * (1 + math.sqrt(2) / 2)
+    cover = F.filter(cover, lambda c: _segment_distance((c["cx"] + 0.5) * wide, (c["cy"] + 0.5) * wide) <= pad)
+    whole = F.struct(F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"))
+    return level.withColumn("_cell", F.explode(cover)).unionByName(segs.select("*", F.lit(LEVELS).alias("_level"), whole.alias("_cell")))
+
+
+def _cell_at(reach, level):
+    """The cell of (cx, cy) at a level of the pyramid."""
+    wide = F.lit(float(reach)) * F.pow(F.lit(float(WIDER)), level)
+    place = lambda c: F.when(level >= LEVELS, 0).otherwise(F.floor(F.col(c) / wide)).cast("bigint").alias(c)
+    return F.struct(place("cx"), place("cy"))
+
+
+def _many(segs: DataFrame, key) -> DataFrame:
+    """Pages with more than FEW_SEGMENTS segments."""
+    return segs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_SEGMENTS).select(*key)
+
+
+def _far_nearest(spots: DataFrame, segs: DataFrame, reach, key) -> DataFrame:
+    """(key, cx, cy, dist) of places to the nearest segment of their page, however far.
+
+    A place looks up its cell at each level; the first level whose cell holds anything has a segment within
+    (1 + sqrt 2) times its reach, so the level after it, which reaches WIDER times as far, holds the nearest.
+    """
+    dist = _segment_distance(F.col("cx"), F.col("cy"))
+    large = _many(segs, key)
+    near = spots.join(segs.join(large, key, "left_anti"), key).groupBy(*key, "cx", "cy").agg(F.min(dist).alias("dist"))
+    tall = _pyramid(segs.join(large, key, "left_semi"), reach, key)
+    held = tall.select(*key, "_level", "_cell").distinct()
+    asks = spots.join(large, key, "left_semi").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    asks = asks.withColumn("_cell", _cell_at(reach, F.col("_level")))
+    first = asks.join(held, [*key, "_level", "_cell"], "left_semi").groupBy(*key, "cx", "cy").agg(F.min("_level").alias("_level"))
+    first = first.withColumn("_level", F.least(F.col("_level") + 1, F.lit(LEVELS)))
+    first = first.withColumn("_cell", _cell_at(reach, F.col("_level")))
+    far = first.join(tall, [*key, "_level", "_cell"]).groupBy(*key, "cx", "cy").agg(F.min(dist).alias("dist"))
+    return near.unionByName(far)
+
+
+def _between(w="w", s="s"):
+    """How far two segments are apart: 0 where they cross, else as far as the nearest end of one from the other."""
+
+    def side(ax, ay, bx, by, px, py):
+        return F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
+
+    a, b = [f"{s}{c}" for c in BOX], [f"{w}{c}" for c in BOX]
+    crossing = (side(*a, *b[:2]) * side(*a, *b[2:]) < 0) & (side(*b, *a[:2]) * side(*b, *a[2:]) < 0)
+    ends = F.least(
+        _segment_distance(F.col(b[0]), F.col(b[1]), s), _segment_distance(F.col(b[2]), F.col(b[3]), s),
+        _segment_distance(F.col(a[0]), F.col(a[1]), w), _segment_distance(F.col(a[2]), F.col(a[3]), w),
+    )
+    return F.when(crossing, 0.0).otherwise(ends)
+
+
+def wall_offsets(walls: DataFrame, segs: DataFrame, reach, key) -> DataFrame:
+    """Walls (key, wx0, wy0, wx1, wy1) with ``_off``, their distance to the nearest segment of the page.
+
+    No segment nearer than the one nearest to a wall's middle is farther from the middle than that plus half the
+    wall, so one cell of the pyramid, at the level that reaches so far, holds the nearest.
+    """
+    large = _many(segs, key)
+    near = walls.join(segs.join(large, key, "left_anti"), key).groupBy(*walls.columns).agg(F.min(_between()).alias("_off"))
+    middle = walls.join(large, key, "left_semi").withColumns({"cx": (F.col("wx0") + F.col("wx1")) / 2, "cy": (F.col("wy0") + F.col("wy1")) / 2})
+    many = segs.join(large, key, "left_semi")
+    first = _far_nearest(middle.select(*key, "cx", "cy").distinct(), many, reach, key)
+    radius = F.col("dist") + F.hypot(F.col("wx1") - F.col("wx0"), F.col("wy1") - F.col("wy0")) / 2
+    steps = F.ceil(F.log(F.greatest(radius / reach, F.lit(1.0))) / math.log(WIDER) + 1e-9)
+    asks = middle.join(first, [*key, "cx", "cy"]).withColumn("_level", F.least(steps, F.lit(LEVELS)).cast("int"))
+    asks = asks.withColumn("_cell", _cell_at(reach, F.col("_level"))).drop("dist")
+    far = asks.join(_pyramid(many, reach, key), [*key, "_level", "_cell"]).groupBy(*walls.columns).agg(F.min(_between()).alias("_off"))
+    return near.unionByName(far)
+
+
 def host_distance(points: DataFrame, walls: DataFrame, segments: DataFrame, dist: DataFrame, reach=V.HOST_WALL_REACH, key=("project_id", "page_id"), point_id="point_id") -> DataFrame:
     """``dist`` (point_id, dist to the boundary) with ``host_dist``: how far the host wall is from the boundary.
 
@@ -190,17 +278,7 @@ def host_distance(points: DataFrame, walls: DataFrame, segments: DataFrame, dist
     key = _list(key)
     wall = walls.select(*key, *[F.col(c).alias(f"w{c}") for c in BOX]).distinct()
     segs = segments.select(*key, *[F.col(c).alias(f"s{c}") for c in BOX]).distinct()
-
-    def side(ax, ay, bx, by, px, py):
-        return F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
-
-    s, w = ("sx0", "sy0", "sx1", "sy1"), ("wx0", "wy0", "wx1", "wy1")
-    crossing = (side(*s, *w[:2]) * side(*s, *w[2:]) < 0) & (side(*w, *s[:2]) * side(*w, *s[2:]) < 0)
-    ends = F.least(
-        _segment_distance(F.col("wx0"), F.col("wy0")), _segment_distance(F.col("wx1"), F.col("wy1")),
-        _segment_distance(F.col("sx0"), F.col("sy0"), "w"), _segment_distance(F.col("sx1"), F.col("sy1"), "w"),
-    )
-    off = wall.join(segs, key).groupBy(*wall.columns).agg(F.min(F.when(crossing, 0.0).otherwise(ends)).alias("_off"))
+    off = wall_offsets(wall, segs, reach, key)
     cover = _cells(F.least("wx0", "wx1") - reach, F.least("wy0", "wy1") - reach, F.greatest("wx0", "wx1") + reach, F.greatest("wy0", "wy1") + reach, reach)
     pad = reach * (1 + math.sqrt(2) / 2)
     cover = F.filter(cover, lambda c: _segment_distance((c["cx"] + 0.5) * F.lit(reach), (c["cy"] + 0.5) * F.lit(reach), "w") <= pad)
@@ -215,45 +293,14 @@ def host_distance(points: DataFrame, walls: DataFrame, segments: DataFrame, dist
 def nearest_segment(points: DataFrame, segments: DataFrame, bands=V.BOUNDARY_BANDS, cell=None, key=("project_id", "page_id"), point_id="point_id") -> DataFrame:
     """Distance to the nearest boundary segment of the page, and its zone.
 
-    Segments near a point are found by grid cell. Points that have none within the outer band are
-    measured against the segments of their page, which are outlines and few. Pages without any
-    segment have no distance and are borderline.
+    Segments near a point are found by grid cell; points that have none within the outer band look in wider
+    and wider cells. Pages of a few segments are searched whole. Pages without any segment have no distance and are borderline.
     """
     key = _list(key)
     near, reach = bands
-    cell = cell or reach
-    pad = reach + cell * math.sqrt(2) / 2
     segs = segments.select(*key, *[F.col(c).alias(f"s{c}") for c in BOX]).distinct()
-    cover = _cells(
-        F.least("sx0", "sx1") - reach, F.least("sy0", "sy1") - reach,
-        F.greatest("sx0", "sx1") + reach, F.greatest("sy0", "sy1") + reach, cell,
-    )
-    # Long slanted segments: keep only the cells whose centre the segment comes close to.
-    cover = F.filter(
-        cover, lambda c: _segment_distance((c["cx"] + 0.5) * F.lit(cell), (c["cy"] + 0.5) * F.lit(cell)) <= pad
-    )
-    spread = segs.withColumn("_cell", F.explode(cover))
-    spots = (
-        points.select(*key, "cx", "cy")
-        .distinct()
-        .withColumn(
-            "_cell",
-            F.struct(
-                F.floor(F.col("cx") / F.lit(cell)).cast("bigint").alias("cx"),
-                F.floor(F.col("cy") / F.lit(cell)).cast("bigint").alias("cy"),
-            ),
-        )
-    )
-    dist = _segment_distance(F.col("cx"), F.col("cy"))
-    best = (
-        spots.join(spread, [*key, "_cell"])
-        .withColumn("d", dist)
-        .where(F.col("d") <= reach)
-        .groupBy(*key, "cx", "cy")
-        .agg(F.min("d").alias("dist"))
-    )
-    far = spots.drop("_cell").join(best, [*key, "cx", "cy"], "left_anti").join(segs, key)
-    best = best.unionByName(far.withColumn("d", dist).groupBy(*key, "cx", "cy").agg(F.min("d").alias("dist")))
+    spots = points.select(*key, "cx", "cy").distinct()
+    best = _far_nearest(spots, segs, cell or reach, key)
     d = F.col("dist")
     zone = (
         F.when(d.isNull(), "borderline")
@@ -395,28 +442,20 @@ def _greedy(spots: DataFrame, eps: float, key: list[str]) -> DataFrame:
 def leaf_groups(paths: DataFrame, eps=V.LEAF_EPS, key=("project_id", "page_id", "mark_id")) -> DataFrame:
     """Number of separate swing-arc groups per mark: arcs within ``eps`` of any member join.
 
-    Input is the distinct arc centres around one mark (see :func:`arcs_near`), a handful that
-    the search radius bounds, so each mark is one small task group.
+    Input is the distinct arc centres around one mark (see :func:`arcs_near`), which the search radius
+    bounds. Centres are taken in turn; each joins the groups it is near into one.
     """
     key = _list(key)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["cx", "cy"]].to_numpy(dtype=float)
-        todo, n = np.ones(len(xy), dtype=bool), 0
-        while todo.any():
-            front = [int(np.argmax(todo))]
-            todo[front[0]] = False
-            n += 1
-            while front:
-                d = np.hypot(*(xy - xy[front.pop()]).T)
-                hit = np.nonzero(todo & (d < eps))[0]
-                todo[hit] = False
-                front.extend(hit.tolist())
-        return pd.DataFrame([[*pdf[key].iloc[0], n]], columns=[*key, "leaf_groups"])
-
-    points = paths.select(*key, "cx", "cy").distinct()
-    fields = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in key)
-    return points.groupBy(*key).applyInPandas(count, f"{fields}, leaf_groups int")
+    def take(groups, p):
+        near = lambda g: F.exists(g, lambda q: F.hypot(q["cx"] - p["cx"], q["cy"] - p["cy"]) < F.lit(eps))
+        one = F.concat(F.flatten(F.filter(groups, near)), F.array(p))
+        return F.concat(F.filter(groups, lambda g: ~near(g)), F.array(one))
+
+    centre = F.struct(F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
+    arcs = paths.groupBy(*key).agg(F.array_sort(F.collect_set(centre)).alias("_p"))
+    none = F.array().cast("array<array<struct<cx:double,cy:double>>>")
+    return arcs.select(*key, F.size(F.aggregate("_p", none, take)).cast("int").alias("leaf_groups"))
 
 
 def arcs_near(marks: DataFrame, paths: DataFrame, r=V.ARC_RADIUS, key=("project_id", "page_id"), mark_id="mark_id") -> DataFrame:

@@ -349,6 +349,18 @@ def readings(t):
     )
 
 
+def blocks_sql(pairs: str) -> str:
+    """CTE ``ratios`` (a, b, ratio) by matching blocks of the pairs (a, b) of texts under 200 letters; needs WITH RECURSIVE."""
+    size = "coalesce(list_max(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda k: substr(a, i + 1, k) = substr(b, j + 1, k))), 0)"
+    best = "list_sort(flatten(list_transform(range({alo}, {ahi}), lambda i: list_transform(range({blo}, {bhi}), lambda j: {{'n': -" + size + ", 'i': i, 'j': j}}))))[1]"
+    cut = lambda alo, ahi, blo, bhi: best.format(alo=alo, ahi=ahi, blo=blo, bhi=bhi)
+    return f"""pairs AS (SELECT DISTINCT a, b FROM {pairs} WHERE a <> '' AND b <> ''),
+  seg AS (SELECT a, b, 0::BIGINT AS alo, length(a) AS ahi, 0::BIGINT AS blo, length(b) AS bhi, {cut("0", "length(a)", "0", "length(b)")} AS m FROM pairs
+   UNION ALL SELECT a, b, c.alo, c.ahi, c.blo, c.bhi, {cut("c.alo", "c.ahi", "c.blo", "c.bhi")} FROM (SELECT a, b, unnest([{{'alo': alo, 'ahi': m.i, 'blo': blo, 'bhi': m.j}}, {{'alo': m.i - m.n, 'ahi': ahi, 'blo': m.j - m.n, 'bhi': bhi}}]) AS c
+    FROM seg WHERE m.n < 0) WHERE c.alo < c.ahi AND c.blo < c.bhi),
+  ratios AS (SELECT a, b, 2.0::DOUBLE * sum(-m.n) / (length(a) + length(b)) AS ratio FROM seg GROUP BY a, b)"""
+
+
 LEV = "1.0::DOUBLE - levenshtein(upper({a}), upper({b})) / greatest(length({a}), length({b}))"
 
 
@@ -360,7 +372,34 @@ LEV = "1.0::DOUBLE - levenshtein(upper({a}), upper({b})) / greatest(length({a}),
    WHEN {LEV.format(a='a', b='c')} >= 0.8 THEN a WHEN {LEV.format(a='b', b='c')} >= 0.8 THEN b END AS r FROM x)""",
 )
 def _(t):
-    return N.string_consensus(readings(t)).select("p_partkey", "resolved", "needs_review")
+    return N.string_consensus(readings(t), method="edit").select("p_partkey", "resolved", "needs_review")
+
+
+@q(
+    "text_similarity_blocks",
+    f"""WITH RECURSIVE x AS (SELECT p_partkey, upper(p_name) AS a, upper(p_type || ' ' || p_name || p_brand) AS b FROM part), {blocks_sql("x")}
+  SELECT p_partkey, ratio AS likeness, 1.0::DOUBLE - levenshtein(x.a, x.b) / greatest(length(x.a), length(x.b)) AS by_edits FROM x JOIN ratios USING (a, b)""",
+)
+def _(t):
+    other = F.concat("p_type", F.lit(" "), "p_name", "p_brand")
+    return t.part.select("p_partkey", T.similarity("p_name", other).alias("likeness"), T.similarity("p_name", other, "edit").alias("by_edits"))
+
+
+BRANDED = """SELECT p_partkey, upper(a) AS a, upper(b) AS b, upper(c) AS c FROM (SELECT p_partkey, p_name AS a, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS b,
+   CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_type || p_brand END AS c FROM part)"""
+
+
+@q(
+    "string_consensus",
+    f"""WITH RECURSIVE x AS ({BRANDED}), {blocks_sql("(SELECT a, b FROM x UNION SELECT a, c FROM x UNION SELECT b, c FROM x)")}
+  SELECT p_partkey, coalesce(r, '') AS resolved, r IS NULL AS needs_review FROM (SELECT p_partkey, CASE WHEN ab.ratio >= 0.8 THEN x.a WHEN ac.ratio >= 0.8 THEN x.a WHEN bc.ratio >= 0.8 THEN x.b END AS r
+   FROM x JOIN ratios ab ON ab.a = x.a AND ab.b = x.b JOIN ratios ac ON ac.a = x.a AND ac.b = x.c JOIN ratios bc ON bc.a = x.b AND bc.b = x.c)""",
+)
+def _(t):
+    turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    third = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.concat("p_type", "p_brand"))
+    shown = t.part.select("p_partkey", F.upper("p_name").alias("pass_1"), F.upper(turned).alias("pass_2"), F.upper(third).alias("pass_3"))
+    return N.string_consensus(shown).select("p_partkey", "resolved", "needs_review")
 
 
 # First rows, ids, evidence ------------------------------------------------------------------

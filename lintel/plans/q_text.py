@@ -437,7 +437,7 @@ def _(t):
     "SELECT p_partkey, 1.0::DOUBLE - levenshtein(upper(p_name), upper(p_type)) / greatest(length(p_name), length(p_type)) AS likeness FROM part",
 )
 def _(t):
-    return t.part.select("p_partkey", T.similarity("p_name", "p_type").alias("likeness"))
+    return t.part.select("p_partkey", T.similarity("p_name", "p_type", "edit").alias("likeness"))
 
 
 # Rules ---------------------------------------------------------------------------------------

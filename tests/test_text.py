@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lintel.functions import text as T
@@ -87,3 +89,32 @@ def test_canonical_header_depends_on_table(spark):
 def test_drop_unmarked(spark):
     df = spark.createDataFrame([("D1",), ("Width",), (" ",), (None,)], "mark string")
     assert [r["mark"] for r in T.drop_unmarked(df).collect()] == ["D1"]
+
+
+def test_block_ratio_is_the_published_one(spark):
+    from difflib import SequenceMatcher
+
+    from lintel.functions import blocks
+
+    rng = random.Random(11)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("D-101", "D101"), ("WIKIMEDIA", "WIKIMANIA"), ("ab" * 150, "ba" * 140), ("x" * 300, "x" * 300), ("é漢😀", "漢é😀")]
+    pairs += [(word(rng.randint(0, 14), "ABC-1"), word(rng.randint(0, 14), "ABC-1")) for _ in range(600)]
+    pairs += [(word(rng.randint(150, 420), s), word(rng.randint(190, 420), s)) for s in ("ab", "abcdefghijklmnopqrstuvwxyz0123456789", "aaaaaaaaaaaaaaaaaaaaaaaaaaaab") for _ in range(6)]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    got = blocks.ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == want
+    assert sum(abs(w - (1 - _edits(a, b) / max(len(a), len(b), 1))) > 0.05 for (a, b), w in zip(pairs[:300], want)) > 100
+    df = spark.createDataFrame([(i, f" {a.lower()}", b) for i, (a, b) in enumerate(pairs[:200])] + [(900, None, "a")], "i int, a string, b string")
+    got = {r["i"]: r["s"] for r in df.repartition(3).select("i", T.similarity("a", "b").alias("s")).collect()}
+    assert got[900] is None
+    assert all(got[i] == SequenceMatcher(None, a.upper().strip(), b.upper().strip()).ratio() for i, (a, b) in enumerate(pairs[:200]))
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
