@@ -224,48 +224,85 @@ def audit(rows: DataFrame, audit_marks: DataFrame, page=("project_id", "page_id"
     )
 
 
+#: Edits up to which texts meet on what deletions leave of them.
+DELETIONS = 2
+
+
+def _deletions(text, most: int):
+    """What is left of a text after up to ``most`` deletions."""
+    less = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+    out = level = F.array(text)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda t: F.length(t) > 0), less)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def _close_candidates(parts: DataFrame, words: DataFrame, key) -> DataFrame:
+    """(key, part, _w) of all pairs no more edits apart than both allow (``_k``), and some others.
+
+    Up to two edits: texts that far apart leave a common text after as many deletions in each. More, where a part has more than
+    GRAM k pieces of GRAM letters: k edits leave one whole, shifted by k places at most, and the rarest one left whole
+    is among the GRAM k + 1 rarest of both texts. Short parts with many edits allowed, which nearly everything
+    resembles: of k + 1 consecutive stretches one stays whole, shifted by k places at most.
+    """
+    part, word = (df.select(*key, F.col(c).alias("_t"), "_k") for df, c in ((parts, "part"), (words, "_w")))
+    few, pieced = F.col("_k") <= DELETIONS, F.length("_t") - GRAM + 1 > GRAM * F.col("_k")
+    left_over = F.when(F.col("_k") <= 0, F.array("_t")).when(F.col("_k") == 1, _deletions(F.col("_t"), 1)).otherwise(_deletions(F.col("_t"), DELETIONS))
+    a, b = (df.select(*key, F.col("_t").alias(c), F.explode(left_over).alias("_g")) for df, c in ((part.where(few), "part"), (word, "_w")))
+    near = a.join(b, [*key, "_g"]).select(*key, "part", "_w")
+
+    def pieces(df):
+        places = F.sequence(F.lit(1), F.length("_t") - GRAM + 1)
+        each = F.explode(F.transform(places, lambda i: F.struct(F.substr(F.col("_t"), i, F.lit(GRAM)).alias("g"), i.alias("at"))))
+        return df.where(F.length("_t") >= GRAM).select(*key, "_t", "_k", each.alias("p"))
+
+    rarity = pieces(word).groupBy(*key, F.col("p.g").alias("_g")).agg(F.count_distinct("_t").alias("_n"))
+
+    def rarest(df, name):
+        ranked = pieces(df).withColumn("_g", F.col("p.g")).join(rarity, [*key, "_g"], "left")
+        order = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"), F.col("p.at").alias("at"))
+        kept = ranked.groupBy(*key, "_t", "_k").agg(F.slice(F.array_sort(F.collect_list(order)), F.lit(1), GRAM * F.col("_k") + 1).alias("ps"))
+        return kept.select(*key, F.col("_t").alias(name), F.col("_k").alias(f"_k{name}"), F.explode("ps").alias("p")).select(*key, name, f"_k{name}", F.col("p.g").alias("_g"), F.col("p.at").alias(f"_at{name}"))
+
+    a, b = rarest(part.where(~few & pieced), "part"), rarest(word, "_w")
+    far = a.join(b, [*key, "_g"]).where(F.abs(F.col("_atpart") - F.col("_at_w")) <= F.least("_kpart", "_k_w")).select(*key, "part", "_w")
+
+    n, k = F.length("_t"), F.col("_k")
+
+    def stretch(i):
+        lo, hi = F.floor(i * n / (k + 1)).cast("int"), F.floor((i + 1) * n / (k + 1)).cast("int")
+        return F.struct(lo.alias("at"), F.substring(F.col("_t"), lo + 1, hi - lo).alias("g"))
+
+    cut = part.where(~few & ~pieced).select(*key, "_t", "_k", F.explode(F.transform(F.sequence(F.lit(0), k), stretch)).alias("p"))
+    cut = cut.select(*key, F.col("_t").alias("part"), F.col("p.g").alias("_g"), F.explode(F.expr("sequence(p.at - _k, p.at + _k)")).alias("_at"))
+    sizes = cut.select(*key, F.length("_g").alias("_len")).distinct()
+    places = F.explode(F.sequence(F.lit(0), F.length("_t") - F.col("_len"))).alias("_at")
+    held = word.join(sizes, key).where(F.length("_t") >= F.col("_len")).select(*key, F.col("_t").alias("_w"), "_len", places)
+    held = held.withColumn("_g", F.substr(F.col("_w"), F.col("_at") + 1, F.col("_len"))).drop("_len")
+    loose = cut.join(held, [*key, "_g", "_at"]).select(*key, "part", "_w")
+    return near.unionByName(far).unionByName(loose).distinct()
+
+
 def fuzzy_best(left: DataFrame, right: DataFrame, min_ratio=0.8, key=("project_id",), name="name", name_id="name_id", word="text", word_id="word_id") -> DataFrame:
     """Best word for each name part of three letters or more, by edit distance above ``min_ratio``.
 
-    Blocking is exact: a text of length n cut into k+1 pieces keeps one piece whole under k
-    edits, shifted by at most k, so pairs meet on equal (piece, offset) before scoring.
+    Pairs meet on what deletions leave of them, or on their rarest pieces (see :func:`_close_candidates`), and are scored once.
     """
     key = _list(key)
     parts = (
         left.select(*key, name_id, F.posexplode(F.split(F.upper(T.strip(name)), r"\s+")).alias("part_no", "part"))
         .where(F.length("part") >= 3)
     )
-    uniq_part = parts.select(*key, "part").distinct()
     words = right.select(*key, F.upper(T.strip(word)).alias("_w"), word_id).where("_w <> ''")
     best_id = words.groupBy(*key, "_w").agg(F.min(word_id).alias(word_id))
 
     # ratio > r means distance < (1 - r) * longest, and longest is below n / r.
-    n = F.length("part")
-    edits = F.floor((F.lit(1.0) - F.lit(min_ratio)) * F.ceil(n / F.lit(min_ratio)) + F.lit(1e-9)).cast("int")
-    k = F.col("_k")
-    longest_piece = math.ceil(min_ratio / (1 - min_ratio)) + 1
+    def edits(c):
+        return F.floor((F.lit(1.0) - F.lit(min_ratio)) * F.ceil(F.length(c) / F.lit(min_ratio)) + F.lit(1e-9)).cast("int")
 
-    def piece(i):
-        lo, hi = F.floor(i * n / (k + 1)).cast("int"), F.floor((i + 1) * n / (k + 1)).cast("int")
-        return F.struct(lo.alias("at"), F.substring(F.col("part"), lo + 1, hi - lo).alias("piece"))
-
-    left_pieces = (
-        uniq_part.withColumn("_k", edits)
-        .select(*key, "part", "_k", F.explode(F.transform(F.sequence(F.lit(0), k), piece)).alias("p"))
-        .select(*key, "part", "_k", "p.piece", F.explode(F.expr("sequence(p.at - _k, p.at + _k)")).alias("at"))
-    )
-    grams = best_id.select(*key, "_w", F.explode(F.sequence(F.lit(0), F.length("_w") - 1)).alias("at")).select(
-        *key, "_w", "at", F.explode(F.sequence(F.lit(1), F.lit(longest_piece))).alias("_len")
-    )
-    grams = grams.where("at + _len <= length(_w)").select(
-        *key, "_w", "at", F.substring(F.col("_w"), F.col("at") + 1, F.col("_len")).alias("piece")
-    )
-    pairs = (
-        left_pieces.join(grams, [*key, "piece", "at"])
-        .where(F.abs(F.length("part") - F.length("_w")) <= F.col("_k"))
-        .select(*key, "part", "_w")
-        .distinct()
-    )
+    uniq_part = parts.select(*key, "part").distinct().withColumn("_k", edits("part"))
+    pairs = _close_candidates(uniq_part, best_id.select(*key, "_w").withColumn("_k", edits("_w")), key)
     ratio = F.lit(1.0) - F.levenshtein("part", "_w") / F.greatest(F.length("part"), F.length("_w"))
     best = (
         pairs.withColumn("ratio", ratio)

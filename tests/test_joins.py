@@ -56,6 +56,55 @@ def test_fuzzy_best_is_exact(spark):
         assert got == want
 
 
+def test_fuzzy_best_on_long_words_meets_on_rare_pieces(spark):
+    rng = random.Random(12)
+    stem = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(12, 24))) for _ in range(60)]
+
+    def noisy(w, n):
+        for _ in range(n):
+            i = rng.randrange(len(w))
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("ABCXYZ") + w[i + 1 :], w[:i] + rng.choice("ABCXYZ") + w[i:]])
+        return w
+
+    # every word begins alike, so the first pieces are held by all
+    words = [(i, "DOOR" + noisy(w, rng.randint(0, 6))) for i, w in enumerate(stem)]
+    names = [(i, "DOOR" + w) for i, w in enumerate(stem)]
+    right = spark.createDataFrame([("P", w, i) for i, w in words], "project_id string, text string, word_id int")
+    left = spark.createDataFrame([("P", i, n) for i, n in names], "project_id string, name_id int, name string")
+    got = {r["name_id"]: r["text"] for r in J.fuzzy_best(left, right).collect()}
+    want = {}
+    for i, n in names:
+        scored = [(-(1 - _lev(n, w) / max(len(n), len(w))), w) for _, w in words]
+        if any(-s > 0.8 for s, _ in scored):
+            want[i] = min(scored)[1]
+    assert got == want and 20 < len(want) < 60
+    parts = spark.createDataFrame([("P", n, 4) for _, n in names], "project_id string, part string, _k int")
+    cand = J._close_candidates(parts, spark.createDataFrame([("P", w, 4) for _, w in words], "project_id string, _w string, _k int"), ["project_id"])
+    assert cand.count() < 300
+
+
+def test_containment_looks_up_the_rarest_piece(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    inner = sorted({word(rng.randint(1, 6)) for _ in range(120)} | {"the door", "xyz", "q"})
+    outer = sorted({word(rng.randint(1, 30)) for _ in range(150)} | {"the door " * 3, "the d", "z"} | {"common the " + word(9) for _ in range(200)})
+    a = spark.createDataFrame([(p, x) for p in ("P", "Q") for x in inner], "project_id string, _in string")
+    b = spark.createDataFrame([("P", x) for x in outer], "project_id string, _out string")
+    got = {(r["_in"], r["_out"]) for r in J.containing(a, b, ["project_id"]).collect()}
+    assert got == {(i, o) for i in inner for o in outer if i in o}
+    one = a.where("_in = 'the door'")
+    assert J.containing_candidates(one, b, ["project_id"]).count() == 1
+
+
+def test_containment_in_a_very_long_text(spark):
+    rng = random.Random(14)
+    text = "".join(rng.choice("ABCDEFGHIJ") for _ in range(100_000))
+    marks = [text[5000:5012], text[-9:], "K1", text[:1], "ZZTOP"]
+    t = spark.createDataFrame([("P", 1, text), ("P", 2, text[5003:5009])], "project_id string, text_id int, text string")
+    got = {r["text_id"]: r["mark"] for r in J.contains_join(t, spark.createDataFrame([("P", m) for m in marks], MARK)).collect()}
+    assert got == {1: marks[0], 2: marks[0]}
+
+
 def test_expand_instances_keeps_unlocated(spark):
     rows = spark.createDataFrame([("P", 1, "D1", "D1 COPY"), ("P", 2, "D2", ""), ("P", 3, "D1", None)], "project_id string, row_no int, mark string, original_mark string")
     det = spark.createDataFrame([("P", "D1", "a"), ("P", "D1 COPY", "b"), ("P", "X", "c")], "project_id string, mark string, det_id string")
