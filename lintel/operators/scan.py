@@ -9,8 +9,9 @@ summary row a piece carries across. Where no key is that large the scan is one p
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a key that one task scans, and pieces that a larger one is cut into.
@@ -145,12 +146,23 @@ def islands(df: DataFrame, key, order, lead, prev, value, is_break, most=MOST, c
     return ordered_scan(rows, key, order, lead, cuts=cuts, **{out: ("sum", "_opens")}).drop("_opens")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Spark's reliable checkpoint in the folder the session names; on a local master, where none is set, in one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; on a local master, where none is set, one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that Spark writes."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Spark's reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintel.operators.scan import scratch_folder
 from lintel.operators.takeoff import takeoff_run
 from lintel.plans import q_joins as QJ
 from lintel.plans import q_tables as QB
 from lintel.plans import q_text as QT
 from lintel.plans.views import catalog
+from lintel.sources import io as IO
 
 q = catalog.add
 
@@ -79,3 +81,12 @@ def _(t):
 )
 def _(t):
     return run(t).assumption_log
+
+
+@q("takeoff_written", catalog.sql_body["takeoff_log"], *QB.TRACK_VIEWS)
+def _(t):
+    """All four tables written as one result; the log read back from it."""
+    folder = scratch_folder(t.spark, "takeoff")
+    IO.write_takeoff(run(t).outputs(), folder)
+    written = IO.read_takeoff(t.spark, folder)
+    return written["assumption_log"].select("project_id", "id", "building", "floor", "item", "issue", "source", "action")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -156,19 +158,44 @@ TAKEOFF_TABLES = ("door_schedule", "unit_count", "unit_door", "assumption_log")
 
 
 def write_takeoff(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
-    """Write each takeoff table below ``path``, partitioned by project where it has one."""
-    written = []
-    for name, df in tables.items():
+    """Write the takeoff tables below ``path`` as one result, and return where they lie.
+
+    Each call writes a folder of its own; only when all its tables are there does one row in ``path``/commits name it.
+    Until then, and if any table fails, :func:`read_takeoff` gives the result before. Rows of a project are put
+    together, a large project over several files.
+    """
+    for name in tables:
         if name not in TAKEOFF_TABLES:
             raise ValueError(f"unknown takeoff table {name}")
-        writer = df.write.mode("overwrite").format(fmt)
+    run = uuid.uuid4().hex
+    for name, df in tables.items():
+        writer = (df.hint("rebalance", "project_id") if "project_id" in df.columns else df).write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
         if "project_id" in df.columns:
             writer = writer.partitionBy("project_id")
-        writer.save(f"{path}/{name}")
-        written.append(f"{path}/{name}")
-    return written
+        writer.save(f"{path}/{run}/{name}")
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        commit = spark.range(1).select(F.lit(run).alias("run"), F.lit(fmt).alias("fmt"), F.current_timestamp().alias("at"), F.array(*map(F.lit, tables)).alias("tables"))
+        commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return [f"{path}/{run}/{name}" for name in tables]
+
+
+def read_takeoff(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the last result that was written whole; none before the first."""
+    try:
+        last = spark.read.parquet(f"{path}/commits").orderBy(F.desc("at"), "run").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    (c,) = last
+    return {name: _text_projects(spark.read.format(c["fmt"]).option("header", True).load(f"{path}/{c['run']}/{name}")) for name in c["tables"]}
+
+
+def _text_projects(df: DataFrame) -> DataFrame:
+    return df.withColumn("project_id", F.col("project_id").cast("string")) if "project_id" in df.columns else df
 
 
 def cells_to_rows(cells: DataFrame, r="r", c="c", v="value", columns=(), key=("sheet",)) -> DataFrame:

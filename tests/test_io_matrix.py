@@ -1,5 +1,6 @@
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lintel.operators import changes as H
@@ -40,11 +41,39 @@ def test_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([("P", "D1", 2)], "project_id string, mark string, qty int")
     paths = IO.write_takeoff({"door_schedule": df, "assumption_log": df}, str(tmp_path / "out"))
     assert spark.read.parquet(paths[0]).select(df.columns).collect() == df.collect()
+    got = IO.read_takeoff(spark, str(tmp_path / "out"))
+    assert set(got) == {"door_schedule", "assumption_log"} and got["door_schedule"].select(df.columns).collect() == df.collect()
     words = spark.createDataFrame([("P", "1", 0.0, 0.0, 1.0, 1.0, "a", 0, 0, 0)], IO.PAGE_WORD)
     words.write.json(str(tmp_path / "w.json"))
     assert IO.read_page_words(spark, str(tmp_path / "w.json")).collect() == words.collect()
 
 
+def test_a_takeoff_is_written_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "out")
+    frame = lambda *rows: spark.createDataFrame(rows, "project_id string, mark string, qty int")
+    assert IO.read_takeoff(spark, path) == {}
+    IO.write_takeoff({"door_schedule": frame(("007", "D1", 1)), "unit_door": frame(("P", "D2", 2))}, path)
+    broken = frame(("P", "D3", 3)).withColumn("qty", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        IO.write_takeoff({"door_schedule": frame(("P", "D9", 9)), "unit_door": broken}, path)
+    with pytest.raises(ValueError):
+        IO.write_takeoff({"doors": broken}, path)
+    seen = IO.read_takeoff(spark, path)
+    assert [tuple(r) for r in seen["unit_door"].select("project_id", "mark", "qty").collect()] == [("P", "D2", 2)]
+    IO.write_takeoff({"door_schedule": frame(("P", "D4", 4), ("Q", "D5", 5))}, path, "csv")
+    seen = IO.read_takeoff(spark, path)
+    assert set(seen) == {"door_schedule"} and sorted(r["mark"] for r in seen["door_schedule"].collect()) == ["D4", "D5"]
+
+
+def test_page_readers(spark, tmp_path):
+    paths = spark.createDataFrame([("P", "1", i, 0.0, 0.0, 1.0, float(i), i % 2 == 0, False, 0.5, None) for i in range(5)], IO.PAGE_PATH)
+    paths.write.parquet(str(tmp_path / "paths"))
+    assert sorted(map(tuple, IO.read_page_paths(spark, str(tmp_path / "paths")).collect()), key=str) == sorted(map(tuple, paths.collect()), key=str)
+    det = spark.createDataFrame([("P", 1, "D1", 2, "Level 2", 0, 3, 1.5, 2.5, (0.0, 0.0, 1.0, 1.0), "Hall", "Interior", "SGL", "INT", "DRY", 4.0, False)], IO.DETECTION)
+    det.write.json(str(tmp_path / "det.jsonl"))
+    assert IO.read_detections(spark, str(tmp_path / "det.jsonl")).collect() == det.collect()
+
+
 def test_upsert(spark):
     a = spark.createDataFrame([(1, "a", 1), (2, "b", 9)], "id int, v string, seq int")
     b = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id int, v string, seq int")
