@@ -91,8 +91,15 @@ def qa_gates(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), gates)
 
 
+def missing_marks(expected: DataFrame, actual: DataFrame, id="det_id", mark="mark", key=("project_id",)) -> DataFrame:
+    """Marks with detections that have no highlight, a row each: (key, mark, n_missing)."""
+    key = _list(key)
+    lost = expected.select(*key, id, mark).join(actual.select(*key, id).distinct(), [*key, id], "left_anti")
+    return lost.groupBy(*key, mark).agg(F.count(F.lit(1)).alias("n_missing"))
+
+
 def self_check(expected: DataFrame, actual: DataFrame, id="det_id", mark="mark", key=("project_id",)) -> DataFrame:
-    """Detections against highlights per project, with the marks left without one."""
+    """Detections against highlights per project, with the marks left without one in one text; as rows: missing_marks()."""
     key = _list(key)
     both = expected.select(*key, id, mark).join(
         actual.select(*key, id).distinct().withColumn("_hit", F.lit(True)), [*key, id], "left"

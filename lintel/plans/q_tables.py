@@ -369,6 +369,11 @@ def _(t):
     return Q.self_check(t.v_det, t.v_det.where("supp_no % 10 <> 3"))
 
 
+@q("missing_annotations", "SELECT project_id, mark, CAST(count(*) AS BIGINT) AS n_missing FROM v_det WHERE supp_no % 10 = 3 GROUP BY ALL", "v_det")
+def _(t):
+    return Q.missing_marks(t.v_det, t.v_det.where("supp_no % 10 <> 3"))
+
+
 PROFILED = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 

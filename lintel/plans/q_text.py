@@ -111,6 +111,12 @@ def _(t):
     )
 
 
+@q("quarantined_rows", "SELECT event_id, event_id % 4 = 3 AS unreadable FROM events")
+def _(t):
+    ok, bad = IO.quarantine(t.events.select("event_id", F.expr(NOISY).alias("txt")), "txt")
+    return ok.select("event_id", F.lit(False).alias("unreadable")).unionByName(bad.select("event_id", F.lit(True).alias("unreadable")))
+
+
 @q("quarantine", "SELECT CAST(count(*) FILTER (event_id % 4 < 3) AS BIGINT) AS ok_rows, CAST(count(*) FILTER (event_id % 4 = 3) AS BIGINT) AS bad_rows FROM events")
 def _(t):
     ok, bad = IO.quarantine(t.events.select(F.expr(NOISY).alias("txt")), "txt")
@@ -160,6 +166,21 @@ SAID = """CASE turn % 4 WHEN 0 THEN 'Set floor height to ' || CAST(conv_id % 20
   ELSE '' END || text"""
 
 
+TOLD = """CASE p_partkey % 5 WHEN 0 THEN 'Set wall thickness to ' || (p_size * 10) || ' mm please' WHEN 1 THEN 'FOUNDATION depth is ' || p_size || ' ft'
+  WHEN 2 THEN 'footing  depth to ' || p_size || '.5 m' WHEN 3 THEN 'Floor height is ' || p_size || ' foot' ELSE p_name END"""
+
+
+@q(
+    "command_units",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'outer_wall.thickness_m' WHEN 1 THEN 'foundation_depth_m' WHEN 2 THEN 'foundation_depth_m' WHEN 3 THEN 'floor_height_m' END AS parameter,
+  CASE p_partkey % 5 WHEN 0 THEN 'mm' WHEN 1 THEN 'ft' WHEN 2 THEN 'm' WHEN 3 THEN 'foot' END AS unit,
+  CASE p_partkey % 5 WHEN 0 THEN round(p_size * 10 * 0.001::DOUBLE, 3) WHEN 2 THEN p_size + 0.5::DOUBLE WHEN 4 THEN NULL ELSE round(p_size * 0.3048::DOUBLE, 2) END AS value FROM part""",
+)
+def _(t):
+    said = t.part.select("p_partkey", F.expr(TOLD).alias("said"))
+    return T.command_extract(said, "said").select("p_partkey", "parameter", "unit", "value")
+
+
 @q(
     "commands",
     """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'floor_height_m' WHEN 1 THEN 'outer_wall.thickness_m' WHEN 2 THEN 'num_floors' END AS parameter,
@@ -399,6 +420,15 @@ def _(t):
     )
 
 
+HUNG = """CASE p_partkey % 9 WHEN 0 THEN 'POCKET ' || p_name WHEN 1 THEN p_name || ' Barn door' WHEN 2 THEN 'Overhead sectional' WHEN 3 THEN 'coiling shutter ' || p_name
+  WHEN 4 THEN 'Roll-Up grille' WHEN 5 THEN 'BI-FOLD closet' WHEN 6 THEN 'pocket, coiling' WHEN 7 THEN 'bifold' ELSE p_name END"""
+
+
+@q("mechanism_words", "SELECT p_partkey, ['sliding', 'sliding', 'overhead', 'overhead', 'overhead', 'bi-fold', 'sliding', 'swing', 'swing'][p_partkey % 9 + 1] AS mechanism FROM part")
+def _(t):
+    return t.part.select("p_partkey", T.mechanism(F.expr(HUNG)).alias("mechanism"))
+
+
 @q("mechanism", "SELECT row_no, CASE WHEN contains(lower(location), 'roll-up') THEN 'overhead' ELSE 'swing' END AS mechanism FROM v_sched", "v_sched")
 def _(t):
     return t.v_sched.select("row_no", T.mechanism(F.concat_ws(" ", "location", "comments")).alias("mechanism"))

@@ -175,7 +175,6 @@ HIDDEN_COLUMNS = [
     "int/ext", "int_ext",
 ]
 
-# Evidence levels, strongest first.
 # Review items, in the order of the assumption log.
 QUEUE_TYPES = [
     "aluminium_exclusion_flag", "mark_not_located", "missing_from_plan", "ocr_cv_mismatch", "opening_mode_conflict", "orphan_plan_mark",
