@@ -150,6 +150,17 @@ def _graph(row) -> tuple[Graph, np.ndarray, np.ndarray]:
     return Graph(x, levels, links, row.entry), np.frombuffer(row.ids, np.int64), np.frombuffer(row.runs, np.int64)
 
 
+def with_ties(g: Graph, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
+    """The k + 1 nearest nodes found and all that are as near as the last; the search widens until it sees beyond the tie."""
+    start = g.descend(q, 0)
+    while True:
+        found = g.search(q, start, width, 0)
+        if len(found) <= k or found[-1][0] > found[k][0] or len(found) < width:
+            break
+        width *= 2
+    return [f for f in found if f[0] <= found[min(k, len(found) - 1)][0]]
+
+
 def _finder(k: int, width: int):
     def find(batches):
         for pdf in batches:
@@ -159,10 +170,10 @@ def _finder(k: int, width: int):
                 queries = np.frombuffer(row.q_vectors, np.float64).reshape(-1, row.dim)
                 for qid, q in zip(row.q_ids, queries, strict=True):
                     left = []
-                    for d, n in g.search(q, g.descend(q, 0), max(width, k + 1), 0)[: k + 1]:
+                    for d, n in with_ties(g, q, k, max(width, k + 1)):
                         own = ids[runs[n] : runs[n + 1]]
                         left += [(qid, int(v), d**0.5) for v in own[own != qid][:k]]  # ids of a node ascend, and all are equally near
-                    out += left[: 2 * k] if len(left) <= 2 * k else sorted(left, key=lambda r: (r[2], r[1]))[:k]
+                    out += sorted(left, key=lambda r: (r[2], r[1]))[:k]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return find
@@ -192,8 +203,9 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, width: int = SEARCH_WIDTH, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, embedding) over all shards.
 
-    Unusable queries get no rows. Rows with the query's own vec_id are not its candidates; repeated
-    rows of a vec_id count once. Ties go to the smaller vec_id. score is the Euclidean distance of
+    Unusable queries get no rows, and neither does an empty table. Rows with the query's own vec_id are not its
+    candidates; repeated rows of a vec_id count once. Ties go to the smaller vec_id, also where very many rows tie: a
+    shard's search goes on until it is past them. Other columns are ignored, whatever they are called. score is the Euclidean distance of
     the original vectors in double precision.
     """
     asked = queries.where(usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dim"))

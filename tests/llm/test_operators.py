@@ -129,6 +129,30 @@ def test_quality_rules_need_evidence_and_keep_the_good(spark):
     assert {d for d, _, _ in few} <= kept  # a stratum without good labels certifies nothing
 
 
+def test_one_level_for_all_rules_is_certified_in_each_stratum(spark):
+    # 320 good documents of a stratum are enough; one good document more that a stricter level would lose stops there
+    text = lambda i, share: " ".join(f"word{j}{'#' * (1 if j < share else 0)}" for j in range(60 + i % 9))
+    rows = [(i, text(i, 0), lang) for lang in ("de", "fr") for i in range(1000 if lang == "fr" else 0, (1000 if lang == "fr" else 0) + 320)]
+    rows += [(5000 + i, text(i, 22), "de") for i in range(30)] + [(6000 + i, text(i, 22), "fr") for i in range(30)] + [(7000 + i, text(i, 22), "it") for i in range(30)]
+    lost = [(1900 + i, text(i, 22), "fr") for i in range(9)]
+    docs = spark.createDataFrame(rows + lost, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, int(d < 5000)) for d, _, _ in rows + lost], "doc_id long, quality int")
+    level = {r.stratum: r.level for r in quality_rules.levels(quality_rules.features(docs), labels).collect()}
+    feats = {r.doc_id: r for r in quality_rules.features(docs).collect()}
+    over = lambda d: max(sum(feats[d][r] > c for c in g) for r, g in quality_rules.GRID.items())
+    for lang, n_strata in (("de", 2), ("fr", 2)):
+        good = [d for d, _, x in rows + lost if x == lang and d < 5000]
+        tail = lambda k, n: sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
+        want, n = None, len(good)
+        for at in reversed(range(quality_rules.LEVELS)):
+            if tail(sum(over(d) > at for d in good), n) > 0.05 / n_strata:
+                break
+            want = at
+        assert level.get(lang) == want
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, labels).collect()}
+    assert not {5000 + i for i in range(30)} & kept and {6000 + i for i in range(30)} <= kept and {7000 + i for i in range(30)} <= kept
+
+
 def test_mix_reaches_the_targets(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
@@ -386,6 +410,23 @@ def test_hnsw_recall_and_odd_vectors(spark):
     assert all(s == pytest.approx(dict(want[q])[v], rel=1e-12) for q, f in found.items() for v, s in f if v in dict(want[q]))
 
 
+def test_hnsw_ties_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(4)
+    base = np.full(20, 8.0)
+    rows = [(0, base.tolist())]
+    ids = rng.permutation(np.arange(1, 41)).tolist()
+    for i in range(20):
+        for sign in (1.0, -1.0):
+            v = base.copy()
+            v[i] += sign
+            rows.append((int(ids[len(rows) - 1]), v.tolist()))
+    rows += [(500 + i, (base + 3 + rng.random(20)).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame([(*r, 7, 8, "x") for r in rows], "vec_id long, embedding array<float>, shard int, dim int, vec string").repartition(3)
+    for shard_rows in (4096, 40):
+        got = hnsw.search(common.cut(hnsw.index(vectors, shard_rows)), vectors.where("vec_id = 0"), 10, 12).orderBy("rank").collect()
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, i, i, 1.0) for i in range(1, 11)]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert ngram_join.near_duplicates(empty).count() == 0
