@@ -1,10 +1,10 @@
 """Phrase collocations by vertical partitioning of a depth-truncated suffix tree.
 
-Texts become runs of word numbers. Prefixes of one word are counted over all runs; a prefix that stands
-more often than the memory budget allows is made longer by a word, and again, until each is within the
-budget; prefixes rarer than the least frequency go, for no phrase under them can reach it. The prefixes
-left are put into groups within the budget. Each run then sends every group the sorted, front-coded
-suffixes that begin with its prefixes, cut at the depth or before the first rare word, with their counts.
+Texts become runs of word numbers. Words are counted over all runs, and where a word is rare a run is cut, for no
+frequent phrase can hold it. Prefixes of two words are counted next; rare ones go, and one that stands more often
+than the memory budget allows is made longer by a word, and again, until each is within the budget. The
+prefixes left are put into groups within the budget. Each run then sends every group the sorted, front-coded
+suffixes that begin with its prefixes, cut at the depth or before the first rare word or pair, with their counts.
 A group merges them into its subtrees on its own and reads each phrase's frequency from the leaf totals
 under its node. Scores, the containment rule and ranks are joins and windows over the frequent phrases.
 """
@@ -36,7 +36,8 @@ _STOP[[46, 44, 59, 58, 33, 63, 10, 11, 12, 13]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9]] = True
 
-RUN_SCHEMA = "run long, lang string, n long, hashes binary, lengths binary, words binary, seq binary"
+RUN_SCHEMA = "run long, lang string, n long, lengths binary, words binary, seq binary"
+CUT_SCHEMA = "run long, lang string, hashes binary, seq binary, lengths binary, words binary"
 
 
 # ---------------------------------------------------------------- runs of word numbers
@@ -60,15 +61,20 @@ def piece_words(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, rows, first
 
 
+def with_lang(h: np.ndarray, lang: str) -> np.ndarray:
+    """Hashes of a lang's words; 0 stands for none."""
+    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    return np.maximum(mix(h + seed), np.uint64(1))
+
+
 class _Pile:
     """Words of one lang that wait to become a run: hashes, 0 between pieces, and each slice's different words."""
 
     def __init__(self, lang: str):
         self.lang, self.n, self.seq, self.words = lang, 0, [], []
-        self.seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
     def add(self, low, starts, ends, first, h):
-        h = np.maximum(mix(h + self.seed), np.uint64(1))
+        h = with_lang(h, self.lang)
         seq = np.zeros(len(h) + int(first.sum()), np.uint64)
         seq[np.arange(len(h)) + np.cumsum(first)] = h
         self.seq.append(seq)
@@ -81,10 +87,17 @@ class _Pile:
         every = np.concatenate([w[0] for w in self.words])
         length, text = np.concatenate([w[1] for w in self.words]), np.concatenate([w[2] for w in self.words])
         each, at = np.unique(every, return_index=True)
-        begin = (np.cumsum(length) - length)[at]
         seq = np.concatenate(self.seq)
-        seq = np.where(seq == 0, -1, np.searchsorted(each, seq)).astype(np.int32)
-        cells = (press_sorted(each), press(length[at]), zstandard.compress(text[ragged(begin, length[at])].tobytes(), 3), press(seq))
+        place = np.searchsorted(each, seq[seq > 0])
+        # numbered by how often they stand, so the numbers are small
+        often = np.argsort(-np.bincount(place, minlength=len(each)), kind="stable")
+        rank = np.empty(len(each), np.int32)
+        rank[often] = np.arange(len(each), dtype=np.int32)
+        at, words = at[often], rank[place]
+        begin = (np.cumsum(length) - length)[at]
+        seq = np.full(len(seq), -1, np.int32)
+        seq[np.concatenate(self.seq) > 0] = words
+        cells = (press(length[at].astype(np.int32)), zstandard.compress(text[ragged(begin, length[at])].tobytes(), 3), press(seq))
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([self.lang]), pa.array([self.n]), *[pa.array([c], pa.binary()) for c in cells]], [f.split()[0] for f in RUN_SCHEMA.split(", ")])
 
 
@@ -115,47 +128,47 @@ def _gather(most: int):
     return gather
 
 
-class _Run:
-    """A run opened: hashes of its words, their numbers in order (-1 between pieces), and what was answered so far."""
+def _text(row) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Hashes, n + 1 offsets and bytes of the words a row spells."""
+    length = unpress(row["lengths"], np.int32)
+    cuts = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+    text = zstandard.decompress(row["words"]) if len(length) else b""
+    return with_lang(span_hashes(np.frombuffer(text, np.uint8), cuts[:-1], cuts[1:]), row["lang"]), cuts, text
+
+
+class _CutRun:
+    """A run cut at rare words: hashes of its words, their numbers in order (-1 at cuts), and groups of its prefixes as far as they are told."""
 
     def __init__(self, row, answers=()):
-        self.hashes, self.seq = unpress_sorted(row["hashes"]), unpress(row["seq"], np.int32).astype(np.int64)
-        self.answers = {}
+        self.hashes, self.seq = unpress(row["hashes"], np.uint64), np.append(unpress(row["seq"], np.int32).astype(np.int64), np.full(DEPTH, -1))
+        told = {}
         for a in answers:
-            keys, groups = self.answers.get(a["level"], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            self.answers[a["level"]] = np.concatenate((keys, unpress_sorted(a["keys"]))), np.concatenate((groups, unpress(a["groups"], np.int64)))
-        for level, (keys, groups) in self.answers.items():
+            told.setdefault(a["level"], []).append((unpress_sorted(a["keys"]), unpress(a["groups"], np.int64)))
+        self.told = {}
+        for level, parts in told.items():
+            keys, groups = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(keys)
-            self.answers[level] = keys[order], groups[order]
+            self.told[level] = keys[order], groups[order]
 
     def group_of(self, level: int, keys: np.ndarray) -> np.ndarray:
         """Group of each prefix; -1 where it must be longer, -2 where it is rare."""
-        known, groups = self.answers.get(level, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        known, groups = self.told.get(level, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         if not len(known):
             return np.full(len(keys), -2)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return np.where(known[at] == keys, groups[at], -2)
 
-    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """The words' numbers in order with rare ones as -1, and each word's group as a prefix."""
-        group = self.group_of(1, self.hashes)
-        seq = np.append(self.seq, np.full(DEPTH, -1))
-        seq[seq >= 0] = np.where(group[seq[seq >= 0]] > -2, seq[seq >= 0], -1)
-        return seq, group
-
-    def open_prefixes(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places whose prefix of one word less must be longer and that have one more frequent word; the prefixes' keys; all words."""
-        seq, group = self.frequent()
-        at = np.flatnonzero(seq >= 0)
-        at = at[group[seq[at]] == -1]
-        keys = self.hashes[seq[at]]
+    def prefixes(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where a prefix of ``level`` words is to be counted, as the one of a word less must be longer; its key; and its group."""
+        at = np.flatnonzero((self.seq[:-1] >= 0) & (self.seq[1:] >= 0))
+        keys = self.hashes[self.seq[at]]
         for d in range(1, level):
-            more = seq[at + d] >= 0
-            at, keys = at[more], longer(keys[more], self.hashes[seq[at[more] + d]])
-            if d + 1 < level:
-                open_ = self.group_of(d + 1, keys) == -1
-                at, keys = at[open_], keys[open_]
-        return at, keys, seq
+            if d > 1:
+                at, keys = at[group == -1], keys[group == -1]  # noqa: F821
+            more = self.seq[at + d] >= 0
+            at, keys = at[more], longer(keys[more], self.hashes[self.seq[at[more] + d]])
+            group = self.group_of(d + 1, keys)
+        return at, keys, group
 
 
 def longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -166,27 +179,33 @@ def longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- vertical partitioning
 
 
-def _offers(level: int, buckets: int):
-    """Each run's prefixes of ``level`` words that are to be counted, by bucket of their keys."""
+def _by_bucket(row, buckets: int, keys, counts):
+    """Rows of a run's sorted keys with counts, by bucket."""
+    cuts = [0, *np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), len(keys)]
+    rows = [(row["lang"], b, row["run"], press_sorted(keys[i:j]), press(counts[i:j].astype(np.int64))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    return pd.DataFrame(rows, columns=["lang", "bucket", "run", "keys", "counts"])
+
+
+OFFERS = "lang string, bucket long, run long, keys binary, counts binary"
+
+
+def _word_offers(buckets: int):
+    def offer(batches):
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                seq, keys = unpress(row["seq"], np.int32), _text(row)[0]
+                order = np.argsort(keys)
+                yield _by_bucket(row, buckets, keys[order], np.bincount(seq[seq >= 0], minlength=len(keys))[order])
+
+    return offer
+
 
+def _prefix_offers(level: int, buckets: int):
     def offer(batches):
-        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
         for pdf in batches:
             for _, row in pdf.iterrows():
-                r = _Run(row, row["answers"] if level > 1 else ())
-                if level == 1:
-                    keys, counts, first, words = r.hashes, np.bincount(r.seq[r.seq >= 0], minlength=len(r.hashes)), None, None
-                else:
-                    at, every, words = r.open_prefixes(level)
-                    keys, first, counts = np.unique(every, return_index=True, return_counts=True)
-                    first = at[first] if len(at) else at
-                cuts = [0, *np.searchsorted(keys, edges), len(keys)]
-                out = []
-                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if j > i:
-                        more = b"" if level == 1 else press(r.hashes[np.concatenate([words[first[i:j] + d] for d in range(level)])])
-                        out.append((row["lang"], b, row["run"], press_sorted(keys[i:j]), press(counts[i:j].astype(np.int64)), more))
-                yield pd.DataFrame(out, columns=["lang", "bucket", "run", "keys", "counts", "words"])
+                r = _CutRun(row, row["answers"] if level > 2 else ())
+                yield _by_bucket(row, buckets, *np.unique(r.prefixes(level)[1], return_counts=True))
 
     return offer
 
@@ -203,35 +222,56 @@ def pack(totals: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _settle(level: int, least: int, budget: int, depth: int):
-    """Of one bucket: frequencies of its frequent prefixes (run null), and for each run their groups, -1 for those to be made longer."""
+    """Of one bucket, for each run what becomes of the frequent ones among its words or prefixes; and how often each word stands (run null).
+
+    Of a word ``groups`` tells whether the run is the one to spell it (1, else 0); of a prefix its group, or -1 where
+    it must be made longer or is of full depth.
+    """
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpress_sorted(k) for k in pdf["keys"]]
         each, at, where = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         totals = np.bincount(where, np.concatenate([unpress(c, np.int64) for c in pdf["counts"]])).astype(np.int64)
-        if level == 1:
-            words = each[None, :]
-        else:
-            words = np.concatenate([unpress(w, np.uint64).reshape(level, -1) for w in pdf["words"]], axis=1)[:, at]
-        group = np.full(len(each), -2)
-        fits = (totals >= least) & ((totals <= budget) | (level == depth))
-        group[(totals >= least) & ~fits] = -1
-        if level < depth:
-            group[fits] = (level << 56) + (int(pdf["bucket"].iloc[0]) << 28) + pack(totals[fits], budget)
+        keep, group, spells = totals >= least, np.full(len(each), -1), np.zeros(len(where), np.int64)
+        fits = keep & (totals <= budget)
+        group[fits] = (level << 56) + (int(pdf["bucket"].iloc[0]) << 28) + pack(totals[fits], budget) if level < depth else -1
+        spells[at] = 1
         lang, rows, upto = pdf["lang"].iloc[0], [], 0
-        for i in np.flatnonzero(totals >= least).tolist():
-            rows.append((lang, None, level, None, None, False, words[:, i].view(np.int64).tolist(), int(totals[i])))
+        if level == 1:
+            rows += [(lang, None, level, None, None, False, w, f) for w, f in zip(each[keep].view(np.int64).tolist(), totals[keep].tolist(), strict=True)]
         for run, p in zip(pdf["run"], parts, strict=True):
-            g = group[where[upto : upto + len(p)]]
+            here = where[upto : upto + len(p)]
+            g, mine = spells[upto : upto + len(p)] if level == 1 else group[here], keep[here]
             upto += len(p)
-            if (g > -2).any():
-                rows.append((lang, int(run), level, press_sorted(p[g > -2]), press(g[g > -2]), bool((g == -1).any()), None, 0))
-        return pd.DataFrame(rows, columns=["lang", "run", "level", "keys", "groups", "open", "phrase", "f"]).astype({"run": "Int64", "phrase": object})
+            if mine.any():
+                rows.append((lang, int(run), level, press_sorted(p[mine]), press(g[mine]), bool((g[mine] == -1).any()), None, 0))
+        return pd.DataFrame(rows, columns=["lang", "run", "level", "keys", "groups", "open", "word", "f"], dtype=object)
 
     return settle
 
 
-SETTLED = "lang string, run long, level int, keys binary, groups binary, open boolean, phrase array<long>, f long"
+SETTLED = "lang string, run long, level int, keys binary, groups binary, open boolean, word long, f long"
+
+
+def _cut_runs(batches):
+    """Runs cut at their rare words, with the text of the words they are to spell."""
+    for pdf in batches:
+        out = []
+        for _, row in pdf.iterrows():
+            keys, cuts, text = _text(row)
+            seq = unpress(row["seq"], np.int32)
+            known, spells = (np.concatenate(c) for c in zip(*[(unpress_sorted(a["keys"]), unpress(a["groups"], np.int64)) for a in row["answers"]], strict=True))
+            order = np.argsort(keys)
+            at = order[np.searchsorted(keys[order], known)]
+            number = np.full(len(keys) + 1, -1, np.int32)
+            number[np.sort(at)] = np.arange(len(at))
+            seq = number[seq]  # -1 stays -1
+            seq = seq[(seq >= 0) | np.concatenate(([True], seq[:-1] >= 0))]
+            mine = np.sort(at[spells == 1])
+            length = np.diff(cuts)[mine]
+            spelt = np.frombuffer(text, np.uint8)[ragged(cuts[mine], length)].tobytes()
+            out.append((row["run"], row["lang"], press(keys[np.sort(at)]), press(seq), press(length.astype(np.int32)), zstandard.compress(spelt, 3)))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in CUT_SCHEMA.split(", ")])
 
 
 # ---------------------------------------------------------------- subtrees
@@ -264,31 +304,34 @@ def order_rows(columns: list[np.ndarray], most: int) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
-def _suffixes(depth: int):
-    """Of each run the suffixes of every group: their words, front-coded, and counts."""
+def _suffixes(depth: int, buckets: int):
+    """Of each run the suffixes of every group: their words, front-coded, and counts.
+
+    A prefix that was made longer, or has full depth, goes by itself to a group that only counts such.
+    """
 
     def cut_suffixes(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                r = _Run(row, row["answers"])
-                seq, group = r.frequent()
-                at = np.flatnonzero(seq >= 0)
-                mine = group[seq[at]]
-                for level in range(2, depth):
-                    if not (group == -1).any():
-                        break
-                    places, keys, _ = r.open_prefixes(level)
-                    found = np.full(len(seq), -2)
-                    found[places] = r.group_of(level, keys)
-                    mine = np.where(mine == -1, np.where(found[at] == -1, -3, found[at]), mine)
-                    mine[mine == -3] = -1
-                at, mine = at[mine >= 0], mine[mine >= 0]
+                r = _CutRun(row, row["answers"])
+                joins, at, mine, limit = np.zeros(len(r.seq), bool), [], [], []
+                for level in range(2, depth + 1):
+                    places, keys, found = r.prefixes(level)
+                    if level == 2:
+                        joins[places] = found > -2
+                    alone = (keys % np.uint64(buckets)).astype(np.int64) + (level << 56) + (1 << 55)
+                    keep = found > -2
+                    at.append(places[keep])
+                    mine.append(np.where(found < 0, alone, found)[keep])
+                    limit.append(np.where(found < 0, level, depth)[keep])
+                at, mine, limit = np.concatenate(at), np.concatenate(mine), np.concatenate(limit)
                 if not len(at):
                     continue
                 columns, alive = [], np.ones(len(at), bool)
                 for d in range(depth):
-                    alive = alive & (seq[at + d] >= 0)
-                    columns.append(np.where(alive, seq[at + d] + 1, 0))
+                    if d:
+                        alive = alive & joins[at + d - 1] & (d < limit)
+                    columns.append(np.where(alive, r.seq[at + d] + 1, 0))
                 groups, g = np.unique(mine, return_inverse=True)
                 order = order_rows([g, *columns], max(len(groups), len(r.hashes) + 1))
                 rows, g = np.stack(columns, 1)[order], g[order]
@@ -311,7 +354,7 @@ def _suffixes(depth: int):
 
 
 def _subtree(least: int, depth: int):
-    """Frequent phrases of one group: nodes of the merged subtree below its prefixes, each with the total of the leaves under it."""
+    """Frequent phrases of one group: nodes of the merged subtree from its prefixes on, each with the total of the leaves under it."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         level = int(pdf["grp"].iloc[0]) >> 56
@@ -330,7 +373,7 @@ def _subtree(least: int, depth: int):
         new[0] = True
         for d in range(depth):
             new[1:] |= rows[1:, d] != rows[:-1, d]
-            if d < level:
+            if d + 1 < level:
                 continue
             node = np.flatnonzero(new)
             total = np.add.reduceat(counts, node)
@@ -345,46 +388,44 @@ def _subtree(least: int, depth: int):
 # ---------------------------------------------------------------- the miner
 
 
-def _dictionary(batches):
+def _spelt(batches):
     for pdf in batches:
         out = []
         for _, row in pdf.iterrows():
-            r = _Run(row, row["answers"])
-            length = unpress(row["lengths"], np.int64)
-            cuts, text = np.concatenate(([0], np.cumsum(length))), zstandard.decompress(row["words"]) if length.sum() else b""
-            for i in np.flatnonzero(r.group_of(1, r.hashes) > -2).tolist():
-                out.append((int(r.hashes[i : i + 1].view(np.int64)[0]), text[cuts[i] : cuts[i + 1]].decode("utf-8", "replace")))
+            keys, cuts, text = _text(row)
+            out += [(h, text[a:b].decode("utf-8", "replace")) for h, a, b in zip(keys.view(np.int64).tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         yield pd.DataFrame(out, columns=["h", "word"])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, budget: int = BUDGET, run_words: int = RUN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All phrases of up to ``depth`` words that stand ``least`` times in the texts of a lang, or more often.
+    """All phrases of up to ``depth`` words (at least two) that stand ``least`` times in the texts of a lang, or more often.
 
     Returns phrases (lang, phrase: hashes of its words, f), words (h, word) of the frequent words, and
-    sizes (lang, n: all words). Words are told by 64-bit hashes with the lang in them.
+    sizes (lang, n: all words). Words are told by 64-bit hashes with the lang in them. ``depth`` is at most DEPTH.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     runs = cut(texts.mapInArrow(_gather(run_words), RUN_SCHEMA))
     sizes = runs.groupBy("lang").agg(F.sum("n").alias("n"))
     total = runs.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // budget))
-    own, found = runs, []
-    for level in range(1, depth + 1):
-        offers = own.mapInPandas(_offers(level, buckets), "lang string, bucket long, run long, keys binary, counts binary, words binary")
-        settled = cut(offers.groupBy("lang", "bucket").applyInPandas(_settle(level, least, budget, depth), SETTLED))
-        found.append(settled)
-        told = found[0]
-        for s in found[1:]:
-            told = told.union(s)
-        # a run's answers hold no more than its own prefixes
-        answers = told.where("run IS NOT NULL").groupBy("run").agg(F.collect_list(F.struct("level", "keys", "groups")).alias("answers"))
-        own = runs.join(answers, "run")
+    settle = lambda offers, level: cut(offers.groupBy("lang", "bucket").applyInPandas(_settle(level, least, budget, depth), SETTLED))
+    # a run's answers hold no more than its own words and prefixes
+    told = lambda settled: settled.where("run IS NOT NULL").groupBy("run").agg(F.collect_list(F.struct("level", "keys", "groups")).alias("answers"))
+    words = settle(runs.mapInPandas(_word_offers(buckets), OFFERS), 1)
+    runs = cut(runs.drop("n").join(told(words), "run").mapInPandas(_cut_runs, CUT_SCHEMA))
+    bare = runs.select("run", "lang", "hashes", "seq")
+    found, own = None, bare
+    for level in range(2, depth + 1):
+        settled = settle(own.mapInPandas(_prefix_offers(level, buckets), OFFERS), level)
+        found = settled if found is None else found.union(settled)
+        own = bare.join(told(found), "run")
         if not settled.where("open").limit(1).count():
             break
-    subtrees = own.mapInPandas(_suffixes(depth), "lang string, grp long, words binary, shared binary, ids binary, counts binary").groupBy("lang", "grp")
+    subtrees = own.mapInPandas(_suffixes(depth, buckets), "lang string, grp long, words binary, shared binary, ids binary, counts binary").groupBy("lang", "grp")
     phrases = subtrees.applyInPandas(_subtree(least, depth), "lang string, phrase array<long>, f long")
-    words = own.mapInPandas(_dictionary, "h long, word string")
-    return cut(told.where("run IS NULL").select("lang", "phrase", "f").union(phrases)), words, sizes
+    spelt = runs.select("lang", "lengths", "words").mapInPandas(_spelt, "h long, word string")
+    single = words.where("run IS NULL").select("lang", F.array("word").alias("phrase"), "f")
+    return cut(single.union(phrases)), spelt, sizes
 
 
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP, budget: int = BUDGET, run_words: int = RUN_WORDS) -> DataFrame:
@@ -414,7 +455,7 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     best = cuts.groupBy("lang", "key").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("s"), F.min("phrase").alias("phrase")).select("lang", "phrase", "s.*")
     ahead = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     best = cut(best.withColumn("place", F.rank().over(ahead)).where(F.col("place") <= top).drop("place"))
-    spelt = best.select("lang", "phrase", F.posexplode("phrase").alias("i", "h")).join(words.groupBy("h").agg(F.min("word").alias("word")), "h")
+    spelt = best.select("lang", "phrase", F.posexplode("phrase").alias("i", "h")).join(words, "h")
     spelt = spelt.groupBy("lang", "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text"))
     out = best.join(spelt, ["lang", "phrase"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "text")))
     return out.where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), F.col("text").alias("phrase"), "a", "l", "r", "n", "score")
