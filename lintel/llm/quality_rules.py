@@ -1,14 +1,18 @@
 """Quality rules whose cutoffs are chosen under risk control.
 
-Five rules reject a document when a statistic exceeds a cutoff. Their cutoffs stand on a fixed grid of levels of
-strictness, and a stratum takes one level for all rules: the strictest for which labelled documents show, by an
-exact binomial test, that the rules together reject less than the allowed share of good documents. Levels are
-tested in a fixed order, from the mildest on, until one fails, which needs no correction; over strata
-Bonferroni's holds. Without such evidence no rule rejects anything. Native: DataFrame functions only.
+Five rules reject a document when a statistic exceeds a cutoff. Cutoffs stand on a fixed grid, and labelled documents
+must show, by an exact binomial test, that good documents are rejected less often than allowed. With enough labelled
+good documents in a stratum every rule gets a cutoff of its own, tested against a fifth of the allowed share and corrected for
+rules times strata. Where there are too few for any such cutoff to pass, the stratum takes one level of strictness for all
+rules, tested together against the whole share and corrected for strata. The number of labels alone decides which.
+Cutoffs and levels are tested in a fixed order, from the mildest on, until one fails, which needs no correction.
+Without evidence no rule rejects anything. Native: DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +82,31 @@ def exceeded(rule: str) -> Column:
     return sum(((F.col(rule) > c).cast("int") for c in GRID[rule][:LEVELS]), F.lit(0))
 
 
+def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """stratum, rule, cutoff: the strictest certified cutoff, one row where there is one.
+
+    feats: features(); labels: doc_id, quality (1: good; null or repeated labels: the least counts).
+    A cutoff is certified when P(Bin(n, risk / rules) <= rejected good documents) is at most
+    error / (rules * strata). A stricter cutoff never rejects less, so the strictest that passes is
+    where testing in order, mildest first, would stop.
+    """
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    rows = feats.where("NOT base_failed").join(good, "doc_id").withColumn("stratum", F.coalesce("lang", F.lit("")))
+    held = F.array(*[F.struct(F.lit(r).alias("rule"), sum(((F.col(r) > c).cast("int") for c in grid), F.lit(0)).alias("over")) for r, grid in GRID.items()])
+    counts = rows.select("stratum", F.explode(held).alias("x")).groupBy("stratum", "x.rule", "x.over").agg(F.count("*").alias("n"))
+    tests = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("over", "n"))).alias("by"))
+    tests = tests.select("*", F.count("*").over(Window.partitionBy()).alias("pairs"))  # rules times strata
+    grid = F.create_map(*[x for r, g in GRID.items() for x in (F.lit(r), F.array(*map(F.lit, g)))])
+    tests = tests.select("stratum", "rule", "n", "by", "pairs", F.posexplode(F.element_at(grid, F.col("rule"))).alias("at", "cutoff"))
+    # over > at: the value exceeds the cutoff of that place
+    lost = F.aggregate(F.map_entries("by"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("at"), e["value"]).otherwise(0))
+    tests = tests.withColumn("lost", lost).where(F.col("lost") < F.col("n") * (risk / len(GRID)))
+    sure = tests.where(binomial_tail(F.col("lost"), F.col("n"), risk / len(GRID)) <= error / F.col("pairs"))
+    return sure.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+
+
 def levels(feats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """stratum, level: the strictest certified level, one row where there is one.
+    """stratum, level: the strictest certified level, one row where there is one, of strata too small for cutoffs().
 
     feats: features(); labels: doc_id, quality (1: good; null or repeated labels: the least counts).
     A level is certified when P(Bin(n, risk) <= rejected good documents) is at most error / strata. A stricter level
@@ -91,7 +118,8 @@ def levels(feats: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     tests = tests.select("*", F.count("*").over(Window.partitionBy()).alias("strata"))  # one row per stratum
     tests = tests.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
     lost = F.aggregate(F.map_entries("by"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("level"), e["value"]).otherwise(0))
-    tests = tests.withColumn("lost", lost).where(F.col("lost") < F.col("n") * risk)
+    enough = F.log(F.lit(error) / (len(GRID) * F.col("strata"))) / math.log(1 - risk / len(GRID))  # labels from which a cutoff that loses none passes
+    tests = tests.withColumn("lost", lost).where((F.col("n") < enough) & (F.col("lost") < F.col("n") * risk))
     return tests.where(binomial_tail(F.col("lost"), F.col("n"), risk) <= error / F.col("strata")).groupBy("stratum").agg(F.min("level").alias("level"))
 
 
@@ -99,13 +127,15 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     """doc_id, text_key, the base statistics, base_failed, kept and rules (names of the rules broken), one row per row of docs.
 
     kept is false where base_failed (fewer than 10 words, so also null and empty texts, or more than
-    20 % of words in repeated five-word windows) or a rule at its stratum's certified level rejects. Without labels no level
-    is certified. A null lang is a stratum of its own. Repeated rows get equal verdicts.
+    20 % of words in repeated five-word windows) or a rule at its stratum's certified cutoff or level rejects. Without labels
+    none is certified. A null lang is a stratum of its own. Repeated rows get equal verdicts.
     """
     feats = cut(features(docs))
-    d = feats.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(levels(feats, labels, risk, error), "stratum", "left")
-    broken = F.filter(F.array(*[F.when(exceeded(r) > F.col("level"), F.lit(r)) for r in GRID]), lambda x: x.isNotNull())
-    d = d.withColumn("rules", broken)
+    own = cutoffs(feats, labels, risk, error).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    chosen = own.join(levels(feats, labels, risk, error), "stratum", "full")
+    d = feats.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(chosen, "stratum", "left")
+    over = lambda r: F.when(F.col("cuts").isNotNull(), F.col(r) > F.element_at("cuts", F.lit(r))).otherwise(exceeded(r) > F.col("level"))
+    d = d.withColumn("rules", F.filter(F.array(*[F.when(over(r), F.lit(r)) for r in GRID]), lambda x: x.isNotNull()))
     return d.select("doc_id", "text_key", *BASE, "base_failed", (~F.col("base_failed") & (F.size("rules") == 0)).alias("kept"), "rules")
 
 

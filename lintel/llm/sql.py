@@ -16,6 +16,11 @@ NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("coales
   r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
   SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, coalesce(min(r.root), d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id"""
 
+_P5 = quality_rules.RISK / len(quality_rules.GRID)
+_RULES = ", ".join(f"'{r}'" for r in quality_rules.GRID)
+_OVERS = ", ".join("len(list_filter([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in g) + f"], lambda c: {r} > c))" for r, g in quality_rules.GRID.items())
+_CUTS = "MAP {" + ", ".join(f"'{r}': [" + ", ".join(f"CAST({c} AS DOUBLE)" for c in g) + "]" for r, g in quality_rules.GRID.items()) + "}"
+_MOST = max(map(len, quality_rules.GRID.values()))
 _P = quality_rules.RISK
 _OVER = "greatest(" + ", ".join("len(list_filter([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in g[: quality_rules.LEVELS]) + f"], lambda c: {r} > c))" for r, g in quality_rules.GRID.items()) + ")"
 QUALITY_RULES = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {WORDS} AS ws,
@@ -28,12 +33,19 @@ QUALITY_RULES = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coa
   f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share,
    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word FROM b),
   gd AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
+  h5 AS (SELECT stratum, unnest([{_RULES}]) AS rule, unnest([{_OVERS}]) AS over_ FROM f JOIN gd USING (doc_id) WHERE NOT base_failed),
+  t5 AS (SELECT stratum, rule, count(*) AS n, list(over_) AS o, count(*) OVER () AS pairs FROM h5 GROUP BY 1, 2),
+  c5 AS (SELECT stratum, rule, n, pairs, unnest({_CUTS}[rule]) AS cutoff, unnest(list_transform(range({_MOST}), lambda a: len(list_filter(o, lambda x: x > a)))) AS lost FROM t5),
+  k5 AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM c5 WHERE lost < n * {_P5!r} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P5!r}) + (n - i) * ln(1 - {_P5!r}))))
+   <= {quality_rules.ERROR!r} / pairs GROUP BY 1, 2),
+  ct AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS x_{r}" for r in quality_rules.GRID)} FROM k5 GROUP BY 1),
   h AS (SELECT stratum, {_OVER} AS over_ FROM f JOIN gd USING (doc_id) WHERE NOT base_failed),
   t AS (SELECT stratum, count(*) AS n, list(over_) AS o, count(*) OVER () AS strata FROM h GROUP BY 1),
   c AS (SELECT stratum, n, strata, unnest(range({quality_rules.LEVELS})) AS level, unnest(list_transform(range({quality_rules.LEVELS}), lambda a: len(list_filter(o, lambda x: x > a)))) AS lost FROM t),
-  k AS (SELECT stratum, min(level) AS level FROM c WHERE lost < n * {_P!r} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r}))))
+  k AS (SELECT stratum, min(level) AS level FROM c WHERE n < ln({quality_rules.ERROR!r} / ({len(quality_rules.GRID)} * strata)) / ln(1 - {_P5!r}) AND lost < n * {_P!r} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r}))))
    <= {quality_rules.ERROR!r} / strata GROUP BY 1)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_OVER} > level, FALSE) AS kept FROM f LEFT JOIN k USING (stratum)"""
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT CASE WHEN ct.stratum IS NOT NULL THEN {" OR ".join(f"coalesce(f.{r} > ct.x_{r}, FALSE)" for r in quality_rules.GRID)}
+   ELSE coalesce({_OVER} > level, FALSE) END AS kept FROM f LEFT JOIN k ON k.stratum = f.stratum LEFT JOIN ct ON ct.stratum = f.stratum"""
 
 MIX_SOURCES = f"""WITH z AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
   o AS (SELECT source, ss, CAST([{", ".join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS w, CAST(sum(ss) OVER () AS DOUBLE) AS total,
