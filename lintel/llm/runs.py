@@ -22,7 +22,8 @@ NONE = -(2**63)
 
 def press(a: np.ndarray) -> bytes:
     """Compressed bytes of an array, byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+    planes = a.view(np.uint8).reshape(len(a), -1).T if len(a) else np.zeros(0, np.uint8)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpress(blob: bytes, dtype) -> np.ndarray:
