@@ -238,13 +238,14 @@ def _deletions(text, most: int):
     return F.array_distinct(out)
 
 
-def _close_candidates(parts: DataFrame, words: DataFrame, key) -> DataFrame:
+def _close_candidates(parts: DataFrame, words: DataFrame, key, short=True) -> DataFrame:
     """(key, part, _w) of all pairs no more edits apart than both allow (``_k``), and some others.
 
     Up to two edits: texts that far apart leave a common text after as many deletions in each. More, where a part has more than
     GRAM k pieces of GRAM letters: k edits leave one whole, shifted by k places at most, and the rarest one left whole
     is among the GRAM k + 1 rarest of both texts. Short parts with many edits allowed, which nearly everything
-    resembles: of k + 1 consecutive stretches one stays whole, shifted by k places at most.
+    resembles: of k + 1 consecutive stretches, of GRAM letters at most, one stays whole, shifted by k places at most;
+    ``short`` says whether such parts can be there.
     """
     part, word = (df.select(*key, F.col(c).alias("_t"), "_k") for df, c in ((parts, "part"), (words, "_w")))
     few, pieced = F.col("_k") <= DELETIONS, F.length("_t") - GRAM + 1 > GRAM * F.col("_k")
@@ -276,12 +277,11 @@ def _close_candidates(parts: DataFrame, words: DataFrame, key) -> DataFrame:
 
     cut = part.where(~few & ~pieced).select(*key, "_t", "_k", F.explode(F.transform(F.sequence(F.lit(0), k), stretch)).alias("p"))
     cut = cut.select(*key, F.col("_t").alias("part"), F.col("p.g").alias("_g"), F.explode(F.expr("sequence(p.at - _k, p.at + _k)")).alias("_at"))
-    sizes = cut.select(*key, F.length("_g").alias("_len")).distinct()
-    places = F.explode(F.sequence(F.lit(0), F.length("_t") - F.col("_len"))).alias("_at")
-    held = word.join(sizes, key).where(F.length("_t") >= F.col("_len")).select(*key, F.col("_t").alias("_w"), "_len", places)
-    held = held.withColumn("_g", F.substr(F.col("_w"), F.col("_at") + 1, F.col("_len"))).drop("_len")
+    places = F.sequence(F.lit(1), F.length("_t"))
+    held = word.select(*key, F.col("_t").alias("_w"), F.posexplode(F.transform(places, lambda i: F.array(*[F.substr(F.col("_t"), i, F.lit(n)) for n in range(1, GRAM + 1)]))).alias("_at", "_gs"))
+    held = held.select(*key, "_w", "_at", F.explode(F.array_distinct("_gs")).alias("_g"))
     loose = cut.join(held, [*key, "_g", "_at"]).select(*key, "part", "_w")
-    return near.unionByName(far).unionByName(loose).distinct()
+    return (near.unionByName(far).unionByName(loose) if short else near.unionByName(far)).distinct()
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, min_ratio=0.8, key=("project_id",), name="name", name_id="name_id", word="text", word_id="word_id") -> DataFrame:
@@ -302,7 +302,9 @@ def fuzzy_best(left: DataFrame, right: DataFrame, min_ratio=0.8, key=("project_i
         return F.floor((F.lit(1.0) - F.lit(min_ratio)) * F.ceil(F.length(c) / F.lit(min_ratio)) + F.lit(1e-9)).cast("int")
 
     uniq_part = parts.select(*key, "part").distinct().withColumn("_k", edits("part"))
-    pairs = _close_candidates(uniq_part, best_id.select(*key, "_w").withColumn("_k", edits("_w")), key)
+    allowed = [(n, math.floor((1 - min_ratio) * math.ceil(n / min_ratio) + 1e-9)) for n in range(3, 2000)]
+    short = any(k > DELETIONS and n - GRAM + 1 <= GRAM * k for n, k in allowed)
+    pairs = _close_candidates(uniq_part, best_id.select(*key, "_w").withColumn("_k", edits("_w")), key, short)
     ratio = F.lit(1.0) - F.levenshtein("part", "_w") / F.greatest(F.length("part"), F.length("_w"))
     best = (
         pairs.withColumn("ratio", ratio)
